@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import compression_rules
+from lodestrand.llm import bpe_replay, compression_rules
 from lodestrand.llm.common import table
 
 
@@ -16,8 +16,18 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.judge(docs, keep=["doc_id"])
 
 
+def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe_replay.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+    decoded = bpe_replay.decode(encoded, path)
+    return decoded.select("doc_id", bpe_replay.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_compression_bands": op5_compression_bands,
+    "op9_bpe_replay": op9_bpe_replay,
 }
 
 ORACLE_SQL: dict[str, str] = {}
