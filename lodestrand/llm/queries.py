@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import bpe_replay, compression_rules
+from lodestrand.llm import bpe_replay, compression_rules, ring_sharding
 from lodestrand.llm.common import table
 
 
@@ -16,6 +16,13 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.judge(docs, keep=["doc_id"])
 
 
+def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", ring_sharding.size_of("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = ring_sharding.assign(rows, "doc_id", 40, ["doc_id", "size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +34,7 @@ def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_compression_bands": op5_compression_bands,
+    "op8_bounded_ring": op8_bounded_ring,
     "op9_bpe_replay": op9_bpe_replay,
 }
 
