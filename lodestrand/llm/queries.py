@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import bpe_replay, compression_rules, ring_sharding
+from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, ring_sharding
 from lodestrand.llm.common import table
 
 
+def op4_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) end) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as i from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (
+  select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * i >= 85 * (p.n + q.n - i)),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join links l on l.x = r.y),
+component as (select x as doc_id, min(y) as component_id from reach group by x)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, component_id = d.doc_id as kept
+from documents d join component c on c.doc_id = d.doc_id left join sizes s on s.doc_id = d.doc_id
+"""
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return compression_rules.judge(docs, keep=["doc_id"])
@@ -33,9 +55,12 @@ def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_hamming_dedup": op4_hamming_dedup,
     "op5_compression_bands": op5_compression_bands,
     "op8_bounded_ring": op8_bounded_ring,
     "op9_bpe_replay": op9_bpe_replay,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_hamming_dedup": OP4_SQL,
+}
