@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, ring_sharding
+from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, ring_sharding
 from lodestrand.llm.common import table
 
+#: Surrogates are drawn with this key here; in earnest it comes from a secret store.
+PII_KEY = "an example key"
+
 
 def op4_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -54,11 +57,16 @@ def op9_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", bpe_replay.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_replaced")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hamming_dedup": op4_hamming_dedup,
     "op5_compression_bands": op5_compression_bands,
     "op8_bounded_ring": op8_bounded_ring,
     "op9_bpe_replay": op9_bpe_replay,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {
