@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, ring_sharding
+from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, ring_sharding, tiling
 from lodestrand.llm.common import table
 
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 #: Surrogates are drawn with this key here; in earnest it comes from a secret store.
 PII_KEY = "an example key"
 
@@ -62,6 +66,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_string_tiling": op3_string_tiling,
     "op4_hamming_dedup": op4_hamming_dedup,
     "op5_compression_bands": op5_compression_bands,
     "op8_bounded_ring": op8_bounded_ring,
