@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, ring_sharding, tiling
+from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, ring_sharding, suffix_dedup, tiling
 from lodestrand.llm.common import table
 
 def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.judge(docs, keep=["doc_id"])
 
 
+def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", ring_sharding.size_of("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_string_tiling": op3_string_tiling,
     "op4_hamming_dedup": op4_hamming_dedup,
     "op5_compression_bands": op5_compression_bands,
+    "op7_sparse_suffixes": op7_sparse_suffixes,
     "op8_bounded_ring": op8_bounded_ring,
     "op9_bpe_replay": op9_bpe_replay,
     "op10_pii_surrogates": op10_pii_surrogates,
