@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, ring_sharding, suffix_dedup, tiling
+from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, ring_sharding, suffix_dedup, tiling, url_sql, url_templates
 from lodestrand.llm.common import table
 
+#: (host, path, verdict) of the query's rules.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -70,6 +78,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_templates": op2_url_templates,
     "op3_string_tiling": op3_string_tiling,
     "op4_hamming_dedup": op4_hamming_dedup,
     "op5_compression_bands": op5_compression_bands,
@@ -80,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_templates": url_sql.sql(URL_RULES),
     "op4_hamming_dedup": OP4_SQL,
 }
