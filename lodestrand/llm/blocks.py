@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 SPACE = np.zeros(256, bool)
@@ -33,9 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_CODES_LOWER = _CODES.copy()
-_CODES_LOWER[65:91] = _CODES[97:123]
+CODES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+CODES_LOWER = CODES.copy()
+CODES_LOWER[65:91] = CODES[97:123]
 _POWERS: list[np.ndarray] = []
 
 
@@ -43,7 +43,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, BLOCK_BYTES + (1 << 17))
         out = []
-        for base in (_BASE, _BASE_INV):
+        for base in (BASE, _BASE_INV):
             p = np.full(size, base, np.uint64)
             p[0] = 1
             out.append(np.cumprod(p))
@@ -93,7 +93,7 @@ class Block:
     def sums(self, lower: bool) -> np.ndarray:
         p, _ = _powers(len(self.data))
         out = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_CODES_LOWER if lower else _CODES)[self.data] * p, out=out[1:])
+        np.cumsum((CODES_LOWER if lower else CODES)[self.data] * p, out=out[1:])
         return out
 
     def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
@@ -138,7 +138,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = hashes[:n].copy()
     for k in range(1, size):
-        out *= _BASE
+        out *= BASE
         out += hashes[k : k + n]
     return mix(out)
 

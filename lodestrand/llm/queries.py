@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, ring_sharding, suffix_dedup, tiling, url_sql, url_templates
+from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, quality_classifier, ring_sharding, suffix_dedup, tiling, url_sql, url_templates
 from lodestrand.llm.common import table
 
+def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: (host, path, verdict) of the query's rules.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -78,6 +82,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_subword_quality": op1_subword_quality,
     "op2_url_templates": op2_url_templates,
     "op3_string_tiling": op3_string_tiling,
     "op4_hamming_dedup": op4_hamming_dedup,
