@@ -84,11 +84,13 @@ def _following(at: np.ndarray, runs: np.ndarray, docs: np.ndarray) -> np.ndarray
     return out
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> run, next, key, pos (words from the text's start)."""
+def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """text -> run, next, key, pos (words from the text's start); texts of fewer than ``least`` words have none."""
     for batch in batches:
         for block in blocks(batch.column(0)):
             at, runs, docs = minimisers(block)
+            long = block.n_words[docs] >= least
+            at, runs, docs = at[long], runs[long], docs[long]
             if len(at):
                 keys = block.spans(block.offs[:-1], block.offs[1:]).view(np.int64)
                 cols = [runs.view(np.int64), _following(at, runs, docs).view(np.int64), keys[docs], (at - block.word_offs[docs]).astype(np.int32)]
@@ -240,7 +242,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = stored(src.mapInArrow(_keyed, "id long, key long, n_words long").where(F.col("n_words") >= least))
     keys = rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"))
 
-    suffixes = src.select("text").mapInArrow(_suffixes, "run long, next long, key long, pos int").distinct()
+    suffixes = src.select("text").mapInArrow(lambda batches: _suffixes(batches, least), "run long, next long, key long, pos int").distinct()
     order = ["run", "next", "key", "pos"]
     ranked = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(ranked.mapInArrow(_neighbours, "key long, pos int, key2 long, pos2 int, run long, edge int").withColumn("part", F.spark_partition_id()))
