@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pieces that a worker remembers; past that it forgets all and goes on.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Characters of text encoded at once.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 #: A vocabulary file larger than this isn't sent to the workers.
 MOST_VOCABULARY_BYTES = 32 << 20
 
