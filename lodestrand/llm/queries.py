@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import bpe_replay, compression_rules, hamming_dedup, pii_surrogates, quality_classifier, ring_sharding, suffix_dedup, tiling, url_sql, url_templates
+from lodestrand.llm import attention_lm, bpe_replay, compression_rules, hamming_dedup, pii_surrogates, quality_classifier, ring_sharding, suffix_dedup, tiling, url_sql, url_templates
 from lodestrand.llm.common import table
 
 def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_rules.judge(docs, keep=["doc_id"])
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return attention_lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_string_tiling": op3_string_tiling,
     "op4_hamming_dedup": op4_hamming_dedup,
     "op5_compression_bands": op5_compression_bands,
+    "op6_attention_lm": op6_attention_lm,
     "op7_sparse_suffixes": op7_sparse_suffixes,
     "op8_bounded_ring": op8_bounded_ring,
     "op9_bpe_replay": op9_bpe_replay,
