@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "j4_tfidf_norms"
+from lodestrand.plans import findings, relations, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | findings.QUERIES | relations.QUERIES
+ORACLE_SQL: dict[str, str] = texts.SQL | findings.SQL | relations.SQL
+FLAGSHIP = "j7_tfidf_top_k"
