@@ -248,7 +248,5 @@ def n_tokens(ids: Column) -> Column:
 
 def unpack(ids: Column) -> Column:
     """Packed ids as array<bigint>."""
-    digits = F.hex(ids)
-    at = lambda i, k: F.substring(digits, i * 8 + 1 + 2 * k, F.lit(2))
-    one = lambda i: F.conv(F.concat(at(i, 3), at(i, 2), at(i, 1), at(i, 0)), 16, 10).cast("long")
-    return F.when(F.octet_length(ids) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), (F.octet_length(ids) / 4).cast("int") - 1), one))
+    pair = lambda x, k: F.substring(x, 2 * k + 1, 2)
+    return F.transform(F.regexp_extract_all(F.hex(ids), F.lit(".{8}"), F.lit(0)), lambda x: F.conv(F.concat(pair(x, 3), pair(x, 2), pair(x, 1), pair(x, 0)), 16, 10).cast("long"))

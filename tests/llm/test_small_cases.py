@@ -173,6 +173,8 @@ def test_windows_score_each_id_once_and_attention_is_causal():
     other[0, 20:] = 1
     a, b = attention_lm.forward(w, rows)[0], attention_lm.forward(w, other)[0]
     assert np.allclose(a[0, :20], b[0, :20]) and np.allclose(a.sum(-1), 1, atol=1e-4)
+    classes = np.random.default_rng(1).integers(0, attention_lm.CLASSES, rows.shape)
+    assert np.allclose(attention_lm.log_odds(w, rows, classes), np.log(np.take_along_axis(a, classes[..., None], 2)[..., 0]), atol=1e-4)
 
 
 def test_gradients():
