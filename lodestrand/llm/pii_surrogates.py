@@ -143,10 +143,13 @@ def _invented(part: Column, script: Column, ending: Column, seed: Column) -> Col
     return F.when(part.isNotNull(), out)
 
 
-def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
-    """What stands for a canonical form at its ``draw``-th draw; itself a canonical form of the type."""
-    seed = F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string"))
-    n = _numbers(seed)
+def numbers(kind: Column, canon: Column, draw: Column, key: str) -> Column:
+    """The keyed numbers of a canonical form's ``draw``-th draw."""
+    return _numbers(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string")))
+
+
+def surrogate(kind: Column, canon: Column, draw: Column, n: Column, key: str) -> Column:
+    """What stands for a canonical form, drawn with the numbers ``n``; itself a canonical form of the type."""
     first = F.when(canon.rlike(r"^\+[17]"), 2).when(canon.startswith("+"), 3).otherwise(0)
     phone = _recast(canon, n, first)
     phone = F.concat(F.substring(phone, F.lit(1), first), (F.element_at(n, 90) % 8 + 2).cast("string"), F.substring(phone, first + 2, F.lit(40)))
@@ -179,9 +182,8 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     )
 
 
-def _written(kind: Column, raw: Column, made: Column) -> Column:
-    """A surrogate in the spelling of the mention: its separators, its title, its spaces."""
-    plain = F.regexp_replace(made, "[^0-9A-Za-z]", "")
+def _written(kind: Column, raw: Column, made: Column, plain: Column) -> Column:
+    """A surrogate in the spelling of the mention: its separators, its title, its spaces; plain: its digits and letters."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
     refill = F.aggregate(
         F.split(raw, ""), start,
@@ -198,7 +200,9 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     waiting = entities.withColumn("draw", F.lit(0))
     real = entities.select("kind", F.col("canon").alias("made"), F.lit(True).alias("is_real"))
     for _ in range(MOST_DRAWS):
-        new = waiting.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key))
+        # the numbers are written first: each character of a surrogate refers to them, and would else draw them anew
+        drawn = stored(waiting.withColumn("numbers", numbers(F.col("kind"), F.col("canon"), F.col("draw"), key)))
+        new = drawn.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), F.col("numbers"), key))
         every = new.select("kind", "canon", "draw", "made")
         if held is not None:
             every = every.unionByName(held)
@@ -209,7 +213,7 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
         held = held_now.where("held").drop("held")
         waiting = held_now.where("not held").select("kind", "canon", (F.col("draw") + 1).alias("draw"))
         if waiting.isEmpty():
-            return held.select("kind", "canon", "made")
+            return stored(held.select("kind", "canon", "made", F.regexp_replace("made", "[^0-9A-Za-z]", "").alias("plain")))
     raise ValueError(f"no free surrogate after {MOST_DRAWS} draws")
 
 
@@ -227,7 +231,7 @@ def replace(docs: DataFrame, key: str, text: str = "text", replaced: str = "n_re
 
     mentions = stored(touched.select("__text", F.explode(F.array_distinct("__found")).alias("raw")).distinct().withColumn("kind", _type(F.col("raw"))).withColumn("canon", canonical(F.col("kind"), F.col("raw"))))
     drawn = _drawn(stored(mentions.select("kind", "canon").distinct()), key)
-    spelled = mentions.join(drawn, ["kind", "canon"]).select("__text", F.struct("raw", _written(F.col("kind"), F.col("raw"), F.col("made")).alias("new")).alias("pair"))
+    spelled = mentions.join(drawn, ["kind", "canon"]).select("__text", F.struct("raw", _written(F.col("kind"), F.col("raw"), F.col("made"), F.col("plain")).alias("new")).alias("pair"))
     by_text = spelled.groupBy("__text").agg(F.map_from_entries(F.collect_list("pair")).alias("__new"))
 
     between = F.split(body, PATTERN, -1)

@@ -249,7 +249,7 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With almost no room every draw clashes with others or with real entities."""
-    monkeypatch.setattr(pii_surrogates, "surrogate", lambda kind, canon, draw, key: F.pmod(F.xxhash64(canon, draw), F.lit(400)).cast("string"))
+    monkeypatch.setattr(pii_surrogates, "surrogate", lambda kind, canon, draw, n, key: F.pmod(F.xxhash64(canon, draw), F.lit(400)).cast("string"))
     df = spark.createDataFrame([("n", str(i)) for i in range(60)], "kind string, canon string")
     made = pii_surrogates._drawn(df, "key").collect()
     assert len({r.made for r in made}) == 60 and not {r.made for r in made} & {str(i) for i in range(60)}
