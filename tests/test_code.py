@@ -36,7 +36,8 @@ def test_symbols_and_routes(repo):
 
 def test_edges(repo):
     files, facts = repo
-    assert {(r.src, r.dst) for r in code.file_edges(files, facts).collect()} == {
+    package = files.limit(1).selectExpr("'svc/core/__init__.py' as path", "language", "'# package' as content", "size", "lines")
+    assert {(r.src, r.dst) for r in code.file_edges(files.unionByName(package), facts).collect()} == {
         ("svc/core/accounts.py", "svc/core/store.py"), ("svc/core/accounts.py", "svc/core/__init__.py"), ("svc/api/accounts.py", "svc/core/accounts.py"), ("svc/api/accounts.py", "svc/core/__init__.py"),
     }
     calls = {(r.caller, r.callee_file, r.callee) for r in code.call_edges(files, facts).collect()}
