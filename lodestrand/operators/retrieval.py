@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +64,30 @@ def reasons(hits: DataFrame) -> DataFrame:
     return hits.withColumn("reason", F.concat_ws("; ", kw, vec))
 
 
-def dense_top_k(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k by inner product of array columns; ``queries`` is a stated set that is compared with all items in one pass."""
-    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = items.join(F.broadcast(queries)).where("query_id <> doc_id").select("query_id", "doc_id", F.round(dot, 5).alias("score"))
-    return top_k(scored, "query_id", "doc_id", "score", k)
+def _blocked(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """One row for about ``size`` vectors."""
+    many = -(-rows.count() // size) or 1
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(many)).alias("b")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias(name)).drop("b")
+
+
+def dense_top_k(items: DataFrame, queries: DataFrame, k: int, query_block: int = 512, item_block: int = 4096) -> DataFrame:
+    """Exact top-k by inner product of array columns, without a query's own id.
+
+    Queries meet items in blocks: a pair of blocks is one row and one matrix product, which returns the best of each query.
+    """
+    pairs = _blocked(queries, "query_id", "qv", query_block, "q").crossJoin(_blocked(items, "doc_id", "v", item_block, "i"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                (qi, qv), (ii, iv) = (((x := batch.column(c)[n].values).field("id").to_numpy(), np.stack([np.asarray(v, np.float64) for v in x.field("v").to_pylist()])) for c in (0, 1))
+                dots = qv @ iv.T
+                dots[qi[:, None] == ii[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ii, dots.shape), -np.round(dots, 5)), axis=1)[:, : k + 4]
+                rows = np.repeat(np.arange(len(qi)), order.shape[1])
+                best = dots[rows, order.ravel()]
+                live = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[rows][live]), pa.array(ii[order.ravel()][live]), pa.array(best[live])], names=["query_id", "doc_id", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, doc_id long, score double").withColumn("score", F.round("score", 5))
+    return top_k(found, "query_id", "doc_id", "score", k)
