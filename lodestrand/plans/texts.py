@@ -202,3 +202,60 @@ def j1_chunk_documents(spark, sf_dir):
 def i1_link_edges(spark, sf_dir):
     links = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("pos", "target"))
     return links.groupBy("page_id", "target").agg(F.min("pos").cast("long").alias("first_pos"))
+
+
+HINTS = ("/en/1", "/de/", "/fr/9", "/es/53")
+
+
+@query(
+    "with p as (select page_id, regexp_extract(url, '://[^/]*([^?#]*)', 1) as path from pages), h as (select unnest([" + ", ".join(f"'{h}'" for h in HINTS) + "]) as hint), "
+    "m as (select hint, page_id, path, row_number() over (partition by hint order by (path = hint) desc, length(path) desc, page_id) as rn from h, p where contains(path, hint) or (path <> '' and contains(hint, path))) select hint, page_id, path from m where rn = 1"
+)
+def c10_route_hint(spark, sf_dir):
+    from lodestrand.operators.rules import first_wins
+
+    path = F.regexp_extract("url", "://[^/]*([^?#]*)", 1)
+    hints = F.filter(F.array(*map(F.lit, HINTS)), lambda h: F.col("path").contains(h) | ((F.col("path") != "") & F.contains(h, F.col("path"))))
+    met = table(spark, sf_dir, "pages").select("page_id", path.alias("path")).select("page_id", "path", F.explode(hints).alias("hint"))
+    return first_wins(met, ["hint"], F.desc(F.col("path") == F.col("hint")), F.desc(F.length("path")), "page_id").select("hint", "page_id", "path")
+
+
+@query("with s as (select page_id, string_split(regexp_extract(url, '://([^/?#]*)', 1), '.') as p from pages) select page_id, array_to_string(p[len(p) - 1:len(p)], '.') as module, coalesce(m.n, 0) as siblings from s left join (select array_to_string(p[len(p) - 1:len(p)], '.') as k, count(*) as n from s group by k) m on m.k = array_to_string(p[len(p) - 1:len(p)], '.')")
+def c1_module_lookup(spark, sf_dir):
+    parts = F.split(F.regexp_extract("url", "://([^/?#]*)", 1), "[.]")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), ".").alias("module"))
+    known = rows.groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(known, "module", "left").select("page_id", "module", F.coalesce("n", F.lit(0)).alias("siblings"))
+
+
+@query("select page_id, url, layer, row_number() over (partition by layer order by page_id)::int as step from (select page_id, url, case when contains(url, '/en/') then 0 when contains(url, '/de/') then 1 when contains(url, '.html') then 2 else 3 end as layer from pages) qualify step <= 5")
+def f8_flow_layers(spark, sf_dir):
+    from pyspark.sql import Window
+
+    layer = F.when(F.col("url").contains("/en/"), 0).when(F.col("url").contains("/de/"), 1).when(F.col("url").contains(".html"), 2).otherwise(3)
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", layer.alias("layer"))
+    return rows.withColumn("step", F.row_number().over(Window.partitionBy("layer").orderBy("page_id"))).where("step <= 5")
+
+
+@query("select doc_id, len(regexp_extract_all(text, '[0-9]+')) as n_numbers, coalesce(try_cast(nullif(regexp_extract(text, '([0-9]{1,9})', 1), '') as bigint), 0) as first_number from documents where regexp_matches(text, '[0-9]')")
+def d20_number_totals(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
+    first = F.nullif(F.regexp_extract("text", "([0-9]{1,9})", 1), F.lit("")).cast("long")
+    return docs.select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).cast("long").alias("n_numbers"), F.coalesce(first, F.lit(0)).alias("first_number"))
+
+
+@query(f"with {LINES} select doc_id, min(line_no)::int as line_no from l where contains(line, 'License') group by doc_id")
+def c24_first_mention(spark, sf_dir):
+    from lodestrand.operators.rules import lines
+
+    return lines(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("line").contains("License")).groupBy("doc_id").agg(F.min("line_no").alias("line_no"))
+
+
+ENTRIES = ("src3", "src0", "src7", "main")
+
+
+@query("select name, ordinal from (values " + ", ".join(f"('{n}', {i})" for i, n in enumerate(ENTRIES)) + ") as c(name, ordinal) where exists (select 1 from documents where source = name) order by ordinal")
+def c23_entry_points(spark, sf_dir):
+    names = F.create_map(*[F.lit(x) for i, n in enumerate(ENTRIES) for x in (n, i)])
+    present = table(spark, sf_dir, "documents").where(F.col("source").isin(*ENTRIES)).groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return present.select("name", F.try_element_at(names, F.col("name")).alias("ordinal")).orderBy("ordinal")
