@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.llm.common import text_batches
+
 #: Pieces that a worker remembers; past that it forgets all and goes on.
 CACHE_PIECES = 150_000
 #: Characters of text encoded at once.
@@ -189,6 +191,7 @@ def _vocabulary_bytes(path: str) -> bytes:
 
 def _appended(df: DataFrame, source: str, name: str, keep: list[str] | None, make) -> DataFrame:
     """Add the binary column ``name``, which ``make()(values) -> iterator of lists`` gives for ``source``."""
+    text_batches(df)
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
     src = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{source}`").alias("__in"))
     schema = T.StructType([f for f in src.schema if f.name != "__in"] + [T.StructField(name, T.BinaryType())])

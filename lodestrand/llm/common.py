@@ -34,6 +34,18 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to Python at once; whole texts are long, so fewer than its default of 10,000 bound a task's memory.
+TEXT_ROWS = "1000"
+
+
+def text_batches(df: DataFrame) -> SparkSession:
+    """The session of ``df``, with Arrow batches small enough for whole texts unless it asks for another size itself."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, TEXT_ROWS)
+    return spark
+
+
 def id_remainder(doc_id: str | Column, divisor: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``divisor`` (a null id counts as empty text)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

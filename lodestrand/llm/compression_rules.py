@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.llm.blocks import Block, blocks, mix, window_heads, windows
+from lodestrand.llm.common import text_batches
 
 #: (texts of up to so many bytes, least ratio, largest ratio) of whole texts.
 WHOLE_BANDS = ((64, 0.0, 9e9), (256, 0.0, 3.2), (1024, 1.05, 3.6), (4096, 1.2, 4.2), (1 << 16, 1.3, 5.0), (1 << 62, 1.4, 8.0))
@@ -116,6 +117,7 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None, wh
 
     keep: columns to carry along (all others than the results' by default).  No shuffle: one pass over the texts.
     """
+    text_batches(docs)
     made = T._parse_datatype_string(FIELDS)
     names = {f.name.lower() for f in made}
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.blocks import Block, blocks, mix, window_heads, windows
-from lodestrand.llm.common import stored
+from lodestrand.llm.common import stored, text_batches
 from lodestrand.llm.components import components, roots
 
 SHINGLE = 5
@@ -167,6 +167,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id: the smallest id of all rows linked to this one, over any number of links; kept: it is this row's own.
     Shuffles: index entries (16 bytes each), whole texts once, sets of clustered texts.
     """
+    text_batches(docs)
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = stored(src.mapInArrow(_describe, "id long, text_key long, n_shingles long, set_key long, signature binary"))
     classes = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "text_key")).alias("of"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")))

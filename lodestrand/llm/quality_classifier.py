@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.llm.blocks import BASE, CODES, SPACE, Block, blocks
-from lodestrand.llm.common import id_remainder
+from lodestrand.llm.common import id_remainder, text_batches
 
 BUCKET_BITS = 18
 GRAMS = (3, 4, 5)
@@ -144,6 +144,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     held_out: rows whose crc32(id as text) modulo this is 0 are never trained on; predicted: 1 if score >= threshold.
     """
+    text_batches(docs)
     weights, bias = fit(docs, labels, doc_id, text, label, held_out)
     data = docs.sparkSession.sparkContext.broadcast(weights)  # 4 bytes for each bucket
     src = docs.select(F.col(f"`{doc_id}`").alias(doc_id), F.col(f"`{text}`").alias("__text"))

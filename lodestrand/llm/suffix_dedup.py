@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.blocks import Block, blocks, mix, window_heads, windows
-from lodestrand.llm.common import stored
+from lodestrand.llm.common import stored, text_batches
 
 #: Words in a run; runs in a window; words that a passage has at least.
 RUN, WINDOW, LEAST = 25, 25, 50
@@ -238,6 +238,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     if not RUN + WINDOW - 1 <= least:
         raise ValueError(f"least has to be {RUN + WINDOW - 1} or more")
+    text_batches(docs)
     src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = stored(src.mapInArrow(_keyed, "id long, key long, n_words long").where(F.col("n_words") >= least))
     keys = rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.llm.blocks import Block, blocks, window_heads, windows
-from lodestrand.llm.common import stored
+from lodestrand.llm.common import stored, text_batches
 
 #: Words in a seed, which is also the least length of a tile.
 SEED = 5
@@ -122,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     """
     results = ("contaminated", "item_id", "coverage")
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results and not c.startswith("__")]
-    spark = docs.sparkSession
+    spark = text_batches(docs)
     named = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text")).where("item is not null")
     items = stored(named.mapInArrow(_items, "item long, seed long, times long, bit long, words binary"))
     cells = items.select(F.expr("bit div 64").alias("cell"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mark")).groupBy("cell").agg(F.bit_or("mark").alias("marks"))
