@@ -12,6 +12,7 @@ from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -177,6 +178,15 @@ def test_windows_score_each_id_once_and_attention_is_causal():
     assert np.allclose(attention_lm.log_odds(w, rows, classes), np.log(np.take_along_axis(a, classes[..., None], 2)[..., 0]), atol=1e-4)
 
 
+def test_the_model_is_of_full_size():
+    cutter = attention_lm.Subwords({bytes([b]): b for b in range(256)} | {b" national": 256, b"national": 257, b"nation": 258})
+    ids, offs, _ = cutter.cut(next(blocks(pa.array(["national"]))))
+    assert ids.tolist() in ([256, cutter.end], [257, cutter.end]) and offs.tolist() == [0, 2]
+    _, _, new, _, index = attention_lm.cut_windows(np.arange(400), np.array([0, 400]))
+    assert min(np.flatnonzero(row)[0] for row in new[index > 0]) >= 8
+    assert (attention_lm.HEAD, attention_lm.CLASSES) == (44, 64)
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     w = {k: x.astype(np.float64) for k, x in attention_lm.fresh(np.zeros(attention_lm.CLASSES, np.float32)).items()}
