@@ -187,6 +187,21 @@ def test_the_model_is_of_full_size():
     assert (attention_lm.HEAD, attention_lm.CLASSES) == (44, 64)
 
 
+def test_each_window_of_a_text_is_learnt_once(monkeypatch):
+    words = [f"w{i}" for i in range(700)]
+    data = open(VOCABULARY, "rb").read()
+    cutter = attention_lm.Subwords.read(data)
+    ids, offs, _ = cutter.cut(next(blocks(pa.array([" ".join(words)]))))
+    built = attention_lm.Classes.build(np.bincount(ids, minlength=cutter.size), cutter.kind)
+    place, real, *_ = attention_lm.cut_windows(ids, offs)
+    learnt = Counter()
+    monkeypatch.setattr(attention_lm.Trainer, "step", lambda self, rows, classes, valid: learnt.update(zip(map(bytes, rows.astype(np.int32)), map(bytes, classes.astype(np.int32)), map(bytes, valid), strict=True)))
+    for turn in range(attention_lm.ROUNDS):
+        list(attention_lm._learn([pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], names=["text"])], data, built, attention_lm.pack(attention_lm.fresh(built.even)), turn))
+    rows = attention_lm.inputs(built.row[ids], place, np.arange(len(place)) == 0)
+    assert len(place) > 40 and learnt == Counter(zip(map(bytes, rows.astype(np.int32)), map(bytes, built.of[ids][place].astype(np.int32)), map(bytes, real), strict=True))
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     w = {k: x.astype(np.float64) for k, x in attention_lm.fresh(np.zeros(attention_lm.CLASSES, np.float32)).items()}
