@@ -65,6 +65,23 @@ def test_bands_reject_repetition_and_noise():
     assert compression_rules.measure(next(blocks(pa.array([random]))))["whole_ratio"][0] < 2
 
 
+def test_bands_reject_wrapped_base64_of_any_length():
+    import base64
+
+    def wrapped(n, width):
+        data = base64.b64encode(np.random.default_rng(n).bytes(n)).decode()
+        return "\n".join(data[i : i + width] for i in range(0, len(data), width))[:n]
+
+    noise = [wrapped(n, width) for n in (300, 400, 512, 900, 1024, 1025, 4096, 4097, 20_000, 65_000, 200_000) for width in (12, 20)] + [wrapped(n, 76) for n in (900, 2000, 4096, 20_000, 65_000, 200_000)]
+    found = compression_rules.measure(next(blocks(pa.array(noise))))
+    assert not found["base_failed"].any() and not found["kept"].any()
+
+
+def test_lines_belong_to_their_own_document():
+    texts = ["", "a\n", "b\nb\n", "\n", "b\na\na", "\n\nc\n", "c"]
+    assert compression_rules.measure(next(blocks(pa.array(texts))))["n_dup_lines"].tolist() == [0, 0, 1, 0, 1, 0, 0]
+
+
 def similar(a, b):
     return 100 * len(a & b) >= 85 * len(a | b) if a and b else False
 
