@@ -1,19 +1,18 @@
-"""Passages that repeat across documents, by a sparse suffix array.
+"""Passages that repeat across documents, by sparse suffixes and exact windows.
 
 Suffixes are retained only where a document's words have a minimiser: the run of RUN words whose hash is
 least among WINDOW successive runs.  Equal passages have equal minimisers, wherever they stand, so a
-passage of RUN + WINDOW - 1 words or more has a retained suffix in every copy; successive minimisers of a
-document are at most WINDOW words apart, so their runs leave no gap.  A suffix is represented by its first
-run, a hash of the minimisers and gaps that follow, and its place.
+passage of RUN + WINDOW - 1 words or more has a retained suffix in every copy.
 
-Suffixes are sorted over the whole cluster by run, continuation and place.  Places break all ties, so a
-passage that a third of all documents hold is split over tasks.  Each suffix is compared with its neighbour:
-the nearest one before it (or after it, if none is before) that has the same run in another document.
-Matches of two documents on one diagonal are strung together, and the two ends of each string are extended
-left and right, word by word.  Spans of at least ``least`` words are returned, merged where they overlap.
+A window is ``least`` successive words.  Two documents that share a window share all its minimisers, so
+suffixes are counted by run first, and only windows whose minimisers at both ends also occur in another
+document are candidates.  These are grouped by a 64-bit hash of their words: a window is shared if it occurs in two
+documents.  Spans are the unions of shared windows, that is, of all passages of at least ``least`` words,
+merged where they touch or overlap.  No candidate is compared with a chosen neighbour only, so none hides another.
+
+Both groupings keep the least and the greatest document of a hash, so what a third of all documents hold is
+added up before any shuffle; the joins back to the rows split such a hash over tasks.
 
-Every document that shares over LEAST + WINDOW - 2 words with another is found.  A shorter shared passage is
-found too, unless a neighbour in the sorted order shares more of what follows and less of what precedes.
 Equal texts are represented by one; if several rows share a text of at least ``least`` words, all of it is
 a passage.  What repeats within one document only is none.
 
@@ -27,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,18 +35,11 @@ from lodestrand.llm.common import stored, text_batches
 
 #: Words in a run; runs in a window; words that a passage has at least.
 RUN, WINDOW, LEAST = 25, 25, 50
-#: Words by which the ends of a string are extended at most: with a run, that is a whole passage.
-EXTEND = LEAST - RUN
-#: Minimisers after a suffix's own that its place in the order depends on.
-FOLLOWING = 3
 
 
-def minimisers(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word positions in the block, hashes of their runs, documents) of all minimisers of a block."""
-    empty = np.empty(0, np.int64)
+def least_runs(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the runs at all word positions of a block, position of the least of the WINDOW runs from each on)."""
     heads = window_heads(block, RUN)
-    if not heads.any():
-        return empty, empty.astype(np.uint64), empty
     runs = np.full(len(heads), np.iinfo(np.uint64).max, np.uint64)
     found = windows(block.hashes(), RUN)
     runs[: len(found)] = found
@@ -64,6 +55,17 @@ def minimisers(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         right = best[other]
         best = np.where(runs[right] < runs[best], right, best)
         width += step
+    return runs, best
+
+
+def minimisers(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word positions in the block, hashes of their runs, documents) of all minimisers of a block."""
+    empty = np.empty(0, np.int64)
+    heads = window_heads(block, RUN)
+    if not heads.any():
+        return empty, empty.astype(np.uint64), empty
+    runs, best = least_runs(block)
+    place = np.arange(len(runs))
     last = np.repeat(block.word_offs[1:], block.n_words) - RUN - WINDOW + 1  # where the last full window begins
     first = np.repeat(block.word_offs[:-1], block.n_words)
     full = place <= np.maximum(last, first)  # a document with fewer runs than a window counts as one
@@ -72,20 +74,8 @@ def minimisers(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chosen, runs[chosen], block.doc_of_word[chosen]
 
 
-def _following(at: np.ndarray, runs: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Hash of the next minimisers of the same document and the gaps before them."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(1, FOLLOWING + 1):
-        if k >= len(at):
-            break
-        same = docs[k:] == docs[:-k]
-        step = mix(runs[k:] + (at[k:] - at[:-k]).astype(np.uint64))
-        out[:-k] = np.where(same, mix(out[:-k] * np.uint64(31) + step), out[:-k])
-    return out
-
-
 def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """text -> run, next, key, pos (words from the text's start); texts of fewer than ``least`` words have none."""
+    """text -> run, key, pos (words from the text's start); texts of fewer than ``least`` words have none."""
     for batch in batches:
         for block in blocks(batch.column(0)):
             at, runs, docs = minimisers(block)
@@ -93,117 +83,26 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
             at, runs, docs = at[long], runs[long], docs[long]
             if len(at):
                 keys = block.spans(block.offs[:-1], block.offs[1:]).view(np.int64)
-                cols = [runs.view(np.int64), _following(at, runs, docs).view(np.int64), keys[docs], (at - block.word_offs[docs]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["run", "next", "key", "pos"])
-
-
-class Neighbours:
-    """Streams sorted suffixes (run, key, pos) of one partition into pairs of neighbours.
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (runs.view(np.int64), keys[docs], (at - block.word_offs[docs]).astype(np.int32))], names=["run", "key", "pos"])
 
-    Held over from batch to batch: the rows of the last (run, key) and the row before them, if of the same run.
-    """
-
-    def __init__(self) -> None:
-        self.run, self.key, self.pos = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-        self.done = 0  # rows held over that have had their neighbour, or are one
-        self.first: list[tuple[int, int, int]] = []  # rows of the partition's first (run, key)
-        self.in_first = True
-
-    def add(self, run: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-        """key, pos, key2, pos2 of new pairs."""
-        held = len(self.run)
-        run, key, pos = np.concatenate([self.run, run]), np.concatenate([self.key, key]), np.concatenate([self.pos, pos])
-        n = len(run)
-        if not n:
-            return key, pos, key, pos
-        place = np.arange(n)
-        new_run = np.ones(n, bool)
-        new_run[1:] = run[1:] != run[:-1]
-        new = new_run.copy()
-        new[1:] |= key[1:] != key[:-1]
-        starts = np.flatnonzero(new)
-        block = np.cumsum(new) - 1
-        start, end = starts[block], np.append(starts[1:], n)[block]
-        has_before = ~new_run[start]
-        after = np.minimum(end, n - 1)
-        has_after = (end < n) & ~new_run[after]
-        a = np.flatnonzero(has_before & (place >= self.done))
-        b = np.flatnonzero(~has_before & has_after)
-        if self.in_first:
-            mine = block[held:] == 0
-            self.first += zip(run[held:][mine].tolist(), key[held:][mine].tolist(), pos[held:][mine].tolist(), strict=True)
-            self.in_first = bool(block[-1] == 0)
-        keep = int(start[-1]) - int(has_before[-1])
-        self.done = n - keep if has_before[-1] else 0
-        out = key[np.concatenate([a, b])], pos[np.concatenate([a, b])], key[np.concatenate([start[a] - 1, end[b]])], pos[np.concatenate([start[a] - 1, end[b]])]
-        self.run, self.key, self.pos = run[keep:], key[keep:], pos[keep:]
-        if self.done > 2:  # of rows that have had their neighbour, the last will do
-            self.run, self.key, self.pos, self.done = self.run[[0, -1]], self.key[[0, -1]], self.pos[[0, -1]], 2
-        return out
-
-    def last(self) -> list[tuple[int, int, int]]:
-        """The row that the next partition's rows have as their neighbour, or all rows that have none yet."""
-        rows = list(zip(self.run.tolist(), self.key.tolist(), self.pos.tolist(), strict=True))
-        return rows[-1:] if self.done else rows
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (run, next, key, pos) -> pairs (edge 0), and rows at the partition's ends (edge 1: first, 2: last)."""
-    names, kinds = ["key", "pos", "key2", "pos2", "run", "edge"], (np.int64, np.int32, np.int64, np.int32, np.int64, np.int32)
-
-    def rows(*cols) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, t)) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    state = Neighbours()
-    for batch in batches:
-        found = state.add(*(batch.column(i).to_numpy() for i in (0, 2, 3)))
-        none = np.zeros(len(found[0]))
-        yield rows(*found, none, none)
-    for edge, ends in ((1, state.first), (2, state.last())):
-        if ends:
-            run, key, pos = zip(*ends, strict=True)
-            yield rows(key, pos, key, pos, run, [edge] * len(run))
 
-
-def across(ends: list) -> list[tuple[int, int, int, int]]:
-    """Pairs of neighbours that partitions' ends hold; ends: rows with part, edge, run, key, pos."""
-    out, waiting = [], []
-    for part in sorted({r.part for r in ends}):
-        first = [r for r in ends if r.part == part and r.edge == 1]
-        last = [r for r in ends if r.part == part and r.edge == 2]
-        if waiting and waiting[0].run == first[0].run:
-            if waiting[0].key != first[0].key:
-                out += [(w.key, w.pos, first[0].key, first[0].pos) for w in waiting]
-                out += [(f.key, f.pos, waiting[-1].key, waiting[-1].pos) for f in first]
-            elif (last[0].run, last[0].key) == (first[0].run, first[0].key):
-                last = waiting + last
-        waiting = last
-    return out
-
-
-def strings(pairs: DataFrame) -> DataFrame:
-    """Matches on one diagonal at most WINDOW words apart -> (key, key2, shift, low, high): minimisers from..to in key."""
-    pairs = pairs.withColumn("shift", F.col("pos") - F.col("pos2"))
-    diagonal = Window.partitionBy("key", "key2", "shift").orderBy("pos")
-    numbered = pairs.withColumn("new", F.when(F.col("pos") - F.lag("pos").over(diagonal) <= WINDOW, 0).otherwise(1))
-    numbered = numbered.withColumn("string", F.sum("new").over(diagonal.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("key", "key2", "shift", "string").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).drop("string")
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, wanted (sid, role, pos) -> sid, role, the words before a minimiser (roles 0, 1) or after its run (2, 3)."""
+def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """text, key, places of minimisers that other documents have too -> window, key, start of all candidates."""
     for batch in batches:
         for block in blocks(batch.column(0)):
-            words = (block.hashes() >> np.uint64(32)).astype(np.uint32)
-            sids, roles, found = [], [], []
-            for i, wanted in enumerate(batch.column(1).slice(block.first, len(block)).to_pylist()):
-                own = words[block.word_offs[i] : block.word_offs[i + 1]]
-                for w in wanted:
-                    p = w["pos"]
-                    sids.append(w["sid"])
-                    roles.append(w["role"])
-                    found.append((own[max(0, p - EXTEND) : p][::-1] if w["role"] < 2 else own[p + RUN : p + RUN + EXTEND]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(roles, pa.int32()), pa.array(found, pa.binary())], names=["sid", "role", "words"])
+            part = batch.slice(block.first, len(block))
+            keys, lists = part.column(1).to_numpy(), part.column(2)
+            places = lists.flatten().to_numpy() + np.repeat(block.word_offs[:-1], lists.value_lengths().to_numpy())
+            met = np.zeros(len(block.doc_of_word), bool)
+            met[places] = True
+            at = np.flatnonzero(window_heads(block, least))
+            if not len(at):
+                continue
+            _, best = least_runs(block)
+            at = at[met[best[at]] & met[best[at + least - RUN - WINDOW + 1]]]
+            docs = block.doc_of_word[at]
+            found = windows(block.hashes(), least)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(keys[docs]), pa.array((at - block.word_offs[docs]).astype(np.int32))], names=["window", "key", "start"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,18 +122,11 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([same[0], pa.array(key.view(np.int64)), same[1]], names=["id", "key", "text"])
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Leading words that two packed sequences share."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    n = min(len(x), len(y))
-    off = np.flatnonzero(x[:n] != y[:n])
-    return int(off[0]) if len(off) else n
-
-
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(``doc_id``, start, end, n_words): spans of words, from 0 and end exclusive, that other documents hold as well.
 
-    Shuffles: retained suffixes twice (about a twelfth of all words, 28 bytes each), whole texts once.
+    Shuffles: retained suffixes twice (about a twelfth of all words, 20 bytes each), texts with candidates once,
+    candidate windows twice (20 bytes each).
     """
     if not RUN + WINDOW - 1 <= least:
         raise ValueError(f"least has to be {RUN + WINDOW - 1} or more")
@@ -243,41 +135,19 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = stored(src.mapInArrow(_keyed, "id long, key long, n_words long").where(F.col("n_words") >= least))
     keys = rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"))
 
-    suffixes = src.select("text").mapInArrow(lambda batches: _suffixes(batches, least), "run long, next long, key long, pos int").distinct()
-    order = ["run", "next", "key", "pos"]
-    ranked = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(ranked.mapInArrow(_neighbours, "key long, pos int, key2 long, pos2 int, run long, edge int").withColumn("part", F.spark_partition_id()))
-    pairs = found.where("edge = 0").select("key", "pos", "key2", "pos2")
-    if seams := across(found.where("edge > 0").collect()):  # a few rows for each partition
-        pairs = pairs.union(docs.sparkSession.createDataFrame(seams, pairs.schema))
+    def met(rows: DataFrame, by: str) -> DataFrame:
+        """Rows whose value of ``by`` occurs in two documents or more."""
+        # written first: a join splits a frequent value over tasks only if both of its sides come straight from a shuffle
+        several = stored(rows.groupBy(by).agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select(by))
+        return rows.join(several.hint("merge"), by, "left_semi")
 
-    strung = stored(strings(pairs).withColumn("sid", F.monotonically_increasing_id()))
-    asked = strung.select(
-        "sid",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("role"), F.col("key"), F.col("low").alias("pos")),
-                F.struct(F.lit(1).alias("role"), F.col("key2").alias("key"), (F.col("low") - F.col("shift")).alias("pos")),
-                F.struct(F.lit(2).alias("role"), F.col("key"), F.col("high").alias("pos")),
-                F.struct(F.lit(3).alias("role"), F.col("key2").alias("key"), (F.col("high") - F.col("shift")).alias("pos")),
-            )
-        ).alias("x"),
-    )
-    wanted = asked.groupBy("x.key").agg(F.collect_list(F.struct("sid", "x.role", "x.pos")).alias("wanted"))
-    of = wanted.join(keys.select("key", "id"), "key").select(F.struct("id", "key").alias("of"), "wanted")
+    suffixes = src.select("text").mapInArrow(lambda batches: _suffixes(batches, least), "run long, key long, pos int")
+    wanted = met(stored(suffixes), "run").groupBy("key").agg(F.collect_set("pos").alias("places"))
+    of = wanted.join(keys.select("key", "id"), "key").select(F.struct("id", "key").alias("of"), "places")
     texts = src.mapInArrow(_with_key, "id long, key long, text string").select(F.struct("id", "key").alias("of"), "text")
     once = texts.join(of.hint("shuffle_hash"), "of").dropDuplicates(["of"])
-    contexts = once.select("text", "wanted").mapInArrow(_contexts, "sid long, role int, words binary")
-
-    @F.pandas_udf("int")
-    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([common(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-    ends = contexts.groupBy("sid").agg(*[F.max(F.when(F.col("role") == k, F.col("words"))).alias(f"c{k}") for k in range(4)])
-    grown = ends.select("sid", shared("c0", "c1").alias("left"), shared("c2", "c3").alias("right"))
-    spans = strung.join(grown, "sid").withColumn("start", F.col("low") - F.col("left")).withColumn("end", F.col("high") + RUN + F.col("right")).where(F.col("end") - F.col("start") >= least)
-    sides = F.array(F.struct("key", "start", "end"), F.struct(F.col("key2").alias("key"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end")))
-    single = spans.select(F.explode(sides).alias("x")).select("x.*").distinct()
+    candidates = stored(once.select("text", "of.key", "places").mapInArrow(lambda batches: _windows(batches, least), "window long, key long, start int"))
+    single = met(candidates, "window").select("key", "start", (F.col("start") + least).alias("end"))
     copied = keys.where("copies > 1").select("key", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))
     # overlapping spans of a text become one
     along = Window.partitionBy("key").orderBy("start", "end")

@@ -157,6 +157,41 @@ def test_repeated_passages(spark):
     assert suffix_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_repeated_passages_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"x{k}" for k in rng.integers(0, 1 << 40, n)]
+    long, short = fresh(74), fresh(51)
+    texts = [fresh(9) + long + fresh(30), fresh(40) + long + fresh(12), fresh(20) + short + fresh(3), short + fresh(25)]
+    # many documents hold 47 words from the midst of the passages, with something else around them
+    texts += [fresh(rng.integers(5, 60)) + core + fresh(rng.integers(5, 60)) for core in (long[18:65], short[2:49]) for _ in range(60)]
+    near = fresh(260)
+    for _ in range(25):
+        words = list(near)
+        for k in rng.integers(0, len(words), 4):
+            words[k] = fresh(1)[0]
+        texts.append(words)
+    holders = defaultdict(set)
+    for i, words in enumerate(texts):
+        for k in range(len(words) - 49):
+            holders[tuple(words[k : k + 50])].add(i)
+    want = {}
+    for i, words in enumerate(texts):
+        spans = []
+        for k in range(len(words) - 49):
+            if len(holders[tuple(words[k : k + 50])]) > 1:
+                if spans and k <= spans[-1][1]:
+                    spans[-1][1] = k + 50
+                else:
+                    spans.append([k, k + 50])
+        if spans:
+            want[i] = spans
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for r in suffix_dedup.repeated_passages(df).orderBy("start").collect():
+        got[r.doc_id].append([r.start, r.end])
+    assert set(want) >= {0, 1, 2, 3} and got == want
+
+
 def test_quality_classifier(spark, docs):
     rows = [(i, PROSE if i % 2 else "$$$ ### &&& " * 8) for i in range(200)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string")
