@@ -9,7 +9,8 @@ entity, in any document and spelling, gets the same surrogate (coreference).
 
 Surrogates are checked against each other and against all real entities.  Of entities that drew the same
 one, the first keeps it, and the others, like those that drew a real entity, draw again until no clash is
-left (distinctness).
+left (distinctness).  The spaces of invented names and phone numbers are small, so they grow with the draws: names
+get one more syllable each second draw, numbers one more digit a draw after the first four.
 
 The table of entities is small beside the texts; it alone is shuffled, with those texts that hold
 entities.  Entities are counted once before any join, so one that a third of all documents hold is a line.
@@ -133,12 +134,12 @@ def _iban_check(country: Column, rest: Column) -> Column:
     return F.lpad((98 - mod).cast("string"), 2, "0")
 
 
-def _invented(part: Column, script: Column, ending: Column, seed: Column) -> Column:
-    draws = _numbers(F.concat(seed, F.lit("|"), part), 32)
+def _invented(part: Column, script: Column, ending: Column, seed: Column, draw: Column) -> Column:
+    draws = F.slice(_numbers(F.concat(seed, F.lit("|"), part), 32), 1, F.least(draw / 2, F.lit(29)).cast("int") + 3)
     out = None
     for name, syllables in SYLLABLES.items():
-        table = F.array(*map(F.lit, syllables))
-        word = F.initcap(F.concat(*[F.element_at(table, F.pmod(F.element_at(draws, k), F.lit(len(syllables))) + 1) for k in (1, 2, 3)], ending))
+        table, size = F.array(*map(F.lit, syllables)), F.lit(len(syllables))
+        word = F.initcap(F.concat(F.concat_ws("", F.transform(draws, lambda d: F.element_at(table, F.pmod(d, size) + 1))), ending))  # noqa: B023
         out = word if out is None else F.when(script == name, word).otherwise(out)
     return F.when(part.isNotNull(), out)
 
@@ -153,6 +154,7 @@ def surrogate(kind: Column, canon: Column, draw: Column, n: Column, key: str) ->
     first = F.when(canon.rlike(r"^\+[17]"), 2).when(canon.startswith("+"), 3).otherwise(0)
     phone = _recast(canon, n, first)
     phone = F.concat(F.substring(phone, F.lit(1), first), (F.element_at(n, 90) % 8 + 2).cast("string"), F.substring(phone, first + 2, F.lit(40)))
+    phone = F.concat(phone, F.concat_ws("", F.transform(F.slice(n, 60, F.greatest(F.lit(0), F.least(draw - 3, F.lit(20)))), lambda d: (d % 10).cast("string"))))
     card = F.concat(F.substring(canon, 1, 1), F.substring(_recast(canon, n), F.lit(2), F.length(canon) - 2))
     valid = _luhn_digit(F.substring(canon, F.lit(1), F.length(canon) - 1)) == F.substring(canon, -1, 1)
     card = F.concat(card, F.when(valid, _luhn_digit(card)).otherwise((F.element_at(n, 91) % 10).cast("string")))
@@ -169,7 +171,7 @@ def surrogate(kind: Column, canon: Column, draw: Column, n: Column, key: str) ->
     # a family name is drawn from itself alone, so it stays the same with and without a given name
     apart = F.concat(F.lit(f"{key}|name|"), draw.cast("string"))
     family, given = F.substring_index(name, " ", -1), F.when(F.instr(name, " ") > 0, F.substring_index(name, " ", 1))
-    full = F.concat_ws(" ", _invented(given, script, ending, F.concat(apart, gender)), _invented(family, script, F.lit(""), apart))
+    full = F.concat_ws(" ", _invented(given, script, ending, F.concat(apart, gender), draw), _invented(family, script, F.lit(""), apart, draw))
     return (
         F.when(kind == "email", email)
         .when(kind == "phone", phone)
@@ -183,12 +185,12 @@ def surrogate(kind: Column, canon: Column, draw: Column, n: Column, key: str) ->
 
 
 def _written(kind: Column, raw: Column, made: Column, plain: Column) -> Column:
-    """A surrogate in the spelling of the mention: its separators, its title, its spaces; plain: its digits and letters."""
+    """A surrogate in the spelling of the mention: its separators, its title, its spaces; plain: its digits and letters, more than the mention's perhaps."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
     refill = F.aggregate(
         F.split(raw, ""), start,
         lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.substring(plain, a["k"], F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substring(plain, a["k"], F.lit(40))),
     )
     title = F.regexp_extract(raw, r"^\S+ ", 0)
     return F.when(kind == "name", F.concat(title, F.substring_index(made, "|", -1))).when(kind.isin("phone", "card", "ssn", "iban"), refill).otherwise(made)

@@ -192,6 +192,18 @@ def test_repeated_passages_against_brute_force(spark):
     assert set(want) >= {0, 1, 2, 3} and got == want
 
 
+def test_surrogates_beyond_the_space_of_a_format(spark, monkeypatch):
+    monkeypatch.setattr(pii_surrogates, "SYLLABLES", {k: v[:2] for k, v in pii_surrogates.SYLLABLES.items()})
+    monkeypatch.setattr(pii_surrogates, "MOST_DRAWS", 30)
+    letters = "abcdefgh"
+    said = [f"Mr Z{a}{b}" for a in letters for b in letters] + [f"госпожа Ж{a}{b}" for a in "абвгде" for b in "абвгде"] + [f"+7 {k // 100:02} {k % 100:02}" for k in range(10_000)]
+    df = spark.createDataFrame([(i, f"say {x}, then go") for i, x in enumerate(said)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pii_surrogates.replace(df, "key").collect()}
+    new = [got[i].text.removeprefix("say ").removesuffix(", then go") for i in range(len(said))]
+    assert all(r.n_replaced == 1 for r in got.values()) and len(set(new)) == len(said) and not set(new) & set(said)
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+|госпожа [А-Я][а-я]+|[+]7 [0-9]{2} [0-9]{2,}", x) for x in new)
+
+
 def test_quality_classifier(spark, docs):
     rows = [(i, PROSE if i % 2 else "$$$ ### &&& " * 8) for i in range(200)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string")
