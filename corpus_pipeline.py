@@ -37,10 +37,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _named(compression_rules.judge(plain, text).where("kept"), docs)
 
 
+#: Near-duplicates in the pipeline: sets of shingles with a similarity of so many hundredths.
+NEAR_PERCENT = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, and once if its row is repeated."""
     plain, doc_id, text = _plain(docs)
-    chosen = hamming_dedup.near_duplicates(plain, doc_id, text).where(F.col("kept") & F.col(doc_id).isNotNull()).select(doc_id).distinct()
+    chosen = hamming_dedup.near_duplicates(plain, doc_id, text, NEAR_PERCENT).where(F.col("kept") & F.col(doc_id).isNotNull()).select(doc_id).distinct()
     stays = plain.join(chosen, doc_id, "left_semi")
     others = [F.xxhash64(c) for c in stays.columns if c != doc_id]
     once = stays.withColumn("copy", F.row_number().over(Window.partitionBy(doc_id, *others).orderBy(F.lit(1)))).where("copy = 1")

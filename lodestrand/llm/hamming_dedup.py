@@ -1,8 +1,8 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 Each set of shingles gets a signature of LANES minimum hashes, cut down to b bits a lane.  Two signatures
-whose distance (lanes that differ) is at most MOST_DIFFERENT must, by the pigeonhole principle, have one of
-the CHUNKS chunks with at most MOST_DIFFERENT // CHUNKS differing lanes.  So each chunk is entered in the
+whose distance (lanes that differ) is at most ``most_different(percent)`` must, by the pigeonhole principle, have
+one of more than half as many chunks with at most one differing lane.  So each chunk is entered in the
 index once for every choice of that many lanes left out (the allowed errors), and every pair within the
 distance meets in a bucket, without exception.  Buckets only tie their members to the bucket's smallest
 member; the components of those ties are clusters that hold every such pair.
@@ -23,6 +23,7 @@ gives an empty result; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -35,13 +36,25 @@ from lodestrand.llm.common import stored, text_batches
 from lodestrand.llm.components import components, roots
 
 SHINGLE = 5
-#: Lanes of 16 bits; at a similarity of 0.85, more than 15 of 40 lanes differ for one pair in 8,000.
-LANES, CHUNKS, MOST_DIFFERENT = 40, 8, 15
+#: Lanes of 16 bits; of pairs at the least similarity that is linked, one in MISSED at most is no candidate.
+LANES, MISSED = 40, 8000
 #: links: 100 * intersection >= PERCENT * union
 PERCENT = 85
 #: A task compares blocks of about so many sets and shingles, two at once.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 
+
+
+def most_different(percent: int) -> int:
+    """Lanes that may differ: more do for one pair in MISSED at most whose similarity is ``percent`` hundredths."""
+    same = percent / 100
+    more = lambda k: sum(comb(LANES, i) * (1 - same) ** i * same ** (LANES - i) for i in range(k + 1, LANES + 1))
+    return next(k for k in range(1, LANES) if more(k) * MISSED <= 1)
+
+
+#: At a similarity of 0.85: 15 of 40 lanes.
+MOST_DIFFERENT = most_different(PERCENT)
+
 _FACTORS = mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -75,12 +88,13 @@ def signatures(keys: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_lanes() -> list[list[int]]:
-    """For each entry in the index, the lanes that make its key."""
+def chunk_lanes(most: int = MOST_DIFFERENT) -> list[list[int]]:
+    """For each entry in the index, the lanes that make its key, so that pairs with ``most`` differing lanes meet."""
     from itertools import combinations
 
-    cuts = np.linspace(0, LANES, CHUNKS + 1).astype(int)
-    errors = MOST_DIFFERENT // CHUNKS
+    chunks = most // 2 + 1
+    cuts = np.linspace(0, LANES, chunks + 1).astype(int)
+    errors = most // chunks
     return [[x for x in range(a, b) if x not in out] for a, b in zip(cuts, cuts[1:], strict=False) for out in combinations(range(a, b), errors)]
 
 
@@ -101,9 +115,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """set_key, signature -> bucket, set_key."""
-    lanes = chunk_lanes()
+    lanes = chunk_lanes(most)
     for batch in batches:
         for first in range(0, len(batch), 4000):
             part = batch.slice(first, 4000)
@@ -172,7 +186,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = stored(src.mapInArrow(_describe, "id long, text_key long, n_shingles long, set_key long, signature binary"))
     classes = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "text_key")).alias("of"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")))
 
-    entries = classes.select("set_key", "signature").mapInArrow(_entries, "bucket long, set_key long")
+    most = most_different(percent)
+    entries = classes.select("set_key", "signature").mapInArrow(lambda batches: _entries(batches, most), "bucket long, set_key long")
     heads = entries.groupBy("bucket").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     ties = entries.join(heads, "bucket").where("set_key <> head")
     clusters = stored(components(ties, "set_key", "head").withColumnsRenamed({"node": "set_key", "root": "cluster"}).join(classes.select("set_key", "of", "n"), "set_key"))

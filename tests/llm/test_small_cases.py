@@ -136,6 +136,30 @@ def test_pigeonhole_index_meets_all_pairs():
         assert any(not off & set(chosen) for chosen in lanes)
 
 
+def test_index_meets_all_pairs_at_other_similarities():
+    rng = np.random.default_rng(1)
+    assert [hamming_dedup.most_different(p) for p in (85, 80)] == [15, 18]
+    for percent in (70, 80, 90):
+        most = hamming_dedup.most_different(percent)
+        lanes = hamming_dedup.chunk_lanes(most)
+        for _ in range(300):
+            off = set(rng.choice(hamming_dedup.LANES, most, replace=False).tolist())
+            assert any(not off & set(chosen) for chosen in lanes)
+
+
+def test_the_pipeline_drops_near_copies_at_0_8(spark):
+    import corpus_pipeline
+
+    words = [f"n{i}" for i in range(104)]
+    near, far = [*words], [*words]
+    for k in (20, 60):  # ten of 100 shingles: 90 / 110 = 0.82
+        near[k] = f"m{k}"
+    for k in (20, 50, 80):  # 85 / 115 = 0.74
+        far[k] = f"f{k}"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3]
+
+
 def test_components_without_local_finish(spark, monkeypatch):
     from lodestrand.llm import components as C
 
