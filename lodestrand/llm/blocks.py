@@ -116,10 +116,10 @@ class Block:
 
 
 def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a text column into blocks of at most ``most`` bytes, or of one longer document.  Null: empty."""
+    """Cut a text or binary column into blocks of at most ``most`` bytes, or of one longer document.  Null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    column = column.fill_null(b"").cast(pa.large_binary()) if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else column.fill_null("").cast(pa.large_string())
     n = len(column)
     _, where, data = column.buffers()
     offs = np.frombuffer(where, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)

@@ -328,8 +328,34 @@ def test_replay_equals_the_library_on_odd_texts():
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=voc.ranks, special_tokens={})
     alphabet = ["a", "aa", "b", "é", "ß", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u180e", "\u200b", "\xa0", "0", "12", "٣", "'s", "'S", "'ll", "日本", "🙂", "\x00", "ſ", "_", "the", "ing", "<|endoftext|>", "\r", "\u323c", "\U000323c0", "\U00010948"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)] + ["a" * n for n in range(150)] + [" " * 999, "aab" * 70]
-    for t, ids in zip(texts, bpe_replay.Encoder(voc, public_tokenizers.PATTERN)(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(t)
+    for size, most in ((1 << 22, bpe_replay.CACHE_PIECES), (1 << 10, 300)):  # the second forgets pieces again and again
+        coder, bpe_replay.CACHE_PIECES, kept = bpe_replay.Encoder(voc), most, bpe_replay.CACHE_PIECES
+        try:
+            for block in blocks(pa.array(texts, pa.string()), size):
+                ids, offs = coder(block)
+                for i in range(len(block)):
+                    assert ids[offs[i] : offs[i + 1]].tolist() == library.encode_ordinary(block.text(i).decode())
+        finally:
+            bpe_replay.CACHE_PIECES = kept
+
+
+def test_merges_of_lower_rank_go_first():
+    """A made-up vocabulary in which merges make pairs of lower rank; against the plain rule, one merge at a time."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(40):
+        tokens = [bytes([b]) for b in range(256)] + list({"".join(rng.choices("ab", k=rng.randint(2, 5))).encode() for _ in range(14)})
+        voc = bpe_replay.Vocabulary({t: i for i, t in enumerate(tokens)})
+        pieces = ["".join(rng.choices("ab", k=rng.randint(1, 30))).encode() for _ in range(300)]
+        offs = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        ids, many = bpe_replay.replay(np.frombuffer(b"".join(pieces), np.uint8), offs, voc)
+        for piece, own in zip(pieces, np.split(ids, np.cumsum(many)[:-1]), strict=True):
+            want = [piece[i : i + 1] for i in range(len(piece))]
+            while found := [(voc.ranks[a + b], i) for i, (a, b) in enumerate(zip(want, want[1:], strict=False)) if a + b in voc.ranks]:
+                i = min(found)[1]
+                want[i : i + 2] = [want[i] + want[i + 1]]
+            assert [tokens[i] for i in own.tolist()] == want
 
 
 def test_surrogates(spark):
