@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lodestrand.llm.url_templates import DEPTH, LEAST_LABELS, LEAST_PAGES, PRIOR_WEIGHT, RARE, REJECT_PERCENT
+from lodestrand.llm.url_templates import LEAST_LABELS, LEAST_PAGES, PRIOR_WEIGHT, RARE, REJECT_PERCENT
+
+
+#: Levels that the SQL has; the given urls have far fewer segments.
+DEPTH = 9
 
 
 def _says(rules: list[tuple[str, str, str]], what: int) -> str:
@@ -22,33 +26,31 @@ counted as (select host, path, count(*) as n, {_says(rules, 1)} as says from rea
 parts as (select *, string_split(regexp_replace(path, '^/', ''), '/') as p from counted),
 p0 as (
   select host, path, n, case when says is not null then n else 0 end as labelled, case when says = 'block' then n else 0 end as bad,
-    case when len(p) > {DEPTH} then list_concat(p[1:{DEPTH}], ['**']) else p end as segments, '' as template from parts)"""
+    p as segments, '' as template, false as closed from parts)"""
     ]
-    for d in range(DEPTH + 1):
+    for d in range(DEPTH):
         out.append(
             rf"""
-a{d} as (select *, segments[{d + 1}] as segment from p{d} where len(segments) > {d}),
+a{d} as (select *, segments[{d + 1}] as segment from p{d} where len(segments) > {d} and not closed),
 s{d} as (select host, template, segment, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from a{d} group by all),
 z{d} as (select host, template, sum(n) as node_n from s{d} group by all),
 c{d} as (
-  select s.*, case when segment <> '' and (n < {LEAST_PAGES} or n * {RARE} < node_n) then '*' || regexp_extract(segment, '\.[A-Za-z]+$', 0) else segment end as branch
+  select s.*, node_n < {LEAST_PAGES} as few, case when segment <> '' and (n < {LEAST_PAGES} or n * {RARE} < node_n) then '*' || regexp_extract(segment, '\.[A-Za-z]+$', 0) else segment end as branch
   from s{d} s join z{d} z on s.host = z.host and s.template = z.template),
 b{d} as (select host, template, branch, sum(labelled)::double as labelled, sum(bad)::double as bad from c{d} group by all),
 o{d} as (select host, template, sum(labelled) as all_l, sum(bad) as all_b from b{d} group by all),
 k{d} as (
-  select b.*, case when labelled = 0 then 'unlabelled'
-    when pow((bad * all_l - all_b * labelled) * (all_l + 2), 2) <= 4 * (all_b + 1) * (all_l - all_b + 1) * labelled * all_l * all_l then 'alike' else 'own ' || branch end as kind
+  select b.*, case when pow((bad * all_l - all_b * labelled) * (all_l + 2), 2) <= 4 * (all_b + 1) * (all_l - all_b + 1) * labelled * all_l * all_l then 'alike' else 'own ' || branch end as kind
   from b{d} b join o{d} o on b.host = o.host and b.template = o.template),
 m{d} as (
-  select *, case when count(*) over (partition by host, template, kind) > 1 and kind = 'unlabelled' then '(any)'
-    when count(*) over (partition by host, template, kind) > 1 and kind = 'alike' then '(alike)' else branch end as merged from k{d}),
-n{d} as (select c.host, c.template, segment, merged from c{d} c join m{d} m on c.host = m.host and c.template = m.template and c.branch = m.branch),
+  select *, case when count(*) over (partition by host, template, kind) > 1 and kind = 'alike' then '(alike)' else branch end as merged from k{d}),
+n{d} as (select c.host, c.template, segment, few, case when few then '**' else merged end as merged from c{d} c join m{d} m on c.host = m.host and c.template = m.template and c.branch = m.branch),
 p{d + 1} as (
-  select host, path, n, labelled, bad, segments, template from p{d} where len(segments) <= {d}
+  select host, path, n, labelled, bad, segments, template, closed from p{d} where len(segments) <= {d} or closed
   union all
-  select a.host, path, n, labelled, bad, segments, a.template || '/' || merged from a{d} a join n{d} x on a.host = x.host and a.template = x.template and a.segment = x.segment)"""
+  select a.host, path, n, labelled, bad, segments, a.template || '/' || merged, few from a{d} a join n{d} x on a.host = x.host and a.template = x.template and a.segment = x.segment)"""
         )
-    last = f"p{DEPTH + 1}"
+    last = f"p{DEPTH}"
     out.append(
         rf"""
 total as (select coalesce(sum(labelled), 0) as all_l, coalesce(sum(bad), 0) as all_b from {last}),

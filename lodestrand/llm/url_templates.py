@@ -3,8 +3,10 @@
 The paths of each host are read as a tree of segments, level by level.  At each node
  - segments that are rare among the node's pages (numbers, slugs, dates) become one wildcard, which keeps
    the file extension;
- - branches that can't be told apart statistically are merged: all those without labels, and those whose
-   labelled share of bad pages is within two standard errors of the node's.
+ - branches that can't be told apart statistically are merged: those whose labelled share of bad pages is within two
+   standard errors of the node's, to which those without any labels belong, so they are judged as the node is.
+A node of fewer than LEAST_PAGES pages has no branches: what follows is ``**``.  So levels are added until each path has
+come to its end or to such a node; a long path alone makes none.
 What remains are templates.  A template is rejected if it has enough labelled pages and the share of bad ones,
 smoothed towards the share over all hosts, is high.
 
@@ -16,8 +18,8 @@ Everything is counted from distinct (host, path) pairs with numbers of pages, so
 pages is aggregated on the map side before any shuffle, and no node's children meet in one task.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed unless its
-template (all such urls share one) is rejected; null ids and repeated rows are judged one by one; an empty
-table gives an empty result; columns of the input beyond the id and the url aren't read.
+template (all such urls share one) is rejected; a very long url is read to its end; null ids and repeated rows are judged
+one by one; an empty table gives an empty result; columns of the input beyond the id and the url aren't read.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm.common import LOWER, UPPER, stored
 
-#: Levels of the tree; what follows counts as one more segment.
-DEPTH = 4
 #: A segment is kept if it has at least so many pages and one in RARE of its node's.
 LEAST_PAGES, RARE = 5, 20
 #: Labelled pages that a rejected template needs; weight of the overall share; least share in percent.
@@ -54,7 +54,8 @@ def _level(paths: DataFrame, depth: int) -> DataFrame:
     """Append each path's branch at this depth to its template."""
     segment = F.when(F.size("segments") > depth, F.col("segments")[depth])
     now = paths.withColumn("segment", segment)
-    ended, active = now.where("segment is null").drop("segment"), now.where("segment is not null")
+    going = F.col("segment").isNotNull() & ~F.col("closed")
+    ended, active = now.where(~going).drop("segment"), now.where(going)
     node = ["host", "template"]
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     children = active.groupBy(*node, "segment").agg(*sums)
@@ -66,15 +67,16 @@ def _level(paths: DataFrame, depth: int) -> DataFrame:
     pool = branches.groupBy(*node).agg(F.sum("labelled").cast("double").alias("all_l"), F.sum("bad").cast("double").alias("all_b"))
     lab, bad, all_l, all_b = F.col("labelled").cast("double"), F.col("bad").cast("double"), F.col("all_l"), F.col("all_b")
     near = F.pow((bad * all_l - all_b * lab) * (all_l + 2), F.lit(2)) <= 4 * (all_b + 1) * (all_l - all_b + 1) * lab * all_l * all_l
-    kinds = branches.join(pool, node).withColumn("kind", F.when(F.col("labelled") == 0, "unlabelled").when(near, "alike").otherwise(F.concat(F.lit("own "), "branch")))
+    kinds = branches.join(pool, node).withColumn("kind", F.when(near, "alike").otherwise(F.concat(F.lit("own "), "branch")))
     merged = kinds.groupBy(*node, "kind").agg(F.count(F.lit(1)).alias("members"))
-    named = kinds.join(merged, [*node, "kind"]).withColumn("merged", F.when((F.col("members") > 1) & (F.col("kind") == "unlabelled"), "(any)").when((F.col("members") > 1) & (F.col("kind") == "alike"), "(alike)").otherwise(F.col("branch")))
-    names = children.select(*node, "segment", "branch").join(named.select(*node, "branch", "merged"), [*node, "branch"]).select(*node, "segment", "merged")
-    grown = active.join(names, [*node, "segment"]).withColumn("template", F.concat("template", F.lit("/"), "merged")).select(ended.columns)
+    named = kinds.join(merged, [*node, "kind"]).withColumn("merged", F.when((F.col("members") > 1) & (F.col("kind") == "alike"), "(alike)").otherwise(F.col("branch")))
+    few = F.col("node_n") < LEAST_PAGES
+    names = children.select(*node, "segment", "branch", few.alias("few")).join(named.select(*node, "branch", "merged"), [*node, "branch"]).select(*node, "segment", "few", F.when(F.col("few"), "**").otherwise(F.col("merged")).alias("merged"))
+    grown = active.join(names, [*node, "segment"]).withColumns({"template": F.concat("template", F.lit("/"), "merged"), "closed": F.col("few")}).select(ended.columns)
     return stored(ended.unionByName(grown))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(``page_id``, host, path, rule, verdict, template) for every page; rules: (host, path, ``allow`` or ``block``)."""
     host, path = host_and_path(F.col(f"`{url}`"))
     read = pages.select(F.col(f"`{page_id}`").alias("page_id"), host.alias("host"), path.alias("path"))
@@ -82,15 +84,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "p
     counted = read.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("says", says)
     known = F.col("says").isNotNull()
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    head = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
     paths = stored(
         counted.select(
             "host", "path", "n", F.when(known, F.col("n")).otherwise(0).alias("labelled"), F.when(F.col("says") == "block", F.col("n")).otherwise(0).alias("bad"),
-            head.alias("segments"), F.lit("").alias("template"),
+            parts.alias("segments"), F.lit("").alias("template"), F.lit(False).alias("closed"),
         )
     )
-    for level in range(depth + 1):
+    level = 0
+    while not paths.where(~F.col("closed") & (F.size("segments") > level)).isEmpty():
         paths = _level(paths, level)
+        level += 1
     templates = paths.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     total = paths.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("all_l"), F.coalesce(F.sum("bad"), F.lit(0)).alias("all_b")).first()
     # (bad + PRIOR_WEIGHT * all_b / all_l) / (labelled + PRIOR_WEIGHT) >= REJECT_PERCENT / 100, in whole numbers
