@@ -4,9 +4,12 @@ A text that repeats itself compresses too well, and random or encoded text hardl
 compressed with zstandard as a whole and in fixed chunks, and the ratio (bytes before / bytes after) has
 to lie in a band that depends on the length, since short texts never compress well.  All bands are
 parameters; they were set well outside what natural prose of each length reaches.  The lower limits lie between
-base64 (at most 1.18, 1.27, 1.33 and 1.35 in texts to 512, 1,024, 4,096 bytes and beyond) and prose (1.34, 1.43, 1.69
-and 2.09 at least in sf0.1; chunks 1.31 and 1.89).  Texts of up to 256 bytes have no lower limit, and hex digits compress
-as short prose does (1.53 to 1.96), so ratios can't tell them apart.
+base64 (at most 1.03, 1.11, 1.18, 1.27, 1.33 and 1.35 in texts to 192, 256, 512, 1,024, 4,096 bytes and beyond) and prose (1.08,
+1.21, 1.34, 1.43, 1.69 and 2.09 at least in sf0.1; chunks 1.31 and 1.89).  In texts of up to 128 bytes the two compress alike, and
+hex digits compress as short prose does (1.53 to 1.96), so ratios can't tell them apart.
+
+Chunks follow each other from the text's start; what is left at the end is judged with the bytes before it, as the
+text's last chunk of full length.  A text shorter than a chunk is one chunk, which the band of its length judges.
 
 Defined results: a null text has no words and fails the base rule; an empty text likewise; nulls in other
 columns are carried along; repeated rows are judged one by one; an empty table gives an empty result;
@@ -28,8 +31,8 @@ from lodestrand.llm.blocks import Block, blocks, mix, window_heads, windows
 from lodestrand.llm.common import text_batches
 
 #: (texts of up to so many bytes, least ratio, largest ratio) of whole texts.
-WHOLE_BANDS = ((64, 0.0, 9e9), (256, 0.0, 3.2), (512, 1.22, 3.6), (1024, 1.34, 3.6), (4096, 1.5, 4.2), (1 << 16, 1.6, 5.0), (1 << 62, 1.6, 8.0))
-#: Bytes in a chunk; the band of full chunks; the share of a text's full chunks that may lie outside it.
+WHOLE_BANDS = ((64, 0.0, 9e9), (128, 0.0, 3.2), (192, 1.05, 3.2), (256, 1.14, 3.2), (512, 1.22, 3.6), (1024, 1.34, 3.6), (4096, 1.5, 4.2), (1 << 16, 1.6, 5.0), (1 << 62, 1.6, 8.0))
+#: Bytes in a chunk; the band of chunks; the share of a text's chunks that may lie outside it.
 CHUNK_BYTES, CHUNK_BAND, CHUNK_SHARE = 2048, (1.5, 4.2), 0.25
 LEVEL = 3
 
@@ -85,14 +88,16 @@ def _repeat_words(block: Block) -> np.ndarray:
 
 
 def _ratios(text: bytes, press: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole text, and the share of its full chunks outside the band."""
+    """Ratio of the whole text, and the share of its chunks outside the band; the last one ends with the text."""
     if not text:
         return 1.0, 0.0
     whole = len(text) / len(press.compress(text))
-    full = len(text) // CHUNK_BYTES
+    if len(text) < CHUNK_BYTES:
+        return whole, 0.0
+    starts = [*range(0, len(text) - CHUNK_BYTES, CHUNK_BYTES), len(text) - CHUNK_BYTES]
     low, high = CHUNK_BAND
-    out = sum(not low <= CHUNK_BYTES / len(press.compress(text[i * CHUNK_BYTES : (i + 1) * CHUNK_BYTES])) <= high for i in range(full))
-    return whole, out / full if full else 0.0
+    out = sum(not low <= CHUNK_BYTES / len(press.compress(text[i : i + CHUNK_BYTES])) <= high for i in starts)
+    return whole, out / len(starts)
 
 
 def measure(block: Block, whole_bands=WHOLE_BANDS, chunk_share=CHUNK_SHARE) -> dict[str, np.ndarray]:
