@@ -9,8 +9,11 @@ entity, in any document and spelling, gets the same surrogate (coreference).
 
 Surrogates are checked against each other and against all real entities.  Of entities that drew the same
 one, the first keeps it, and the others, like those that drew a real entity, draw again until no clash is
-left (distinctness).  The spaces of invented names and phone numbers are small, so they grow with the draws: names
-get one more syllable each second draw, numbers one more digit a draw after the first four.
+left (distinctness).  Family names and given names (of a gender) are entities of their own and drawn as such, and a full name is
+put together from its parts, so "Mr Smith" and "Mr John Smith" share a family name whatever had to be drawn again.
+The spaces of invented names and phone numbers are small, so they grow with the draws: names get one more syllable each
+second draw, phone numbers one more digit a draw after the first four; social security numbers and addresses leave their
+reserved ranges after ten draws.
 
 The table of entities is small beside the texts; it alone is shuffled, with those texts that hold
 entities.  Entities are counted once before any join, so one that a third of all documents hold is a line.
@@ -56,8 +59,10 @@ ENDINGS = {
     "cyrillic": {"f": "ина", "m": "ин", "n": "енко"},
     "greek": {"f": "η", "m": "ος", "n": "ι"},
 }
-#: Draws after which the space of a format counts as used up.
+#: Draws after which the space of a format counts as used up: its real entities fill it, or nearly so.
 MOST_DRAWS = 100
+#: Entities that a task draws surrogates for, about.
+TASK_ENTITIES = 1000
 
 
 def may_hold(text: Column) -> Column:
@@ -134,14 +139,18 @@ def _iban_check(country: Column, rest: Column) -> Column:
     return F.lpad((98 - mod).cast("string"), 2, "0")
 
 
-def _invented(part: Column, script: Column, ending: Column, seed: Column, draw: Column) -> Column:
-    draws = F.slice(_numbers(F.concat(seed, F.lit("|"), part), 32), 1, F.least(draw / 2, F.lit(29)).cast("int") + 3)
+def _invented(part: Column, ending: Column | None, n: Column, draw: Column) -> Column:
+    """A name in the script of ``part``; ending: the gender that it shows, if any."""
+    script = F.when(part.rlike(r"\p{IsCyrillic}"), "cyrillic").when(part.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    draws = F.slice(n, 1, F.least(draw / 2, F.lit(60)).cast("int") + 3)
     out = None
     for name, syllables in SYLLABLES.items():
         table, size = F.array(*map(F.lit, syllables)), F.lit(len(syllables))
-        word = F.initcap(F.concat(F.concat_ws("", F.transform(draws, lambda d: F.element_at(table, F.pmod(d, size) + 1))), ending))  # noqa: B023
-        out = word if out is None else F.when(script == name, word).otherwise(out)
-    return F.when(part.isNotNull(), out)
+        word = F.concat_ws("", F.transform(draws, lambda d: F.element_at(table, F.pmod(d, size) + 1)))  # noqa: B023
+        if ending is not None:
+            word = F.concat(word, F.when(ending == "f", ENDINGS[name]["f"]).when(ending == "m", ENDINGS[name]["m"]).otherwise(ENDINGS[name]["n"]))
+        out = F.initcap(word) if out is None else F.when(script == name, F.initcap(word)).otherwise(out)
+    return out
 
 
 def numbers(kind: Column, canon: Column, draw: Column, key: str) -> Column:
@@ -149,7 +158,7 @@ def numbers(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     return _numbers(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string")))
 
 
-def surrogate(kind: Column, canon: Column, draw: Column, n: Column, key: str) -> Column:
+def surrogate(kind: Column, canon: Column, draw: Column, n: Column) -> Column:
     """What stands for a canonical form, drawn with the numbers ``n``; itself a canonical form of the type."""
     first = F.when(canon.rlike(r"^\+[17]"), 2).when(canon.startswith("+"), 3).otherwise(0)
     phone = _recast(canon, n, first)
@@ -162,24 +171,18 @@ def surrogate(kind: Column, canon: Column, draw: Column, n: Column, key: str) ->
     octet = lambda k: (F.element_at(n, k) % 254 + 1).cast("string")
     local = F.substring_index(canon, "@", 1)
     email = F.concat(_recast(local, n), F.lit("@"), F.concat(*[_pick("abcdefghijklmnopqrstuvwxyz", F.element_at(n, k)) for k in range(80, 85)]), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), F.element_at(n, 92) % 3 + 1))
-    gender, name = F.substring_index(canon, "|", 1), F.substring_index(canon, "|", -1)
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    ending = None
-    for s, ends in ENDINGS.items():
-        by_gender = F.when(gender == "f", ends["f"]).when(gender == "m", ends["m"]).otherwise(ends["n"])
-        ending = by_gender if ending is None else F.when(script == s, by_gender).otherwise(ending)
-    # a family name is drawn from itself alone, so it stays the same with and without a given name
-    apart = F.concat(F.lit(f"{key}|name|"), draw.cast("string"))
-    family, given = F.substring_index(name, " ", -1), F.when(F.instr(name, " ") > 0, F.substring_index(name, " ", 1))
-    full = F.concat_ws(" ", _invented(given, script, ending, F.concat(apart, gender), draw), _invented(family, script, F.lit(""), apart, draw))
+    gender = F.substring_index(canon, "|", 1)
+    ssn = F.when(draw < 10, F.concat(F.lit("9"), F.substring(_recast(canon, n), 2, 8))).otherwise(_recast(canon, n))
+    ip = F.concat_ws(".", F.when(draw < 10, (F.element_at(n, 1) % 16 + 240).cast("string")).otherwise(octet(1)), octet(2), octet(3), octet(4))
     return (
         F.when(kind == "email", email)
         .when(kind == "phone", phone)
         .when(kind == "card", card)
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_recast(canon, n), 2, 8)))
+        .when(kind == "ssn", ssn)
         .when(kind == "iban", F.concat(country, _iban_check(country, rest), rest))
-        .when(kind == "ip", F.concat_ws(".", (F.element_at(n, 1) % 16 + 240).cast("string"), octet(2), octet(3), octet(4)))
-        .when(kind == "name", F.concat(gender, F.lit("|"), full))
+        .when(kind == "ip", ip)
+        .when(kind == "family", _invented(canon, None, n, draw))
+        .when(kind == "given", F.concat(gender, F.lit("|"), _invented(F.substring_index(canon, "|", -1), gender, n, draw)))
         .otherwise(_recast(canon, n))
     )
 
@@ -198,25 +201,40 @@ def _written(kind: Column, raw: Column, made: Column, plain: Column) -> Column:
 
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon -> with a surrogate that no other has and that is no real entity."""
-    held = None
-    waiting = entities.withColumn("draw", F.lit(0))
-    real = entities.select("kind", F.col("canon").alias("made"), F.lit(True).alias("is_real"))
-    for _ in range(MOST_DRAWS):
-        # the numbers are written first: each character of a surrogate refers to them, and would else draw them anew
-        drawn = stored(waiting.withColumn("numbers", numbers(F.col("kind"), F.col("canon"), F.col("draw"), key)))
-        new = drawn.withColumn("made", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), F.col("numbers"), key))
-        every = new.select("kind", "canon", "draw", "made")
-        if held is not None:
-            every = every.unionByName(held)
-        first = every.groupBy("kind", "made").agg(F.min(F.struct("draw", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
-        clash = first.join(real, ["kind", "made"], "left").where("n > 1 or is_real").select("kind", "made", "first", "is_real")
-        judged = every.join(clash, ["kind", "made"], "left")
-        held_now = stored(judged.withColumn("held", F.col("first").isNull() | (F.col("is_real").isNull() & (F.col("first.draw") == F.col("draw")) & (F.col("first.canon") == F.col("canon")))).select("kind", "canon", "draw", "made", "held"))
-        held = held_now.where("held").drop("held")
-        waiting = held_now.where("not held").select("kind", "canon", (F.col("draw") + 1).alias("draw"))
-        if waiting.isEmpty():
-            return stored(held.select("kind", "canon", "made", F.regexp_replace("made", "[^0-9A-Za-z]", "").alias("plain")))
-    raise ValueError(f"no free surrogate after {MOST_DRAWS} draws")
+    names = entities.where("kind = 'name'").select("canon", F.substring_index("canon", "|", 1).alias("gender"), F.substring_index("canon", "|", -1).alias("name"))
+    names = names.select("canon", "gender", F.substring_index("name", " ", -1).alias("family"), F.when(F.instr("name", " ") > 0, F.concat_ws("|", "gender", F.substring_index("name", " ", 1))).alias("given"))
+    parts = names.select(F.lit("family").alias("kind"), F.col("family").alias("canon")).union(names.where("given is not null").select(F.lit("given"), "given"))
+    single = stored(entities.where("kind <> 'name'").select("kind", "canon").union(parts).distinct())
+    real = single.select("kind", F.col("canon").alias("made"))
+    waiting, held, n = single, [], single.count()
+    for draw in range(MOST_DRAWS):
+        # Few rows, but each costs many steps: dealt over tasks by their number.  The numbers are written before they are used,
+        # since each character of a surrogate refers to them, and would else draw them anew.
+        dealt = waiting.repartition(max(1, n // TASK_ENTITIES), "kind", "canon")
+        new = stored(dealt.withColumn("numbers", numbers(F.col("kind"), F.col("canon"), F.lit(draw), key)))
+        new = stored(new.select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), F.lit(draw), F.col("numbers")).alias("made")))
+        wanted = new.groupBy("kind", "made").agg(F.min("canon").alias("canon"))
+        taken = real
+        for before in held:
+            taken = taken.union(before.select("kind", "made"))
+        # the table of what is wanted shrinks with each draw; the join sends it to the others where it is small
+        taken = taken.join(wanted.select("kind", "made"), ["kind", "made"]).distinct()
+        held.append(stored(wanted.join(taken, ["kind", "made"], "left_anti").select("kind", "canon", "made")))
+        waiting = stored(new.join(held[-1].select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon"))
+        n = waiting.count()
+        if not n:
+            break
+    else:
+        raise ValueError(f"no free surrogate after {MOST_DRAWS} draws")
+    made = held[0]
+    for more in held[1:]:
+        made = made.union(more)
+    family = made.where("kind = 'family'").select(F.col("canon").alias("family"), F.col("made").alias("new_family"))
+    given = made.where("kind = 'given'").select(F.col("canon").alias("given"), F.col("made").alias("new_given"))
+    whole = F.concat(F.col("gender"), F.lit("|"), F.concat_ws(" ", F.substring_index("new_given", "|", -1), "new_family"))
+    full = names.join(family, "family").join(given, "given", "left").select(F.lit("name").alias("kind"), "canon", whole.alias("made"))
+    out = made.where("kind not in ('family', 'given')").union(full)
+    return stored(out.select("kind", "canon", "made", F.regexp_replace("made", "[^0-9A-Za-z]", "").alias("plain")))
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", replaced: str = "n_replaced") -> DataFrame:
