@@ -12,8 +12,10 @@ length, the longest are marked first, and the length halves until ``least``.
 
 Equal texts are tiled once.
 
-Defined results: a null, empty or short document is clean, with no item; items with fewer words than SEED are
-matched by nothing; of items that cover equally the smallest id is named; rows with null ids are judged like
+Items of SHORTEST to SEED - 1 words have their whole sequence as the only seed, and as the only tile.
+
+Defined results: a null or empty document is clean, with no item; items of fewer words than ``shortest`` are everyday
+phrases and matched by nothing; item ids may be numbers or strings; very long documents are tiled whole; of items that cover equally the smallest id is named; rows with null ids are judged like
 others and equal rows each get a row; an empty benchmark leaves all clean; an empty table gives an empty
 result; clashing names of results are left out of what is carried along.
 """
@@ -34,6 +36,8 @@ from lodestrand.llm.common import stored, text_batches
 
 #: Words in a seed, which is also the least length of a tile.
 SEED = 5
+#: Words that an item has at least; single words and pairs of words are in clean texts as well.
+SHORTEST = 3
 #: Share of an item's words that tiles have to cover.
 COVERAGE = 0.8
 #: The bit map has 2**MAP_BITS bits, which is 16 MB.
@@ -94,28 +98,32 @@ def _free_heads(marked: np.ndarray, length: int) -> np.ndarray:
 
 
 def coverage(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> float:
-    return sum(t[2] for t in tiles(doc, item, least)) / len(item) if len(item) else 0.0
+    return sum(t[2] for t in tiles(doc, item, min(least, len(item)))) / len(item) if len(item) else 0.0
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """item, text -> item, seed, times (in the item), bit, words (packed): a row for each distinct seed."""
+def _items(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
+    """item, text -> item, seed, times (in the item), bit, size (words of a seed), words (packed): a row for each distinct seed."""
     for batch in batches:
         for block in blocks(batch.column(1)):
             words = block.hashes()
             for i in range(len(block)):
                 own = words[block.word_offs[i] : block.word_offs[i + 1]]
-                found, times = np.unique(windows(own, SEED), return_counts=True)
-                if not len(found):
+                if len(own) < max(1, shortest):
                     continue
+                size = min(SEED, len(own))
+                found, times = np.unique(windows(own, size), return_counts=True)
                 same = [batch.column(0)[block.first + i].as_py()] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64()), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(_bits(found)), pa.array([own.tobytes()] * len(found), pa.binary())], names=["item", "seed", "times", "bit", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(same, batch.column(0).type), pa.array(found.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(_bits(found)), pa.array([size] * len(found), pa.int32()), pa.array([own.tobytes()] * len(found), pa.binary())],
+                    names=["item", "seed", "times", "bit", "size", "words"],
+                )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = COVERAGE, keep: list[str] | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = COVERAGE, keep: list[str] | None = None, shortest: int = SHORTEST) -> DataFrame:
     """Every row with ``contaminated``, the best covering ``item_id`` and its ``coverage`` (nulls where no tiling was needed).
 
     keep: columns to carry along (all but clashing ones by default).
@@ -123,8 +131,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     results = ("contaminated", "item_id", "coverage")
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results and not c.startswith("__")]
     spark = text_batches(docs)
-    named = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item"), F.col(f"`{item_text}`").alias("text")).where("item is not null")
-    items = stored(named.mapInArrow(_items, "item long, seed long, times long, bit long, words binary"))
+    named = benchmark.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where("item is not null")
+    item_type = dict(named.dtypes)["item"]
+    items = stored(named.mapInArrow(lambda b: _items(b, shortest), f"item {item_type}, seed long, times long, bit long, size int, words binary"))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # SEED values at most
     cells = items.select(F.expr("bit div 64").alias("cell"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mark")).groupBy("cell").agg(F.bit_or("mark").alias("marks"))
     marks = np.zeros(1 << (MAP_BITS - 6), np.int64)  # the table of cells has at most as many lines
     for row in cells.toLocalIterator():
@@ -133,13 +143,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
     def marked(block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Seeds of a block that may be an item's, and the documents that hold them."""
-        heads = np.flatnonzero(window_heads(block, SEED))
-        if not len(heads):
-            return np.empty(0, np.uint64), heads
-        found = windows(block.hashes(), SEED)[heads]
-        at = _bits(found)
-        live = (np.frombuffer(lookup.value, np.int64)[at >> 6] >> (at & 63)) & 1 == 1
-        return found[live], block.doc_of_word[heads[live]]
+        seeds, of, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], block.hashes()
+        for size in sizes:
+            heads = np.flatnonzero(window_heads(block, size))
+            found = windows(words, size)[heads] if len(heads) else np.empty(0, np.uint64)
+            at = _bits(found)
+            live = (np.frombuffer(lookup.value, np.int64)[at >> 6] >> (at & 63)) & 1 == 1
+            seeds.append(found[live])
+            of.append(block.doc_of_word[heads[live]])
+        order = np.argsort(np.concatenate(of), kind="stable")
+        return np.concatenate(seeds)[order], np.concatenate(of)[order]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """text -> key, words, seeds that may be an item's; only texts with some."""
@@ -169,8 +182,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
     texts = scanned.groupBy("key").agg(F.first("words").alias("words"))
     pairs = wanted.join(texts, "key").withColumn("coverage", covered("words", "item_words"))
-    best = pairs.groupBy("key").agg(F.max(F.struct("coverage", (-F.col("item")).alias("minus"))).alias("best"))
-    judged = stored(best.select("key", F.col("best.coverage").alias("coverage"), (-F.col("best.minus")).alias("item_id")))
+    best = pairs.groupBy("key").agg(F.min(F.struct((-F.col("coverage")).alias("minus"), "item")).alias("best"))
+    judged = stored(best.select("key", (-F.col("best.minus")).alias("coverage"), F.col("best.item").alias("item_id")))
 
     src = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__text"))
     schema = T.StructType([f for f in src.schema if f.name != "__text"] + [T.StructField("__key", T.LongType())])
@@ -187,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
     # Nearly all rows have no key and need no join; their texts are never shuffled.
     out = src.mapInArrow(keyed, schema)
-    free = out.where("__key is null").select(*[F.col(f"`{c}`") for c in carried], F.lit(None).cast("double").alias("coverage"), F.lit(None).cast("long").alias("item_id"))
+    free = out.where("__key is null").select(*[F.col(f"`{c}`") for c in carried], F.lit(None).cast("double").alias("coverage"), F.lit(None).cast(item_type).alias("item_id"))
     met = out.where("__key is not null").join(judged.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     out = free.unionByName(met)
     flag = F.coalesce(F.col("coverage") >= share, F.lit(False))
