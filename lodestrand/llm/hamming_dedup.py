@@ -15,7 +15,7 @@ components of these links are the result.
 Copies (equal sets) are one node from the start, so a text that a third of all rows repeat costs as much as
 one row.
 
-Defined results: a null, empty or blank text has an empty set and is linked with nothing; a null id is the
+Defined results: ids may be numbers or strings; very long texts are blocks of their own; a null, empty or blank text has an empty set and is linked with nothing; a null id is the
 last to be chosen as a component's id; rows with equal ids and texts share a component; an empty table
 gives an empty result; other columns aren't read.
 """
@@ -182,8 +182,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Shuffles: index entries (16 bytes each), whole texts once, sets of clustered texts.
     """
     text_batches(docs)
-    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = stored(src.mapInArrow(_describe, "id long, text_key long, n_shingles long, set_key long, signature binary"))
+    src = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    id_type = dict(src.dtypes)["id"]
+    rows = stored(src.mapInArrow(_describe, f"id {id_type}, text_key long, n_shingles long, set_key long, signature binary"))
     classes = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "text_key")).alias("of"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")))
 
     most = most_different(percent)
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = banded.join(plan, "cluster").withColumn("own", own).select("set_key", "of", F.transform(parts, lambda p: F.concat_ws(" ", F.col("cluster"), p)).alias("parts"))
 
     # Each clustered set once, from one row that has it.
-    texts = src.mapInArrow(_with_text_key, "id long, text_key long, text string").select(F.struct("id", "text_key").alias("of"), "text")
+    texts = src.mapInArrow(_with_text_key, f"id {id_type}, text_key long, text string").select(F.struct("id", "text_key").alias("of"), "text")
     sets = texts.join(placed.hint("shuffle_hash"), "of").dropDuplicates(["set_key"]).select("set_key", F.concat_ws(",", "parts").alias("part"), "text").mapInArrow(_sets, "set_key long, part string, shingles binary")
     dealt = sets.select("set_key", F.explode(F.split("part", ",")).alias("part"), "shingles")
     found = dealt.groupBy("part").applyInPandas(lambda batch: _compare(batch, percent), "u long, v long")

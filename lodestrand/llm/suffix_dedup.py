@@ -16,7 +16,7 @@ added up before any shuffle; the joins back to the rows split such a hash over t
 Equal texts are represented by one; if several rows share a text of at least ``least`` words, all of it is
 a passage.  What repeats within one document only is none.
 
-Defined results: null, empty and short texts have no passage; equal rows get equal spans (they repeat each
+Defined results: ids may be numbers or strings; null, empty and short texts have no passage; equal rows get equal spans (they repeat each
 other); rows with null ids are reported with null; an empty table gives an empty result; other columns
 aren't read.
 """
@@ -131,8 +131,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     if not RUN + WINDOW - 1 <= least:
         raise ValueError(f"least has to be {RUN + WINDOW - 1} or more")
     text_batches(docs)
-    src = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = stored(src.mapInArrow(_keyed, "id long, key long, n_words long").where(F.col("n_words") >= least))
+    src = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    id_type = dict(src.dtypes)["id"]
+    rows = stored(src.mapInArrow(_keyed, f"id {id_type}, key long, n_words long").where(F.col("n_words") >= least))
     keys = rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"))
 
     def met(rows: DataFrame, by: str) -> DataFrame:
@@ -144,7 +145,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     suffixes = src.select("text").mapInArrow(lambda batches: _suffixes(batches, least), "run long, key long, pos int")
     wanted = met(stored(suffixes), "run").groupBy("key").agg(F.collect_set("pos").alias("places"))
     of = wanted.join(keys.select("key", "id"), "key").select(F.struct("id", "key").alias("of"), "places")
-    texts = src.mapInArrow(_with_key, "id long, key long, text string").select(F.struct("id", "key").alias("of"), "text")
+    texts = src.mapInArrow(_with_key, f"id {id_type}, key long, text string").select(F.struct("id", "key").alias("of"), "text")
     once = texts.join(of.hint("shuffle_hash"), "of").dropDuplicates(["of"])
     candidates = stored(once.select("text", "of.key", "places").mapInArrow(lambda batches: _windows(batches, least), "window long, key long, start int"))
     single = met(candidates, "window").select("key", "start", (F.col("start") + least).alias("end"))

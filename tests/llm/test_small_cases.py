@@ -17,7 +17,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lodestrand.llm import attention_lm, bpe_replay, compression_rules, hamming_dedup, pii_surrogates, quality_classifier, suffix_dedup, url_templates
+from lodestrand.llm import attention_lm, bpe_replay, compression_rules, hamming_dedup, pii_surrogates, quality_classifier, suffix_dedup, tiling, url_templates
 from lodestrand.llm.blocks import blocks
 from lodestrand.llm.components import components
 
@@ -72,11 +72,35 @@ def test_bands_reject_wrapped_base64_of_any_length():
         data = base64.b64encode(np.random.default_rng(n).bytes(n)).decode()
         return "\n".join(data[i : i + width] for i in range(0, len(data), width))[:n]
 
-    noise = [wrapped(n, width) for n in (300, 400, 512, 900, 1024, 1025, 4096, 4097, 20_000, 65_000, 200_000) for width in (12, 20)] + [wrapped(n, 76) for n in (900, 2000, 4096, 20_000, 65_000, 200_000)]
+    noise = [wrapped(n, width) for n in (215, 256, 300, 400, 512, 900, 1024, 1025, 4096, 4097, 20_000, 65_000, 200_000) for width in (12, 20)] + [wrapped(n, 76) for n in (900, 2000, 4096, 20_000, 65_000, 200_000)]
     found = compression_rules.measure(next(blocks(pa.array(noise))))
     assert not found["base_failed"].any() and not found["kept"].any()
 
 
+def test_ratios_and_verdicts_against_plain_zstandard(spark):
+    import base64
+
+    import zstandard
+
+    docs = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    prose = " ".join(d for d in docs if len(d) > 500)[:9000]
+    noise = base64.b64encode(np.random.default_rng(5).bytes(4000)).decode()
+    noise = "\n".join(noise[i : i + 20] for i in range(0, len(noise), 20))
+    docs += ["", "x", prose[:2047], prose[:2048], prose[:2049], prose[:2100] + noise[:1900], prose[:6144] + noise[:2000], noise[:1500] + prose[:1500]]
+    got = compression_rules.measure(next(blocks(pa.array(docs), 1 << 40)))
+    size = lambda x: len(zstandard.compress(x, 3))
+    for i, text in enumerate(x.encode() for x in docs):
+        whole = len(text) / size(text) if text else 1.0
+        pieces = [text[k : k + 2048] for k in range(0, len(text), 2048)] if len(text) >= 2048 else []
+        if pieces and len(pieces[-1]) < 2048:
+            pieces[-1] = text[-2048:]
+        out = sum(not 1.5 <= 2048 / size(p) <= 4.2 for p in pieces) / len(pieces) if pieces else 0.0
+        low, high = next((a, b) for n, a, b in compression_rules.WHOLE_BANDS if len(text) <= n)
+        assert abs(got["whole_ratio"][i] - whole) < 1e-9 and abs(got["chunk_share"][i] - out) < 1e-9
+        assert got["kept"][i] == (low <= whole <= high and out <= 0.25 and not got["base_failed"][i])
+    assert not got["kept"][-3:].any()  # noise at the end or the start of prose
+
+
 def test_lines_belong_to_their_own_document():
     texts = ["", "a\n", "b\nb\n", "\n", "b\na\na", "\n\nc\n", "c"]
     assert compression_rules.measure(next(blocks(pa.array(texts))))["n_dup_lines"].tolist() == [0, 0, 1, 0, 1, 0, 0]
@@ -228,6 +252,56 @@ def test_surrogates_beyond_the_space_of_a_format(spark, monkeypatch):
     assert all(re.fullmatch(r"Mr [A-Z][a-z]+|госпожа [А-Я][а-я]+|[+]7 [0-9]{2} [0-9]{2,}", x) for x in new)
 
 
+def test_full_names_share_the_family_name(spark, monkeypatch):
+    """Whatever clashes and is drawn again, a family keeps one name with and without given names."""
+    monkeypatch.setattr(pii_surrogates, "SYLLABLES", {k: v[:3] for k, v in pii_surrogates.SYLLABLES.items()})
+    families = [f"Q{a}{b}" for a in "abcdefgh" for b in "xyzwv"]
+    said = [f"Mr {f}" for f in families] + [f"Mrs {g} {f}" for f in families for g in ("Ann", "Eve")] + [f"Dr {g} {f}" for f in families for g in ("Ann", "Bob")]
+    got = pii_surrogates.replace(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(4), "key").collect()
+    new = {said[r.doc_id]: r.text for r in got}
+    assert len(set(new.values())) == len(said) and not set(new.values()) & set(said)
+    for f in families:
+        assert len({x.split()[-1] for old, x in new.items() if old.split()[-1] == f}) == 1
+    for g in ("Mrs Ann", "Mrs Eve", "Dr Ann", "Dr Bob"):
+        assert len({x.split()[1] for old, x in new.items() if old.startswith(g + " ")}) == 1
+
+
+def test_surrogates_against_plain_python(spark):
+    """On whole documents: what is no mention stays, and real and new entities of a type match one to one."""
+    import regex
+
+    pattern = regex.compile(pii_surrogates.PATTERN)
+    kinds = {k: regex.compile(p) for k, p in pii_surrogates.PATTERNS.items()}
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    old = {r.doc_id: r.text or "" for r in table.select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in pii_surrogates.replace(table, "key").collect()}
+    there, back, seen = {}, {}, Counter()
+    for i, text in old.items():
+        mentions = list(pattern.finditer(text))
+        assert got[i].n_replaced == len(mentions)
+        new, at, rest = got[i].text or "", 0, 0
+        for m, after in zip(mentions, [*mentions[1:], None][: len(mentions)], strict=True):
+            before = text[rest : m.start()]
+            assert new.startswith(before, at)
+            at += len(before)
+            gap = text[m.end() : after.start() if after else len(text)]
+            end = new.index(gap, at + 1) if after else len(new) - len(gap)
+            made, raw = new[at:end], m[0]
+            kind = next(k for k, p in kinds.items() if p.fullmatch(text, m.start(), m.end()))
+            digits = lambda x: regex.sub("[^0-9]", "", x)
+            canon = {"email": str.lower, "phone": digits, "card": digits, "ssn": digits, "iban": lambda x: x.replace(" ", "")}.get(kind, lambda x: x)
+            if kind != "name":
+                assert there.setdefault((kind, canon(raw)), canon(made)) == canon(made) and back.setdefault((kind, canon(made)), canon(raw)) == canon(raw)
+            if kind in ("ssn", "card", "iban"):
+                assert regex.sub("[0-9]", "0", raw) == regex.sub("[0-9]", "0", made) or kind == "iban"
+            if kind == "ip":
+                assert regex.fullmatch(pii_surrogates.PATTERNS["ip"], made)
+            seen[kind] += 1
+            at, rest = end, m.end()
+        assert new[at:] == text[rest:]
+    assert not set(there) & set(back) and len(seen) >= 3
+
+
 def test_quality_classifier(spark, docs):
     rows = [(i, PROSE if i % 2 else "$$$ ### &&& " * 8) for i in range(200)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string")
@@ -467,7 +541,7 @@ def test_surrogates(spark):
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With almost no room every draw clashes with others or with real entities."""
-    monkeypatch.setattr(pii_surrogates, "surrogate", lambda kind, canon, draw, n, key: F.pmod(F.xxhash64(canon, draw), F.lit(400)).cast("string"))
+    monkeypatch.setattr(pii_surrogates, "surrogate", lambda kind, canon, draw, n: F.pmod(F.xxhash64(canon, draw), F.lit(400)).cast("string"))
     df = spark.createDataFrame([("n", str(i)) for i in range(60)], "kind string, canon string")
     made = pii_surrogates._drawn(df, "key").collect()
     assert len({r.made for r in made}) == 60 and not {r.made for r in made} & {str(i) for i in range(60)}
@@ -494,3 +568,41 @@ def test_url_templates_reject_bad_branches(spark):
     got = url_templates.judge(df, rules).collect()
     assert {r.verdict for r in got if r.path.startswith("/buy/")} == {"block"} and {r.verdict for r in got if r.path.startswith("/news/")} == {"allow"}
     assert {r.template for r in got} == {"/buy/*.html", "/news/*"}
+
+
+def test_url_templates_judge_unlabelled_branches_as_their_node(spark):
+    rows = [f"http://s.com/en/a{i}" for i in range(20)] + [f"http://s.com/de/b{i}" for i in range(20)] + [f"http://t.com/de/c{i}" for i in range(20)]
+    got = url_templates.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), [("com", "/en/", "block"), ("t.com", "/x", "allow")]).collect()
+    assert {r.verdict for r in got if r.host == "s.com"} == {"block"} and {r.verdict for r in got if r.host == "t.com"} == {"allow"}
+
+
+def test_url_trees_grow_to_the_end_of_paths(spark):
+    deep = "/".join("abcdefghij")
+    rows = [f"http://s.org/{deep}/bad/{i}" for i in range(30)] + [f"http://s.org/{deep}/good/{i}" for i in range(30)] + ["http://u.org/" + "x/" * 3000, None, "", "no host", "ftp://U.org"]
+    rules = [("s.org", f"/{deep}/{kind}/{k}", "block" if kind == "bad" else "allow") for kind in ("bad", "good") for k in "12"]
+    got = url_templates.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.host == "s.org":
+            assert r.template == f"/{deep}/{'bad' if '/bad/' in r.path else 'good'}/*" and r.verdict == ("block" if "/bad/" in r.path else "allow")
+    assert {r.template for r in got if r.host == "u.org"} == {"/**"}
+
+
+def test_ids_may_be_strings(spark):
+    copy = " ".join(f"w{i}" for i in range(80))
+    rows = [("b", copy), ("a", copy + " more"), ("c", "other words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    near = {r.doc_id: r for r in hamming_dedup.near_duplicates(docs).collect()}
+    assert near["b"].component_id == near["a"].component_id == "a" and near["a"].kept and not near["b"].kept and near["c"].kept
+    assert sorted((r.doc_id, r.start, r.end) for r in suffix_dedup.repeated_passages(docs).collect()) == [("a", 0, 80), ("b", 0, 80)]
+    bench = spark.createDataFrame([("q2", copy), ("q1", copy)], "item_id string, text string")
+    got = {r.doc_id: r for r in tiling.contaminated(docs, bench).collect()}
+    assert got["a"].item_id == got["b"].item_id == "q1" and got["a"].contaminated and not got["c"].contaminated and got["c"].item_id is None
+
+
+def test_short_benchmark_items(spark):
+    docs = spark.createDataFrame([(1, "he said that Four Words Item Here was it"), (2, "four words item"), (3, "xx yy zz and more " * 5000), (4, "yes no")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "four words item here"), (2, "xx yy zz"), (3, "yes"), (4, "yes no"), (5, "")], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_id) for r in tiling.contaminated(docs, bench).collect()}
+    assert got == {1: (True, 1), 2: (False, None), 3: (True, 2), 4: (False, None)}
+    assert {r.doc_id for r in tiling.contaminated(docs, bench, shortest=1).where("contaminated").collect()} == {1, 3, 4}
