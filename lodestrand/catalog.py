@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import findings, relations, texts
+from lodestrand.plans import findings, relations, repository, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | findings.QUERIES | relations.QUERIES
-ORACLE_SQL: dict[str, str] = texts.SQL | findings.SQL | relations.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | findings.QUERIES | relations.QUERIES | repository.QUERIES
+ORACLE_SQL: dict[str, str] = texts.SQL | findings.SQL | relations.SQL | repository.SQL
 FLAGSHIP = "j7_tfidf_top_k"

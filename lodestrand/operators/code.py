@@ -9,14 +9,13 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FACTS = (
     "tag string, file string, name string, parent string, kind string, start_line int, end_line int, signature string, docstring string, "
-    "decorators array<string>, returns_none boolean, raises array<string>, module string, names array<string>, level int, callee string, path string"
+    "decorators array<string>, returns_none boolean, raises array<string>, module string, names array<string>, locals array<string>, level int, callee string, path string"
 )
 VERBS = frozenset(("get", "post", "put", "patch", "delete"))
 
@@ -31,11 +30,12 @@ def _facts(file: str, content: str) -> list[dict]:
     def function(node, parent: str | None) -> None:
         inner = list(ast.walk(node))
         returns = [n for n in inner if isinstance(n, ast.Return)]
-        raised = {ast.unparse(n.exc.func if isinstance(n.exc, ast.Call) else n.exc) for n in inner if isinstance(n, ast.Raise) and n.exc is not None}
+        raised = list(dict.fromkeys(ast.unparse(n.exc.func if isinstance(n.exc, ast.Call) else n.exc) for n in inner if isinstance(n, ast.Raise) and n.exc is not None))
+        opening = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
         out.append({
             "tag": "symbol", "name": node.name, "parent": parent, "kind": "method" if parent else "function", "start_line": node.lineno, "end_line": node.end_lineno,
-            "signature": f"{node.name}({ast.unparse(node.args)})", "docstring": ast.get_docstring(node), "decorators": [ast.unparse(d) for d in node.decorator_list],
-            "returns_none": any(isinstance(r.value, ast.Constant) and r.value.value is None for r in returns), "raises": sorted(raised),
+            "signature": f"{opening} {node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else ""), "docstring": ast.get_docstring(node), "decorators": [ast.unparse(d) for d in node.decorator_list],
+            "returns_none": any(r.value is None or isinstance(r.value, ast.Constant) and r.value.value is None for r in returns), "raises": raised[:8],
         })
         whole = f"{parent}.{node.name}" if parent else node.name
         for call in (n for n in inner if isinstance(n, ast.Call)):
@@ -56,9 +56,9 @@ def _facts(file: str, content: str) -> list[dict]:
                     function(inner, node.name)
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
-            out += [{"tag": "import", "module": a.name, "names": [], "level": 0, "start_line": node.lineno} for a in node.names]
+            out += [{"tag": "import", "module": a.name, "names": [], "locals": [a.asname or a.name], "level": 0, "start_line": node.lineno} for a in node.names]
         elif isinstance(node, ast.ImportFrom):
-            out.append({"tag": "import", "module": node.module or "", "names": [a.name for a in node.names], "level": node.level, "start_line": node.lineno})
+            out.append({"tag": "import", "module": node.module or "", "names": [a.name for a in node.names], "locals": [a.asname or a.name for a in node.names], "level": node.level, "start_line": node.lineno})
     return [{"file": file} | fact for fact in out]
 
 
@@ -85,61 +85,157 @@ def module_of(path: Column) -> Column:
     return F.replace(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/__init__$", ""), F.lit("/"), F.lit("."))
 
 
-def file_edges(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """(src, dst): files that a file imports.  A name imported from a package may be a module of its own."""
-    modules = files.where("language = 'python'").select(F.col("path").alias("dst"), module_of(F.col("path")).alias("target"))
-    imports = facts.where("tag = 'import'").select(F.col("file").alias("src"), "module", "names", "level")
-    parts = F.split(module_of(F.col("src")), "[.]")
-    inside = F.when(F.col("src").endswith("/__init__.py"), F.size(parts) - F.col("level") + 1).otherwise(F.size(parts) - F.col("level"))
+def resolved_imports(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """(file, line, module, original, local, base_file, own_file, resolved): a row for each imported name.
+
+    base_file: the module itself, of a package that is its __init__; own_file: the module that the name is, if it is one.  A package
+    from which one name is imported gives way to that name's module.  resolved is null for what isn't in the repository.
+    """
+    modules = files.where("language = 'python'").select(F.col("path").alias("hit"), module_of(F.col("path")).alias("target"))
+    rows = facts.where("tag = 'import'").select("file", F.col("start_line").alias("line"), "module", "names", "locals", "level")
+    parts = F.split(module_of(F.col("file")), "[.]")
+    inside = F.when(F.col("file").endswith("/__init__.py"), F.size(parts) - F.col("level") + 1).otherwise(F.size(parts) - F.col("level"))
     base = F.when(F.col("level") > 0, F.concat_ws(".", F.slice(parts, F.lit(1), F.greatest(inside, F.lit(0))), F.nullif("module", F.lit("")))).otherwise(F.col("module"))
-    wanted = imports.withColumn("base", base).select("src", F.explode(F.concat(F.array("base"), F.transform("names", lambda n: F.concat_ws(".", F.nullif(F.col("base"), F.lit("")), n)))).alias("target"))
-    return wanted.join(modules, "target").where("src <> dst").select("src", "dst").distinct()
+    rows = rows.withColumn("base", base).withColumn("pairs", F.when(F.size("names") > 0, F.arrays_zip("names", "locals")).otherwise(F.transform("locals", lambda x: F.struct(F.lit(None).cast("string").alias("names"), x.alias("locals")))))
+    rows = rows.select("file", "line", "module", "base", F.size("names").alias("n_names"), F.explode_outer("pairs").alias("pair"))
+    rows = rows.select("file", "line", "module", "base", "n_names", F.col("pair.names").alias("original"), F.col("pair.locals").alias("local"))
+    found = lambda df, key, name: df.withColumn("target", key).join(modules.withColumnRenamed("hit", name), "target", "left").drop("target")
+    rows = found(rows, F.col("base"), "base_file")
+    # a dash in a module's name stands for an underscore where nothing has the name itself
+    rows = found(rows, F.when(F.col("base_file").isNull(), F.replace("base", F.lit("-"), F.lit("_"))), "other").withColumn("base_file", F.coalesce("base_file", "other")).drop("other")
+    rows = found(rows, F.when(F.col("original").isNotNull(), F.concat_ws(".", F.nullif("base", F.lit("")), F.col("original"))), "own_file")
+    package = F.col("base_file").endswith("__init__.py") & (F.col("n_names") == 1)
+    resolved = F.when(package, F.coalesce("own_file", "base_file")).otherwise(F.coalesce("base_file", F.when(F.col("base_file").isNull(), F.col("own_file"))))
+    return rows.withColumn("resolved", resolved).drop("n_names", "base")
+
+
+def file_edges(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """(src, dst): files that a file imports; names that are modules of their own have edges of their own."""
+    rows = resolved_imports(files, facts)
+    edges = rows.select(F.col("file").alias("src"), F.explode(F.array("resolved", "own_file")).alias("dst"))
+    return edges.where("dst is not null and src <> dst").distinct()
+
+
+def aliases(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """(file, local, target, original): what a local name stands for; the last import of a name wins."""
+    rows = resolved_imports(files, facts)
+    module = F.col("own_file").isNotNull() & ~F.coalesce(F.col("own_file") == F.col("base_file"), F.lit(False))
+    target = F.when(module, F.col("own_file")).otherwise(F.col("resolved"))
+    original = F.when(~module & (F.col("original") != "*"), F.col("original"))
+    rows = rows.select("file", "local", "line", target.alias("target"), original.alias("original"))
+    return rows.groupBy("file", "local").agg(F.max(F.struct("line", "target", "original")).alias("x")).select("file", "local", "x.target", "x.original")
+
+
+def lookup(facts: DataFrame) -> DataFrame:
+    """(key_file, key, symbol): a symbol by its whole name, or else the first in the file that has the bare name."""
+    known = symbols(facts)
+    both = known.select("file", F.col("qualified").alias("key"), F.lit(0).alias("prio"), (-F.col("start_line")).alias("at"), "qualified").union(known.select("file", "name", F.lit(1), "start_line", "qualified"))
+    best = both.groupBy("file", "key").agg(F.min(F.struct("prio", "at", "qualified")).alias("x"))
+    return best.select(F.col("file").alias("key_file"), "key", F.col("x.qualified").alias("symbol"))
 
 
 def call_edges(files: DataFrame, facts: DataFrame, strict_parity: bool = False) -> DataFrame:
-    """(caller_file, caller, callee_file, callee): calls resolved by the first rule that fits.
+    """(caller_file, caller, callee_file, callee): calls resolved by a cascade of rules.
 
-    1 a method of the same class through self (under ``strict_parity`` a symbol of the module of that name instead), 2 a symbol
-    of an imported module through its last name, 3 a symbol of the same file, 4 an imported name, 5 a name that is unique.
+    Through self or cls: a method of the same class (under ``strict_parity`` a symbol of the module instead).  Dotted: the head is
+    an imported name; its own symbol, else what follows in its file, else that in the module of the name.  Plain: a symbol of the
+    same file, else an imported one, else the only symbol of that name in the repository.
     """
-    known = symbols(facts).select(F.col("file").alias("callee_file"), F.col("qualified").alias("callee"), "name", "parent")
-    calls = facts.where("tag = 'call'").select(F.monotonically_increasing_id().alias("call"), F.col("file").alias("caller_file"), F.col("name").alias("caller"), F.col("callee").alias("text"))
-    calls = calls.withColumn("head", F.substring_index("text", ".", 1)).withColumn("last", F.substring_index("text", ".", -1)).withColumn("dotted", F.col("text").contains("."))
-    edges = file_edges(files, facts).select(F.col("src").alias("caller_file"), F.col("dst").alias("callee_file"))
-    me = calls.where("head in ('self', 'cls') and dotted")
-    own = F.col("callee") == (F.col("last") if strict_parity else F.concat_ws(".", F.substring_index("caller", ".", 1), F.col("last")))
-    rule1 = me.join(known, (F.col("caller_file") == F.col("callee_file")) & own).select("call", F.lit(1).alias("rule"), "callee_file", "callee")
-    rest = calls.where("head not in ('self', 'cls')")
-    named = known.where("parent is null")
-    over = rest.join(edges, "caller_file")
-    stem = F.regexp_extract("callee_file", r"([^/]+?)(?:/__init__)?\.py$", 1)
-    rule2 = over.where((F.col("dotted")) & (stem == F.element_at(F.split("text", "[.]"), -2))).join(named.withColumnRenamed("name", "last"), ["callee_file", "last"]).select("call", F.lit(2).alias("rule"), "callee_file", "callee")
-    plain = rest.where("not dotted")
-    rule3 = plain.join(named.withColumnsRenamed({"callee_file": "caller_file", "name": "last"}), ["caller_file", "last"]).select("call", F.lit(3).alias("rule"), F.col("caller_file").alias("callee_file"), "callee")
-    rule4 = over.where("not dotted").join(named.withColumnRenamed("name", "last"), ["callee_file", "last"]).select("call", F.lit(4).alias("rule"), "callee_file", "callee")
-    unique = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("callee_file").alias("callee_file"), F.min("callee").alias("callee")).where("n = 1")
-    rule5 = rest.join(unique.withColumnRenamed("name", "last"), "last").select("call", F.lit(5).alias("rule"), "callee_file", "callee")
-    first = Window.partitionBy("call").orderBy("rule", "callee_file", "callee")
-    found = rule1.union(rule2).union(rule3).union(rule4).union(rule5).withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    return found.join(calls.select("call", "caller_file", "caller"), "call").select("caller_file", "caller", "callee_file", "callee").distinct()
+    look, known = lookup(facts), symbols(facts)
+    calls = facts.where("tag = 'call'").select(F.monotonically_increasing_id().alias("call"), F.col("file").alias("caller_file"), F.col("name").alias("caller"), F.trim("callee").alias("text"))
+    dotted, me = F.col("text").contains("."), F.col("text").rlike(r"^(self|cls)[.]")
+    head, rest = F.substring_index("text", ".", 1), F.expr("substring(text, instr(text, '.') + 1)")
+    calls = calls.select("*", me.alias("me"), dotted.alias("dotted"), head.alias("head"), rest.alias("rest"))
+    calls = calls.join(aliases(files, facts).withColumnsRenamed({"file": "caller_file", "local": "head"}), ["caller_file", "head"], "left")
+
+    def probe(df: DataFrame, file, key, when, name: str) -> DataFrame:
+        keyed = df.withColumn("key_file", F.when(when, file)).withColumn("key", F.when(when, key))
+        return keyed.join(look.withColumnRenamed("symbol", name), ["key_file", "key"], "left").withColumn(f"{name}_file", F.when(F.col(name).isNotNull(), F.col("key_file"))).drop("key_file", "key")
+
+    own = F.col("rest") if strict_parity else F.concat_ws(".", F.substring_index("caller", ".", 1), "rest")
+    me, plain, over = F.col("me"), ~F.col("dotted"), F.col("dotted") & ~F.col("me")
+    out = probe(calls, F.col("caller_file"), own, me, "r1")
+    if strict_parity:  # a whole name has to be meant
+        out = out.withColumn("r1", F.when(F.col("r1") == F.col("rest"), F.col("r1")))
+    out = probe(out, F.col("target"), F.coalesce("original", "rest"), over, "r2")
+    out = probe(out, F.col("target"), F.col("rest"), over, "r3")
+    modules = files.where("language = 'python'").select(module_of(F.col("path")).alias("sub"), F.col("path").alias("sub_file"))
+    out = out.withColumn("sub", F.when(over & F.col("original").isNotNull(), F.concat_ws(".", module_of(F.col("target")), "original"))).join(modules, "sub", "left")
+    out = probe(out, F.col("sub_file"), F.col("rest"), over, "r4")
+    out = probe(out, F.col("caller_file"), F.col("text"), plain, "r5")
+    out = probe(out, F.col("target"), F.col("original"), plain & F.col("original").isNotNull(), "r6")
+    unique = known.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("r7_file"), F.min("qualified").alias("r7")).where("n = 1").drop("n")
+    out = out.join(unique.withColumnRenamed("name", "text"), "text", "left").withColumn("r7", F.when(plain, F.col("r7"))).withColumn("r7_file", F.when(plain, F.col("r7_file")))
+    rules = [f"r{i}" for i in range(1, 8)]
+    out = out.select("caller_file", "caller", F.coalesce(*[f"{r}_file" for r in rules]).alias("callee_file"), F.coalesce(*rules).alias("callee"))
+    return out.where("callee is not null").distinct()
+
+
+_STORES = "file string, function string, name string, line int, via string"
 
 
 def dead_stores(files: DataFrame) -> DataFrame:
-    """(file, function, name, line): names that a function adds up and never reads."""
+    """(file, function, name, line, via): names that a function adds up and never reads; via: the function whose result it returns instead."""
+
+    def facts_of(path: str, content: str) -> list[dict]:
+        try:
+            tree = ast.parse(content or "")
+        except (SyntaxError, ValueError):
+            return []
+        rows = []
+        for f in (n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))):
+            inner = list(ast.walk(f))
+            read = {n.id for n in inner if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)}
+            came = {n.targets[0].id: n.value.func.id for n in inner if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name) and isinstance(n.value, ast.Call) and isinstance(n.value.func, ast.Name)}
+            given = [m.id for n in inner if isinstance(n, ast.Return) and n.value is not None for m in ast.walk(n.value) if isinstance(m, ast.Name) and m.id in came]
+            for n in inner:
+                if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name) and not n.target.id.startswith("_") and n.target.id not in read:
+                    rows.append({"file": path, "function": f.name, "name": n.target.id, "line": n.lineno, "via": came[given[-1]] if given else None})
+        return rows
+
+    schema = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (c.split() for c in _STORES.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    tree = ast.parse(content or "")
-                except (SyntaxError, ValueError):
-                    continue
-                for f in (n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))):
-                    names = [n for n in ast.walk(f) if isinstance(n, ast.Name)]
-                    read = {n.id for n in names if isinstance(n.ctx, ast.Load)}
-                    added = {n.target.id: n.lineno for n in ast.walk(f) if isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name)}
-                    rows += [(path, f.name, name, line) for name, line in added.items() if name not in read]
-            yield pd.DataFrame(rows, columns=["file", "function", "name", "line"]).astype({"line": "int32"})
-
-    return files.where("language = 'python'").select("path", "content").mapInPandas(run, "file string, function string, name string, line int")
+            rows = [r for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in facts_of(path, content)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.where("language = 'python'").select("path", "content").mapInArrow(run, _STORES)
+
+
+_NAME = "[A-Za-z0-9_]"
+
+
+def parse_scripts(files: DataFrame) -> DataFrame:
+    """(file, kind, name, line, end_line, signature, target): functions, classes, imports and routes of JS, TS, Go and C-like files by patterns of their lines.
+
+    A file's functions are methods from its first class on.  target: the module of an import or the path of a route, whose
+    handler is ``name`` and whose verb is ``signature``.
+    """
+    script, go = F.col("language").isin("javascript", "typescript"), F.col("language") == "go"
+    code = files.where(~F.col("language").isin("python", "markdown", "rst", "text", "json", "yaml", "toml", "ini", "env", "sql", "shell"))
+    rows = code.select(F.col("path").alias("file"), "language", F.posexplode(F.split("content", "\r\n|\n|\r")).alias("pos", "line"), F.size(F.split("content", "\r\n|\n|\r")).alias("n"))
+    take = lambda pattern, k=1: F.nullif(F.regexp_extract("line", pattern, k), F.lit(""))
+    function = rf"^\s*(?:export\s+)?(?:async\s+)?function\s+({_NAME}+)\s*\(([^)]*)\)"
+    arrow = rf"^\s*(?:export\s+)?const\s+({_NAME}+)\s*=\s*(?:async\s*)?\(([^)]*)\)"
+    klass, gofunc = rf"^\s*(?:export\s+)?class\s+({_NAME}+)", rf"^func\s+(?:\([^)]*\)\s*)?({_NAME}+)\s*\("
+    other = rf"^\s*(?:public|private|protected|static|final|async|\s)*[A-Za-z0-9_<>\[\]]+\s+({_NAME}+)\s*\([^;]*\)\s*\{{?\s*$"
+    stripped = F.trim("line")
+    rows = rows.select(
+        "*", (F.col("pos") + 1).alias("at"),
+        F.when(script, F.coalesce(take(function), take(arrow))).when(go, take(gofunc)).otherwise(F.when(~take(other).isin("if", "for", "while", "switch", "catch", "return"), take(other))).alias("function"),
+        F.when(script, F.coalesce(F.when(take(function).isNotNull(), F.regexp_extract("line", function, 2)), F.when(take(arrow).isNotNull(), F.regexp_extract("line", arrow, 2)))).alias("params"),
+        F.when(script & take(function).isNull() & take(arrow).isNull(), take(klass)).alias("class"),
+        F.when(script, F.coalesce(*[take(p) for p in (r"^import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"^import\s+['\"]([^'\"]+)['\"]", rf"^const\s+{_NAME}+\s*=\s*require\(['\"]([^'\"]+)['\"]\)", rf"^\s*import\s+({_NAME}[A-Za-z0-9_.]*)")])).when(go, F.nullif(F.regexp_extract(stripped, r'^"([^"]+)"$', 1), F.lit(""))).alias("module"),
+        F.when(script, F.regexp_extract_all("line", F.lit(rf"((?:app|router|server|api)\.(?:get|post|put|delete|patch)\(\s*['\"][^'\"]+['\"]\s*,\s*(?:.*?,\s*)?{_NAME}+\s*\))"), F.lit(1))).alias("routes"),
+    )
+    along = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("classed", F.count("class").over(along) > 0).withColumn("block", F.last(F.when(stripped.isin("import (", ")"), stripped), ignorenulls=True).over(along))
+    size = F.when(go | ~script, 3).otherwise(4)
+    signature = F.when(script, F.concat(F.lit("function "), "function", F.lit("("), F.col("params"), F.lit(")"))).otherwise(F.substring(stripped, 1, 100))
+    made = rows.where("function is not null").select("file", F.when(F.col("classed") & script, "method").otherwise("function").alias("kind"), F.col("function").alias("name"), F.col("at").alias("line"), F.least(F.col("at") + size, F.col("n")).alias("end_line"), signature.alias("signature"), F.lit(None).cast("string").alias("target"))
+    classes = rows.where("class is not null").select("file", F.lit("class"), "class", "at", "at", F.concat(F.lit("class "), "class"), F.lit(None))
+    imports = rows.where(F.col("module").isNotNull() & (script | (F.col("block") == "import ("))).select("file", F.lit("import"), F.substring_index("module", "/", -1), "at", "at", F.lit(None), "module")
+    each = rows.select("file", "at", F.explode("routes").alias("route"))
+    routed = each.select("file", F.lit("route"), F.regexp_extract("route", rf"({_NAME}+)\s*\)$", 1), "at", "at", F.upper(F.regexp_extract("route", r"^[a-z]+\.([a-z]+)", 1)), F.regexp_extract("route", r"['\"]([^'\"]+)['\"]", 1))
+    return made.union(classes).union(imports).union(routed)

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.operators.shared import shared_dir
+
 
 def hourly_counts(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """Read a folder of Parquet files as a stream, count events by hour and type, and return the table it was appended to.
+    """Read a folder of Parquet files as a stream, count events by hour and type, and return the counts of all hours.
 
-    The last hours stay open until the watermark passes them, as in any append-mode window.
+    Each batch appends the counts that it changed, under its number; of an hour and type the last one holds, so hours
+    that the watermark hasn't passed yet are there as well.
     """
     events = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").parquet(folder)
     counts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n_events"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lodestrand-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_dir(spark)
     rows = counts.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n_events")
-    query = rows.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").format("parquet").start()
+
+
+    def store(batch: DataFrame, number: int) -> None:  # writing a batch again replaces it
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    query = rows.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(store).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{at}/out")
+    said = spark.read.schema(f"{rows.schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(f"{at}/out")
+    return said.groupBy("hour", "event_type").agg(F.max_by("n_events", "batch").alias("n_events"))
