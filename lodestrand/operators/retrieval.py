@@ -30,6 +30,14 @@ def vectors(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
 
+def query_vectors(counts: DataFrame, weights: DataFrame, total: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, term, w): as ``vectors``; a term that no text holds has the weight of document frequency 0, and so lengthens the vector."""
+    none = F.log(F.col("n_docs") + 1.0) + 1.0
+    raw = counts.join(weights, "term", "left").crossJoin(F.broadcast(total)).select(key, "term", ((1 + F.log(F.col("n").cast("double"))) * F.coalesce("idf", none)).alias("raw"))
+    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("w"))
+
+
 def top_k(scores: DataFrame, query: str, item: str, score: str, k: int) -> DataFrame:
     """The k best items of each query, ties by item."""
     ranked = Window.partitionBy(query).orderBy(F.desc(score), item)

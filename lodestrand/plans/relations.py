@@ -50,13 +50,13 @@ def i4_bounded_bfs(spark, sf_dir):
 
 
 @query(
-    "with recursive e as (select p_partkey as src, p_partkey // 3 + 1 as dst from part), r(start, node) as (select p_partkey, dst from part join e on src = p_partkey where p_partkey % 50 = 0 union select start, dst from r join e on node = src) "
+    "with recursive e as (select p_partkey as src, case when p_partkey <= 3 then p_partkey % 3 + 1 else p_partkey // 3 end as dst from part), r(start, node) as (select p_partkey, dst from part join e on src = p_partkey union select start, dst from r join e on node = src) "
     "select start, count(*) as n_reached, max((start = node)::int) as on_cycle from r group by start"
 )
 def i5_impact_closure(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey")
-    edges = part.select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 3 + 1").alias("dst"))
-    start = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("start"))
+    edges = part.select(F.col("p_partkey").alias("src"), F.expr("case when p_partkey <= 3 then p_partkey % 3 + 1 else p_partkey div 3 end").alias("dst"))  # a ring of three, on which all paths end
+    start = part.select(F.col("p_partkey").alias("start"))
     reached = G.closure(edges, start)
     return reached.groupBy("start").agg(F.count(F.lit(1)).alias("n_reached"), F.max((F.col("start") == F.col("node")).cast("int")).alias("on_cycle"))
 
@@ -198,7 +198,7 @@ def c18_graph_expansion(spark, sf_dir):
     return top.join(edges, "doc_id").where("expanded is not null").select("doc_id", "expanded", F.round(0.55 * F.col("n_chars"), 4).alias("score"))
 
 
-@query()
+@query("select date_trunc('hour', ts)::timestamp as hour, event_type, count(*) as n_events from events group by all")
 def m1_trace_stream(spark, sf_dir):
     from lodestrand.streaming.trace import hourly_counts
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
 from lodestrand.operators import retrieval as R
+from lodestrand.operators.shared import written
 from lodestrand.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -34,7 +35,7 @@ dn as (select doc_id, sqrt(sum(raw * raw)) as norm from dr group by doc_id),
 dv as (select dr.doc_id, term, raw / norm as w from dr join dn on dr.doc_id = dn.doc_id)"""
 QUERY_TERMS = f"""q as (select item_id as query_id, unnest({TOKENS.format("text")}) as term from benchmark),
 qc as (select query_id, term, count(*) as n from q group by all),
-qr as (select query_id, qc.term, (1 + ln(n::double)) * idf as raw from qc join w on qc.term = w.term),
+qr as (select query_id, qc.term, (1 + ln(n::double)) * coalesce(idf, ln(n_docs + 1.0) + 1.0) as raw from qc cross join nd left join w on qc.term = w.term),
 qn as (select query_id, sqrt(sum(raw * raw)) as norm from qr group by query_id),
 qv as (select qr.query_id, term, raw / norm as w from qr join qn on qr.query_id = qn.query_id)"""
 DENSE = """dots as (select query_id, doc_id, round(sum(qv.w * dv.w), 6) as score from qv join dv on qv.term = dv.term group by all),
@@ -43,11 +44,11 @@ dense as (select *, row_number() over (partition by query_id order by score desc
 
 def _index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    counts = R.term_counts(docs, "doc_id", "text")
+    counts = written(R.term_counts(docs, "doc_id", "text"))  # read again for weights, vectors and overlaps
     total = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"))
     weights = R.idf(counts, total)
     queries = R.term_counts(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    return counts, weights, R.vectors(counts, weights, "doc_id"), queries, R.vectors(queries, weights, "query_id")
+    return counts, weights, R.vectors(counts, weights, "doc_id"), queries, R.query_vectors(queries, weights, total)
 
 
 @query("select source, doc_id, lang, n_chars, case when text = '' then 0 else length(text) - length(replace(text, chr(10), '')) + 1 end as n_lines from documents")
