@@ -41,7 +41,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(2 * n, BLOCK_BYTES + (1 << 17))  # with room for somewhat larger blocks
+        size = max(n + (n >> 3), BLOCK_BYTES + (1 << 17))  # with room for somewhat larger blocks
         out = []
         for base in (BASE, _BASE_INV):
             p = np.full(size, base, np.uint64)

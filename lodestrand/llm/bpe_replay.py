@@ -8,7 +8,7 @@ touches just the two pairs beside it: many places of a rank at once by numpy, fe
 
 No Python object is made per piece: classes of characters give the cuts, pieces are named by 64-bit hashes, and each
 occurrence is compared byte by byte with the piece whose ids it gets.  Spark deals out the texts; nothing is
-shuffled, and a Python worker keeps its vocabulary and a bounded memory of the pieces that it met most often.
+shuffled; a Python worker keeps its vocabulary, and a task a bounded memory of the pieces that it met most often.
 
 Ids are packed as little-endian unsigned 32-bit integers in a binary column, which costs 4 bytes a token;
 ``unpack`` gives an array column.
@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 from lodestrand.llm.blocks import Block, blocks
 from lodestrand.llm.common import text_batches
 
-#: Pieces that a worker remembers; past that it forgets those met least.
+#: Pieces that a task remembers; past that it forgets those met least.
 CACHE_PIECES = 400_000
 #: Bytes of text encoded at once, and ids decoded at once.
-BLOCK_BYTES, BLOCK_IDS = 1 << 23, 1 << 20
+BLOCK_BYTES, BLOCK_IDS = 1 << 21, 1 << 18
 #: A vocabulary file larger than this isn't sent to the workers.
 MOST_VOCABULARY_BYTES = 32 << 20
 #: Fixed value: the pattern whose cuts ``cut`` makes.
@@ -244,12 +244,15 @@ def classes() -> np.ndarray:
     """The class of each code point, as the pattern tells them apart."""
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACES, r"\s+"), (OTHER, f"[{UNKNOWN_SIGNS}]+")):
-        for m in regex.finditer(pattern, every):
-            a, b = ord(every[m.start()]), ord(every[m.end() - 1])
-            out[a : b + 1] = kind  # no class reaches from below the surrogates to above them
+    kinds = [(kind, regex.compile(pattern)) for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACES, r"\s+"), (OTHER, f"[{UNKNOWN_SIGNS}]+"))]
+    for low in range(0, 0x110000, 0x800):
+        if 0xD800 <= low < 0xE000:
+            continue  # surrogates are no characters
+        some = "".join(map(chr, range(low, low + 0x800)))
+        for kind, pattern in kinds:
+            for m in pattern.finditer(some):
+                out[low + m.start() : low + m.end()] = kind
     return out
 
 
@@ -363,14 +366,15 @@ def _vocabulary_bytes(path: str) -> bytes:
     return data
 
 
-def _appended(df: DataFrame, source: str, name: str, keep: list[str] | None, work) -> DataFrame:
-    """Add the binary column ``name``, which ``work(values) -> iterator of arrays`` gives for ``source``."""
+def _appended(df: DataFrame, source: str, name: str, keep: list[str] | None, make) -> DataFrame:
+    """Add the binary column ``name``, which ``make()(values) -> iterator of arrays`` gives for ``source``, one made for each task."""
     text_batches(df)
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
     src = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{source}`").alias("__in"))
     schema = T.StructType([f for f in src.schema if f.name != "__in"] + [T.StructField(name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
         for batch in batches:
             first = 0
             for made in work(batch.column(len(carried))):
@@ -381,11 +385,6 @@ def _appended(df: DataFrame, source: str, name: str, keep: list[str] | None, wor
     return src.mapInArrow(run, schema)
 
 
-@lru_cache(maxsize=2)
-def _encoder(data: bytes) -> Encoder:
-    return Encoder(_vocabulary(data))
-
-
 def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add ``ids``, the packed ids of every whole text, by the ranks in the file ``vocabulary`` on the driver.
 
@@ -395,13 +394,17 @@ def encode(df: DataFrame, vocabulary: str, pattern: str = PATTERN, text: str = "
         raise ValueError("only the pattern of bpe_replay.PATTERN is known")
     data = df.sparkSession.sparkContext.broadcast(_vocabulary_bytes(vocabulary))
 
-    def work(column: pa.Array) -> Iterator[pa.Array]:
-        coder = _encoder(data.value)
-        for block in blocks(column, BLOCK_BYTES):
-            found, offs = coder(block)
-            yield _binary(found.astype("<u4").view(np.uint8), 4 * offs)
+    def make():
+        coder = Encoder(_vocabulary(data.value))
+
+        def work(column: pa.Array) -> Iterator[pa.Array]:
+            for block in blocks(column, BLOCK_BYTES):
+                found, offs = coder(block)
+                yield _binary(found.astype("<u4").view(np.uint8), 4 * offs)
+
+        return work
 
-    return _appended(df, text, ids, keep, work)
+    return _appended(df, text, ids, keep, make)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -417,7 +420,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
             sums = np.concatenate([[0], np.cumsum(many)])
             yield _binary(tokens[ragged(where[found], many)], sums[block.offs // 4])
 
-    return _appended(df, ids, out, keep, work)
+    return _appended(df, ids, out, keep, lambda: work)
 
 
 def n_tokens(ids: Column) -> Column:

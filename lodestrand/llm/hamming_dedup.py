@@ -99,18 +99,17 @@ def chunk_lanes(most: int = MOST_DIFFERENT) -> list[list[int]]:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> id, text_key, n_shingles, set_key, signature."""
+    """id, text_key, text -> id, text_key, n_shingles, set_key, signature."""
     for batch in batches:
-        for block in blocks(batch.column(1)):
+        for block in blocks(batch.column(2)):
             keys, offs = shingle_sets(block)
             size = np.diff(offs)
             sums = np.zeros(len(keys) + 1, np.uint64)
             np.cumsum(mix(keys), out=sums[1:])
             set_key = mix(sums[offs[1:]] - sums[offs[:-1]] + mix(size.astype(np.uint64)))
-            text_key = block.spans(block.offs[:-1], block.offs[1:])
             lanes = signatures(keys, offs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(block.first, len(block)), pa.array(text_key.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(set_key.view(np.int64)), pa.array([x.tobytes() for x in lanes], pa.binary())],
+                [*(batch.column(i).slice(block.first, len(block)) for i in (0, 1)), pa.array(size.astype(np.int64)), pa.array(set_key.view(np.int64)), pa.array([x.tobytes() for x in lanes], pa.binary())],
                 names=["id", "text_key", "n_shingles", "set_key", "signature"],
             )
 
@@ -182,7 +181,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Shuffles: index entries (16 bytes each), whole texts once, sets of clustered texts.
     """
     text_batches(docs)
-    src = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    src = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("text_key"), F.col(f"`{text}`").alias("text"))
     id_type = dict(src.dtypes)["id"]
     rows = stored(src.mapInArrow(_describe, f"id {id_type}, text_key long, n_shingles long, set_key long, signature binary"))
     classes = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "text_key")).alias("of"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")))
@@ -215,7 +214,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = banded.join(plan, "cluster").withColumn("own", own).select("set_key", "of", F.transform(parts, lambda p: F.concat_ws(" ", F.col("cluster"), p)).alias("parts"))
 
     # Each clustered set once, from one row that has it.
-    texts = src.mapInArrow(_with_text_key, f"id {id_type}, text_key long, text string").select(F.struct("id", "text_key").alias("of"), "text")
+    texts = src.select(F.struct("id", "text_key").alias("of"), "text")
     sets = texts.join(placed.hint("shuffle_hash"), "of").dropDuplicates(["set_key"]).select("set_key", F.concat_ws(",", "parts").alias("part"), "text").mapInArrow(_sets, "set_key long, part string, shingles binary")
     dealt = sets.select("set_key", F.explode(F.split("part", ",")).alias("part"), "shingles")
     found = dealt.groupBy("part").applyInPandas(lambda batch: _compare(batch, percent), "u long, v long")
@@ -227,10 +226,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = rows.join(of_class.where("component_id is not null"), "set_key", "left")
     mine = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(doc_id), "n_shingles", mine.alias("component_id"), F.col("id").eqNullSafe(mine).alias("kept"))
-
-
-def _with_text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in blocks(batch.column(1)):
-            key = block.spans(block.offs[:-1], block.offs[1:])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), pa.array(key.view(np.int64)), batch.column(1).slice(block.first, len(block))], names=["id", "text_key", "text"])
