@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,32 @@ def text_batches(df: DataFrame) -> SparkSession:
     return spark
 
 
+#: Bytes of text that a task works on at once.
+SLICE_BYTES = 4 << 20
+
+
+def text_slices(column: pa.Array, between: str, most: int = SLICE_BYTES) -> Iterator[tuple[list[int], pa.Array]]:
+    """(row of each text, texts) of at most about ``most`` bytes together; longer texts are cut after signs that match ``between``.
+
+    Null: empty.  A text without such a sign stays whole.
+    """
+    texts = column.fill_null("").cast(pa.large_string())
+    size = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.empty(0, np.int64)
+    run = np.cumsum(size)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(run, (run[i - 1] if i else 0) + most, "right")))
+        if size[i] > most:
+            text, at, sign = texts[i].as_py(), 0, re.compile(between)
+            while at < len(text):
+                found = sign.search(text, at + most)
+                yield [i], pa.array([text[at : (end := found.end() if found else len(text))]], pa.large_string())
+                at = end
+        else:
+            yield [*range(i, j)], texts.slice(i, j - i)
+        i = j
+
+
 def id_remainder(doc_id: str | Column, divisor: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``divisor`` (a null id counts as empty text)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import attention_lm, bpe_replay, compression_rules, hamming_dedup, pii_surrogates, quality_classifier, ring_sharding, suffix_dedup, tiling, url_sql, url_templates
+from lodestrand.llm import attention_lm, bpe_replay, compression_rules, hamming_dedup, pii_surrogates, quality_classifier, ring_sharding, spelling_sql, spelling_variants, suffix_dedup, tiling, url_sql, url_templates
 from lodestrand.llm.common import table
 
 def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_surrogates.replace(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_replaced")
 
 
+def op11_spelling_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": op1_subword_quality,
     "op2_url_templates": op2_url_templates,
@@ -98,9 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bounded_ring": op8_bounded_ring,
     "op9_bpe_replay": op9_bpe_replay,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_spelling_gram": op11_spelling_gram,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_templates": url_sql.sql(URL_RULES),
     "op4_hamming_dedup": OP4_SQL,
+    "op11_spelling_gram": spelling_sql.SQL,
 }
