@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -49,6 +50,18 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 TEXT_ROWS = "1000"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, Spark hands fewer rows to Python at once; for what is written inside, since plans are made then."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), int(TEXT_ROWS)) if int(before) > 0 else TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_batches(df: DataFrame) -> SparkSession:
     """The session of ``df``, with Arrow batches small enough for whole texts unless it asks for another size itself."""
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"

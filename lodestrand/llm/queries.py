@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import attention_lm, bpe_replay, compression_rules, hamming_dedup, pii_surrogates, quality_classifier, ring_sharding, spelling_sql, spelling_variants, suffix_dedup, tiling, url_sql, url_templates
+from lodestrand.llm import attention_lm, bpe_replay, compression_rules, hamming_dedup, length_packing, pii_surrogates, quality_classifier, ring_sharding, spelling_sql, spelling_variants, suffix_dedup, tiling, token_alignment, url_sql, url_templates
 from lodestrand.llm.common import table
 
 def op1_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,19 @@ def op11_spelling_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return length_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_quality": op1_subword_quality,
     "op2_url_templates": op2_url_templates,
@@ -103,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_replay": op9_bpe_replay,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_spelling_gram": op11_spelling_gram,
+    "op12_length_packing": op12_length_packing,
+    "op13_pair_bitmaps": op13_pair_bitmaps,
 }
 
 ORACLE_SQL: dict[str, str] = {
