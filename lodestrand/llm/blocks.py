@@ -38,6 +38,36 @@ CODES_LOWER = CODES.copy()
 CODES_LOWER[65:91] = CODES[97:123]
 _POWERS: list[np.ndarray] = []
 
+#: Spans are hashed by a polynomial modulo 2**64 and by one modulo a prime: of the first alone, a Thue-Morse word and its complement collide for any base.
+PRIME, PRIME_BASE = np.uint64((1 << 31) - 1), 1_103_515_245
+_PRIME_POWERS: list[np.ndarray] = []
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    for _ in range(2):
+        x = (x & PRIME) + (x >> np.uint64(31))
+    return x - PRIME * (x >= PRIME)
+
+
+PRIME_CODES = _modulo(CODES >> np.uint64(2))
+PRIME_CODES_LOWER = PRIME_CODES.copy()
+PRIME_CODES_LOWER[65:91] = PRIME_CODES[97:123]
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    if not _PRIME_POWERS or len(_PRIME_POWERS[0]) < n:
+        size = max(n + (n >> 3), BLOCK_BYTES + (1 << 17))
+        out = []
+        for base in (PRIME_BASE, pow(PRIME_BASE, -1, int(PRIME))):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, _modulo(p * np.uint64(pow(base, len(p), int(PRIME))))])
+            out.append(p[:size])
+        _PRIME_POWERS[:] = out
+    return _PRIME_POWERS[0][:n], _PRIME_POWERS[1][:n]
+
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
@@ -96,10 +126,22 @@ class Block:
         np.cumsum((CODES_LOWER if lower else CODES)[self.data] * p, out=out[1:])
         return out
 
+    def prime_sums(self, lower: bool) -> np.ndarray:
+        x = (PRIME_CODES_LOWER if lower else PRIME_CODES)[self.data]
+        x *= _prime_powers(len(x))[0]
+        high = x >> np.uint64(31)
+        x &= PRIME
+        x += high
+        out = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x, out=out[1:])
+        return out
+
     def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
         sums, (_, inv) = self.sums(lower), _powers(len(self.data) + 1)
-        return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+        first = (sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64)
+        sums, (_, inv) = self.prime_sums(lower), _prime_powers(len(self.data) + 1)
+        return mix(mix(first) + _modulo(_modulo(sums[ends] - sums[starts]) * inv[starts]))
 
     def hashes(self, lower: bool = True) -> np.ndarray:
         """One hash for each word; A-Z count as a-z if ``lower``."""
