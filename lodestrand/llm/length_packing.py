@@ -16,11 +16,9 @@ deals them to tasks differently; the number of sequences stays the same.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator, Mapping
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -30,8 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.llm.byte_bpe import encoder
 from lodestrand.llm.common import small_batches, stored
-from lodestrand.llm.spaced import Units
+from lodestrand.llm.spaced import slices
 
 SEQUENCE = 1024
 END = 2
@@ -72,23 +71,9 @@ def plan(counts: Mapping[int, int], size: int = SEQUENCE) -> list[tuple[int, int
     return sorted(lines)
 
 
-@lru_cache(maxsize=2)
-def _units(path: str) -> Units:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
-    def ids(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    return Units(ids)
-
-
-def encoded(text: str | None, units: Units, end: int = END) -> bytes:
+def encoded(text: str | None, ids: Callable[[str], list[int]], end: int = END) -> bytes:
     """Ids of a text and the end, as little-endian unsigned 32-bit integers."""
-    return b"".join([v for values in units.of(text or "") for v in values] + [end.to_bytes(4, "little")])
+    return b"".join(np.array(ids(part), "<u4").tobytes() for part in slices(text or "")) + end.to_bytes(4, "little")
 
 
 def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", size: int = SEQUENCE, end: int = END) -> DataFrame:
@@ -97,11 +82,11 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     schema = T.StructType([src.schema["doc_id"], *T._parse_datatype_string("piece int, start long, length int, ids_crc32 long, row long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, row = _units(vocabulary), TaskContext.get().partitionId() << 40
+        ids, row = encoder(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
             of, rows = [], []
             for i in range(len(batch)):
-                data = encoded(batch.column(1)[i].as_py(), units, end)
+                data = encoded(batch.column(1)[i].as_py(), ids, end)
                 n = len(data) // 4
                 cuts = [0, *range(n % size or size, n + 1, size)] if n > size else [0, n]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

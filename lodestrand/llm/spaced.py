@@ -20,33 +20,32 @@ def _clean(part: str) -> bool:
     return bool(part) and not part[0].isspace() and not part[-1].isspace()
 
 
+def slices(text: str) -> Iterator[str]:
+    """A text in slices of about ``SIGNS`` signs that begin with a space, but for the first."""
+    at = 0
+    while at < len(text):
+        found = BETWEEN.search(text, at + SIGNS) if len(text) - at > SIGNS else None
+        end = found.start() if found else len(text)
+        yield text if end - at == len(text) else text[at:end]
+        at = end
+
+
 class Units:
     """Values of units, each computed once while it is kept.
 
-    compute: values of a list of units, none of them None.  lead: what stands before the first unit of each text, a space or nothing.
+    compute: values of a list of units, none of them None.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], lead: str = "", most: int = MOST_KEPT):
-        self.compute, self.lead, self.most = compute, lead, most
+    def __init__(self, compute: Callable[[list[str]], list], most: int = MOST_KEPT):
+        self.compute, self.most = compute, most
         self.known: dict[str, object] = {}
 
     def of(self, text: str) -> Iterator[list]:
-        """Values of the units of ``lead`` and a text, in order, a slice of the text at a time."""
+        """Values of the units of a space and a text, in order, a slice of the text at a time."""
         if len(self.known) > self.most:
             self.known.clear()
-        at = 0
-        while at < len(text):
-            found = BETWEEN.search(text, at + SIGNS) if len(text) - at > SIGNS else None
-            end = found.start() if found else len(text)
-            part = text if end - at == len(text) else text[at:end]
-            if at or self.lead:
-                yield self._values(part)
-            else:
-                head, *rest = part.split(" ", 1)
-                if rest and (not _clean(rest[0]) or not head or head[-1].isspace()):
-                    head, *rest = BETWEEN.split(part, 1)
-                yield self.compute([head]) + (self._values(rest[0]) if rest else [])
-            at = end + 1
+        for i, part in enumerate(slices(text)):
+            yield self._values(part[1:] if i else part)
 
     def _values(self, text: str) -> list:
         parts = text.split(" ")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.llm.byte_bpe import encoder, letters
 from lodestrand.llm.common import small_batches, stored
 from lodestrand.llm.spaced import Units
 
@@ -44,22 +45,14 @@ POSTINGS = "block long, pair long, planes array<binary>"
 DOCS = "n_a long, n_b long, n_groups long, groups_sha256 string, place int"
 
 
-def _letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable ones stand for themselves, the rest follow from 256 on."""
-    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=2)
 def _units(path_a: str, path_b: str) -> Units:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import sentencepiece
     from tokenizers import Tokenizer
 
-    a, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-    a.encode_special_tokens = True
-    byte = _letters()
+    a, b, ids = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b), encoder(path_a)
+    byte = letters()
     bytes_a = {i: bytes(byte[c] for c in token) for token, i in a.get_vocab().items() if all(c in byte for c in token)}
     bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, b.id_to_piece(i)) for i in range(b.get_piece_size()))]
     if max(max(bytes_a), len(bytes_b)) >> ID_BITS:
@@ -67,10 +60,9 @@ def _units(path_a: str, path_b: str) -> Units:
 
     def align(units: list[str]) -> list[tuple[bytes, bytes, int, int] | bool]:
         """(groups, links, ids of A, ids of B) of each unit; False where its bytes don't come back."""
-        both = zip(units, a.encode_batch_fast(units, add_special_tokens=False), b.encode([u[1:] for u in units], num_threads=1), strict=True)
-        return [aligned(unit.encode(), x.ids, y, bytes_a, bytes_b) for unit, x, y in both]
+        return [aligned(unit.encode(), ids(unit), y, bytes_a, bytes_b) for unit, y in zip(units, b.encode([u[1:] for u in units], num_threads=1), strict=True)]
 
-    return Units(align, " ")
+    return Units(align)
 
 
 def aligned(text: bytes, ids_a: list[int], ids_b: list[int], bytes_a, bytes_b) -> tuple[bytes, bytes, int, int] | bool:

@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestrand.llm import length_packing, spaced, token_alignment
+from lodestrand.llm import byte_bpe, length_packing, spaced, token_alignment
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 A, B = Tokenizer.from_file(A_PATH), sentencepiece.SentencePieceProcessor(model_file=B_PATH)
@@ -33,22 +33,34 @@ def docs(spark):
 
 
 def test_units_join_to_the_text():
-    units = spaced.Units(list, "")
+    units = spaced.Units(list)
     for text in TEXTS + TEXTS:
-        got = [v for values in units.of(text or "") for v in values]
-        assert "".join(got) == (text or "")
+        assert "".join(v for values in units.of(text or "") for v in values) == (" " + text if text else "")
     for text in TEXTS:
         if text:
-            ids = [i for values in units.of(text) for u in values for i in A.encode(u, add_special_tokens=False).ids]
-            assert ids == A.encode(text, add_special_tokens=False).ids
+            ids = [i for values in units.of(text) for u in values for i in A.encode("".join(u), add_special_tokens=False).ids]
+            assert ids == A.encode(" " + text, add_special_tokens=False).ids
 
 
 def test_units_of_a_text_beyond_one_slice(monkeypatch):
     monkeypatch.setattr(spaced, "SIGNS", 40)
-    for lead in ("", " "):
-        units = spaced.Units(list, lead, most=50)
-        for text in TEXTS:
-            assert "".join(v for values in units.of(text or "") for v in values) == (lead + text if text else "")
+    units = spaced.Units(list, most=50)
+    for text in TEXTS:
+        assert "".join(spaced.slices(text or "")) == (text or "")
+        assert "".join(v for values in units.of(text or "") for v in values) == (" " + text if text else "")
+        ids = [i for part in spaced.slices(text or "") for i in A.encode(part, add_special_tokens=False).ids]
+        assert ids == A.encode(text or "", add_special_tokens=False).ids
+
+
+def test_both_libraries_give_the_same_ids():
+    ids = byte_bpe.encoder(A_PATH)
+    assert byte_bpe._ranks(A_PATH) and byte_bpe._ranks(public_tokenizers.path("word_bpe_49k.json")) is None
+    signs = [chr(i) for i in range(0x250)]
+    texts = [t for t in TEXTS if t] + signs + [f"ab{c}cd {c} {c}{c}1{c}x  {c}" for c in signs] + ["".join(signs), "x" * 30_000, "'s 'T we'LL i'd'd"]
+    letter = byte_bpe.letters()
+    tokens = [bytes(letter[c] for c in t).decode("utf-8", "ignore") for t in A.get_vocab() if all(c in letter for c in t)]
+    for text, plain in zip(texts + tokens, A.encode_batch(texts + tokens, add_special_tokens=False)):
+        assert ids(text) == plain.ids
 
 
 def plain_ids(text):
@@ -112,7 +124,7 @@ def plain_alignment(text):
     if not text:
         return 0, 0, [], []
     whole = (" " + text).encode()
-    letters = token_alignment._letters()
+    letters = byte_bpe.letters()
     ids_a, ids_b = A.encode(" " + text, add_special_tokens=False).ids, B.encode(text)
     bytes_a = [bytes(letters[c] for c in A.id_to_token(i)) for i in ids_a]
     bytes_b = [bytes([int(p[3:5], 16)]) if B.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, B.id_to_piece(i)) for i in ids_b)]
