@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import answers, findings, navigation, relations, repository, reviews, texts
+from lodestrand.plans import answers, findings, navigation, relations, repository, reviews, streams, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | findings.QUERIES | relations.QUERIES | repository.QUERIES | navigation.QUERIES | reviews.QUERIES | answers.QUERIES
-ORACLE_SQL: dict[str, str] = texts.SQL | findings.SQL | relations.SQL | repository.SQL | navigation.SQL | reviews.SQL | answers.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = texts.QUERIES | findings.QUERIES | relations.QUERIES | repository.QUERIES | navigation.QUERIES | reviews.QUERIES | answers.QUERIES | streams.QUERIES
+ORACLE_SQL: dict[str, str] = texts.SQL | findings.SQL | relations.SQL | repository.SQL | navigation.SQL | reviews.SQL | answers.SQL | streams.SQL
 FLAGSHIP = "j7_tfidf_top_k"
