@@ -12,8 +12,8 @@ from itertools import compress
 
 #: The space between two signs that aren't white space.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: Signs of a text that are cut into units at once; units kept; longest unit that is kept.
-SIGNS, MOST_KEPT, LONGEST_KEPT = 1 << 20, 200_000, 64
+#: Signs of a text that are cut into units at once; units of a generation that are kept; longest unit that is kept.
+SIGNS, MOST_KEPT, LONGEST_KEPT = 1 << 20, 300_000, 64
 
 
 def _clean(part: str) -> bool:
@@ -39,11 +39,12 @@ class Units:
     def __init__(self, compute: Callable[[list[str]], list], most: int = MOST_KEPT):
         self.compute, self.most = compute, most
         self.known: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def of(self, text: str) -> Iterator[list]:
         """Values of the units of a space and a text, in order, a slice of the text at a time."""
         if len(self.known) > self.most:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         for i, part in enumerate(slices(text)):
             yield self._values(part[1:] if i else part)
 
@@ -52,10 +53,14 @@ class Units:
         values = list(map(self.known.get, parts))
         if None not in values:
             return values
+        known = self.known
         new = dict.fromkeys(compress(parts, [v is None for v in values]))
         if not all(map(_clean, new)):
             parts = BETWEEN.split(text)
-            new = dict.fromkeys(p for p in parts if p not in self.known)
-        found = dict(zip(new, self.compute([" " + p for p in new]), strict=True))
-        self.known.update((p, v) for p, v in found.items() if len(p) <= LONGEST_KEPT and _clean(p))
-        return [found[p] if p in found else self.known[p] for p in parts]
+            new = dict.fromkeys(p for p in parts if p not in known)
+        # what the generation before knew moves to this one; the rest of it goes when this one is full
+        known.update((p, v) for p, v in zip(new, map(self.older.get, new), strict=True) if v is not None)
+        lost = [p for p in new if p not in known]
+        found = dict(zip(lost, self.compute([" " + p for p in lost]), strict=True))
+        known.update((p, v) for p, v in found.items() if len(p) <= LONGEST_KEPT and _clean(p))
+        return [found[p] if p in found else known[p] for p in parts]

@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 16
 #: A bitmap of so many documents or more is 65,536 bits.
 DENSE = 4096
 POSTINGS = "block long, pair long, planes array<binary>"
+#: Bytes, their number and the decimal name of each id.
+Known = dict[int, tuple[bytes, int, str]]
 DOCS = "n_a long, n_b long, n_groups long, groups_sha256 string, place int"
 
 
@@ -54,34 +58,32 @@ def _units(path_a: str, path_b: str) -> Units:
     a, b, ids = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b), encoder(path_a)
     byte = letters()
     bytes_a = {i: bytes(byte[c] for c in token) for token, i in a.get_vocab().items() if all(c in byte for c in token)}
-    bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, b.id_to_piece(i)) for i in range(b.get_piece_size()))]
-    if max(max(bytes_a), len(bytes_b)) >> ID_BITS:
+    bytes_b = {i: bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, b.id_to_piece(i)) for i in range(b.get_piece_size()))}
+    if max(*bytes_a, *bytes_b) >> ID_BITS:
         raise ValueError(f"ids of more than {ID_BITS} bits")
+    known_a, known_b = ({i: (data, len(data), str(i)) for i, data in known.items()} for known in (bytes_a, bytes_b))
 
     def align(units: list[str]) -> list[tuple[bytes, bytes, int, int] | bool]:
         """(groups, links, ids of A, ids of B) of each unit; False where its bytes don't come back."""
-        return [aligned(unit.encode(), ids(unit), y, bytes_a, bytes_b) for unit, y in zip(units, b.encode([u[1:] for u in units], num_threads=1), strict=True)]
+        return [aligned(unit.encode(), ids(unit), y, known_a, known_b) for unit, y in zip(units, b.encode([u[1:] for u in units], num_threads=1), strict=True)]
 
     return Units(align)
 
 
-def aligned(text: bytes, ids_a: list[int], ids_b: list[int], bytes_a, bytes_b) -> tuple[bytes, bytes, int, int] | bool:
+def aligned(text: bytes, ids_a: list[int], ids_b: list[int], known_a: Known, known_b: Known) -> tuple[bytes, bytes, int, int] | bool:
     """Groups as text, and links as 64-bit pairs; False where one of the tokenizers doesn't give the text back."""
-    if b"".join([bytes_a[i] for i in ids_a]) != text or b"".join([bytes_b[i] for i in ids_b]) != text:
+    of_a, of_b = [known_a[i] for i in ids_a], [known_b[i] for i in ids_b]
+    if b"".join([x[0] for x in of_a]) != text or b"".join([x[0] for x in of_b]) != text:
         return False
-    ends, at = {}, 0
-    for k, i in enumerate(ids_b):
-        at += len(bytes_b[i])
-        ends[at] = k
-    groups, links, at, first_a, first_b = [], [], 0, 0, 0
-    for k, i in enumerate(ids_a):
-        at += len(bytes_a[i])
-        j = ends.get(at)
-        if j is not None:
-            groups.append(f"{','.join(map(str, ids_a[first_a : k + 1]))}|{','.join(map(str, ids_b[first_b : j + 1]))}")
-            links.append(i << ID_BITS | ids_b[j])
-            first_a, first_b = k + 1, j + 1
-    return ";".join(groups).encode(), np.array(links, "<i8").tobytes(), len(ids_a), len(ids_b)
+    names_a, names_b = [x[2] for x in of_a], [x[2] for x in of_b]
+    ends = dict(zip(accumulate([x[1] for x in of_b]), range(1, len(ids_b) + 1), strict=True))
+    groups, links, first_a, first_b = [], [], 0, 0
+    for k, end in enumerate(accumulate([x[1] for x in of_a]), 1):
+        if j := ends.get(end):
+            groups.append(f"{','.join(names_a[first_a:k])}|{','.join(names_b[first_b:j])}")
+            links.append(ids_a[k - 1] << ID_BITS | ids_b[j - 1])
+            first_a, first_b = k, j
+    return ";".join(groups).encode(), struct.pack(f"<{len(links)}q", *links), len(ids_a), len(ids_b)
 
 
 def _document(text: str, units: Units) -> tuple[int, int, str, bytes]:
