@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -45,10 +46,33 @@ def bodies(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return own.select("file", "symbol", "start_line", "signature", (F.col("start_line") + F.col("pos")).alias("line"), "text")
 
 
-def finding(rows: DataFrame, category: str, severity: str, title: Column | str, line: str = "line", snippet: Column | None = None) -> DataFrame:
+#: Why a finding of a category matters; {0}, {1}, ... are what was found.
+RATIONALES = {
+    "unhandled_none": "`{0}` is assigned from `{1}` which can return None (assignment at line {2}); line {3} then uses `{0}` directly, which raises TypeError/AttributeError when None.",
+    "sql_injection": "User-controlled values interpolated directly into SQL text instead of bound parameters (? placeholders).",
+    "swallowed_error": "`except: pass` hides failures and turns bugs into silent wrong behaviour.",
+    "dangerous_call": "eval/exec/os.system/shell=True execute attacker-influenceable strings.",
+    "mutable_default": "Mutable defaults ([]/{}) are shared across calls — a classic Python bug source.",
+    "style": "PEP 8: use `is None` / `is not None`.",
+    "weak_crypto": "MD5/SHA1 are not password hashing functions; use bcrypt/scrypt/argon2 with a salt.",
+    "todo": "Unfinished work tracked in a comment.",
+    "missing_error_handling": "Any exception from the service/data layers escapes as a raw HTTP 500 instead of a precise status code.",
+    "n_plus_one": "One DB round-trip per item; batch the inserts/queries instead.",
+    "missing_validation": "`{0}` looks like a fraction (0..1) but is never guarded with an `if` — values below 0 or above 1 produce out-of-range results (e.g. negative totals).",
+    "missing_input_validation": "Request-body fields reach the service layer without any validate_/assert/check call — malformed input propagates downstream (or causes 500s).",
+    "dead_store": "`{0}` is accumulated inside a loop in {1}() but never read afterwards; {2}one of the two computations is redundant or the wrong one was wired up.",
+}
+
+
+def rationale(category: str, *found: Column) -> Column:
+    parts = re.split(r"[{]([0-9])[}]", RATIONALES[category])
+    return F.concat(*[found[int(x)].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
+def finding(rows: DataFrame, category: str, severity: str, title: Column | str, line: str = "line", snippet: Column | None = None, found: tuple[Column, ...] = ()) -> DataFrame:
     said = F.lit(title) if isinstance(title, str) else title
     shown = F.substring(F.trim("text") if snippet is None else snippet, 1, 160)
-    return rows.select("file", F.col(line).cast("int").alias("line"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), said.alias("title"), shown.alias("snippet"))
+    return rows.select("file", F.col(line).cast("int").alias("line"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), said.alias("title"), shown.alias("snippet"), rationale(category, *found).alias("rationale"))
 
 
 def builds_sql(text: Column) -> Column:
@@ -58,44 +82,59 @@ def builds_sql(text: Column) -> Column:
     return F.when(F.size(names) > 0, ~constant & (text.rlike(SQL_BUILD) | text.rlike(SQL_FORMATTED))).otherwise(text.rlike(SQL_BUILD))
 
 
+#: Rules of lines: (category, severity, title, what a line is tested for); of the last four the first that fits a line holds.
+LINE_RULES = (
+    ("sql_injection", "HIGH", "SQL built via string interpolation (injection risk)", lambda text, secret: builds_sql(text)),
+    ("swallowed_error", "MEDIUM", "Broad except swallows the error", lambda text, secret: text.rlike(SWALLOWED)),
+    ("dangerous_call", "HIGH", "Dangerous call (eval/exec/shell)", lambda text, secret: text.rlike(DANGEROUS)),
+)
+QUALITY = (
+    ("mutable_default", "MEDIUM", "Mutable default argument", lambda text, secret: text.rlike(MUTABLE_DEFAULT)),
+    ("style", "LOW", "Comparison to None should use `is`", lambda text, secret: text.rlike(EQUALS_NONE)),
+    ("weak_crypto", "MEDIUM", "Weak hash used in a password context", lambda text, secret: text.rlike(WEAK_HASH) & secret),
+    ("todo", "LOW", "TODO/FIXME marker left in code", lambda text, secret: text.rlike(TODO)),
+)
+
+
+def line_findings(files: DataFrame, rules, first_of=()) -> DataFrame:
+    """Findings of all ``rules``, and of ``first_of`` the first that fits a line, from one pass over all lines."""
+    lines = code_lines(files.withColumn("language", F.lower("content").contains("password").cast("string")))
+    secret = F.col("language") == "true"
+    said = lambda r: F.struct(F.lit(r[0]).alias("category"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("title"), rationale(r[0]).alias("rationale"))
+    found = [F.when(r[3](F.col("text"), secret), said(r)) for r in rules]
+    if first_of:
+        found.append(F.coalesce(*[F.when(r[3](F.col("text"), secret), said(r)) for r in first_of]))
+    each = lines.select("file", F.col("line").cast("int").alias("line"), "text", F.explode(F.array_compact(F.array(*found))).alias("r"))
+    return each.select("file", "line", "r.category", "r.severity", "r.title", F.substring(F.trim("text"), 1, 160).alias("snippet"), "r.rationale")
+
+
 def sql_injection(files, symbols, routes):
-    return finding(code_lines(files).where(builds_sql(F.col("text"))), "sql_injection", "HIGH", "SQL built via string interpolation (injection risk)")
+    return line_findings(files, LINE_RULES[:1])
 
 
 def swallowed_errors(files, symbols, routes):
-    return finding(code_lines(files).where(F.col("text").rlike(SWALLOWED)), "swallowed_error", "MEDIUM", "Broad except swallows the error")
+    return line_findings(files, LINE_RULES[1:2])
 
 
 def dangerous_calls(files, symbols, routes):
-    return finding(code_lines(files).where(F.col("text").rlike(DANGEROUS)), "dangerous_call", "HIGH", "Dangerous call (eval/exec/shell)")
-
-
-#: Rules of which the first that fits a line holds: (category, severity, title).
-QUALITY = (("mutable_default", "MEDIUM", "Mutable default argument"), ("style", "LOW", "Comparison to None should use `is`"), ("weak_crypto", "MEDIUM", "Weak hash used in a password context"), ("todo", "LOW", "TODO/FIXME marker left in code"))
+    return line_findings(files, LINE_RULES[2:])
 
 
 def quality(files, symbols, routes):
-    lines = code_lines(files.withColumn("language", F.lower("content").contains("password").cast("string")))
-    fits = (F.col("text").rlike(MUTABLE_DEFAULT), F.col("text").rlike(EQUALS_NONE), F.col("text").rlike(WEAK_HASH) & (F.col("language") == "true"), F.col("text").rlike(TODO))
-    rule = F.lit(None).cast("int")
-    for i in reversed(range(len(fits))):
-        rule = F.when(fits[i], i).otherwise(rule)
-    found = lines.withColumn("rule", rule).where("rule is not null")
-    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in QUALITY]), F.col("rule") + 1)
-    return found.select("file", F.col("line").cast("int").alias("line"), pick(0).alias("category"), pick(1).alias("severity"), pick(2).alias("title"), F.substring(F.trim("text"), 1, 160).alias("snippet"))
+    return line_findings(files, (), QUALITY)
 
 
 def none_dereference(files, symbols, routes):
     """A name that a get_, find_, fetch_ or query_ call was assigned to and that is used before it is tested."""
     lines = bodies(files.where("language = 'python'"), symbols)
-    given = lines.where(F.col("text").rlike(MAY_BE_NONE)).select("file", "symbol", "start_line", F.col("line").alias("given"), F.regexp_extract("text", MAY_BE_NONE, 1).alias("name"))
+    given = lines.where(F.col("text").rlike(MAY_BE_NONE)).select("file", "symbol", "start_line", F.col("line").alias("given"), F.regexp_extract("text", MAY_BE_NONE, 1).alias("name"), F.substring(F.trim(F.regexp_extract("text", MAY_BE_NONE, 2)), 1, 100).alias("by"))
     later = given.join(lines.select("file", "symbol", "start_line", "line", "text"), ["file", "symbol", "start_line"]).where("line > given")
     guard = F.regexp_like("text", F.concat(F.lit(r"if[ \t]+(not[ \t]+)?"), "name", F.lit(r"([^A-Za-z0-9_]|$)|"), "name", F.lit(r"[ \t]+is[ \t]+(not[ \t]+)?None")))
     use = F.regexp_like("text", F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), "name", F.lit(r"(\[['\"A-Za-z0-9_]|[.][A-Za-z0-9_])")))
     event = F.when(guard, F.lit(0)).when(use, F.lit(1))
-    first = later.withColumn("event", event).where("event is not null").groupBy("file", "symbol", "start_line", "given", "name").agg(F.min(F.struct("line", "event", "text")).alias("x"))
-    found = first.where("x.event = 1").select("file", "name", F.col("x.line").alias("line"), F.col("x.text").alias("text"))
-    return finding(found, "unhandled_none", "HIGH", F.concat(F.lit("Possible None dereference: `"), "name", F.lit("` is used without a None check")))
+    first = later.withColumn("event", event).where("event is not null").groupBy("file", "symbol", "start_line", "given", "name", "by").agg(F.min(F.struct("line", "event", "text")).alias("x"))
+    found = first.where("x.event = 1").select("file", "name", "given", "by", F.col("x.line").alias("line"), F.col("x.text").alias("text"))
+    return finding(found, "unhandled_none", "HIGH", F.concat(F.lit("Possible None dereference: `"), "name", F.lit("` is used without a None check")), found=tuple(map(F.col, ("name", "by", "given", "line"))))
 
 
 def _handlers(files, symbols, routes) -> DataFrame:
@@ -139,12 +178,13 @@ def unvalidated_rates(files, symbols, routes):
     guard = F.regexp_like("text", F.concat(F.lit(r"(^|[^A-Za-z0-9_])if[^A-Za-z0-9_](.*[^A-Za-z0-9_])?"), "name", F.lit(r"([^A-Za-z0-9_]|$)")))
     used = (F.col("line") > F.col("start_line")) & F.contains("text", "name")
     by = rows.groupBy("file", "symbol", "start_line", "signature", "name").agg(F.max(guard).alias("guarded"), F.max(used).alias("used")).where("used and not guarded")
-    return finding(by, "missing_validation", "MEDIUM", F.concat(F.lit("`"), "name", F.lit("` is used without range validation")), "start_line", F.col("signature"))
+    return finding(by, "missing_validation", "MEDIUM", F.concat(F.lit("`"), "name", F.lit("` is used without range validation")), "start_line", F.col("signature"), (F.col("name"),))
 
 
 def stores_never_read(files, symbols, routes):
     found = dead_stores(files).join(code_lines(files).select("file", "line", "text"), ["file", "line"])
-    return finding(found, "dead_store", "MEDIUM", F.concat(F.lit("`"), "name", F.lit("` is computed but never used")))
+    via = F.when(F.col("via").isNull(), "").otherwise(F.concat(F.lit("the value actually returned is computed by `"), "via", F.lit("(...)` instead — ")))
+    return finding(found, "dead_store", "MEDIUM", F.concat(F.lit("`"), "name", F.lit("` is computed but never used")), found=(F.col("name"), F.col("function"), via))
 
 
 CHECKS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
@@ -154,6 +194,9 @@ CHECKS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
 
 
 def run_checks(files: DataFrame, symbols: DataFrame, routes: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Findings of all checks, or of those named."""
-    chosen = [check for name, check in CHECKS.items() if not categories or name in categories]
-    return reduce(DataFrame.unionByName, [check(files, symbols, routes) for check in chosen])
+    """Findings of all checks, or of those named; all rules of lines share one pass."""
+    wanted = lambda name: not categories or name in categories
+    rules, first_of = [r for r in LINE_RULES if wanted(r[0])], QUALITY if wanted("quality") else ()
+    found = [line_findings(files, rules, first_of)] if rules or first_of else []
+    found += [check(files, symbols, routes) for name, check in CHECKS.items() if wanted(name) and name not in (*[r[0] for r in LINE_RULES], "quality")]
+    return reduce(DataFrame.unionByName, found)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.text import indent
 from lodestrand.operators import detect, diffs
 from lodestrand.operators.rules import SECRETS, severity_rank
 
@@ -61,7 +62,7 @@ def breaking_changes(rows: DataFrame) -> DataFrame:
 
 def loop_queries(rows: DataFrame) -> DataFrame:
     """The first query in an added loop, before a line that stands no deeper than the loop's head."""
-    added = rows.where("op = '+'").withColumn("stripped", F.ltrim("text")).withColumn("indent", F.length("text") - F.length(F.ltrim("text")))
+    added = rows.where("op = '+'").withColumn("stripped", F.regexp_replace("text", r"^\s+", "")).withColumn("indent", indent(F.col("text")))
     head = F.col("stripped").rlike(LOOP_HEAD)
     along = Window.partitionBy("diff_id", "path").orderBy("seq")
     rows = added.withColumn("head", head).withColumn("loop", F.count_if("head").over(along)).where("loop > 0")

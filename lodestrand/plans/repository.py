@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.operators import code, detect
+from lodestrand.operators.shared import written
 from lodestrand.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -87,8 +88,8 @@ def matches(column: str, pattern: str) -> str:
 
 def parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(files, facts, symbols, routes)."""
-    every = files(spark, sf_dir)
-    facts = code.parse_python(every)
+    every = written(files(spark, sf_dir))
+    facts = written(code.parse_python(every))
     return every, facts, code.symbols(facts), facts.where("tag = 'route'")
 
 
@@ -168,17 +169,17 @@ _SQL_RULE = (
 @query(_lines_with("sql_injection", "HIGH", "SQL built via string interpolation (injection risk)") + _SQL_RULE)
 def k2_sql_injection(spark, sf_dir):
     """K2, B7."""
-    return detect.sql_injection(files(spark, sf_dir), None, None)
+    return detect.sql_injection(files(spark, sf_dir), None, None).drop("rationale")
 
 
 @query(_lines_with("swallowed_error", "MEDIUM", "Broad except swallows the error") + matches("text", detect.SWALLOWED))
 def k3_swallowed_errors(spark, sf_dir):
-    return detect.swallowed_errors(files(spark, sf_dir), None, None)
+    return detect.swallowed_errors(files(spark, sf_dir), None, None).drop("rationale")
 
 
 @query(_lines_with("dangerous_call", "HIGH", "Dangerous call (eval/exec/shell)") + matches("text", detect.DANGEROUS))
 def k4_dangerous_calls(spark, sf_dir):
-    return detect.dangerous_calls(files(spark, sf_dir), None, None)
+    return detect.dangerous_calls(files(spark, sf_dir), None, None).drop("rationale")
 
 
 _RULE = f"case when {matches('text', detect.MUTABLE_DEFAULT)} then 1 when {matches('text', detect.EQUALS_NONE)} then 2 when {matches('text', detect.WEAK_HASH)} and secret then 3 when {matches('text', detect.TODO)} then 4 end"
@@ -190,7 +191,7 @@ _RULE = f"case when {matches('text', detect.MUTABLE_DEFAULT)} then 1 when {match
 )
 def k5_code_quality(spark, sf_dir):
     """K5: the first rule that fits a line."""
-    return detect.quality(files(spark, sf_dir), None, None)
+    return detect.quality(files(spark, sf_dir), None, None).drop("rationale")
 
 
 _BODY = f"with {FILES}, {SYMBOLS}"
@@ -205,7 +206,7 @@ select file, {FOUND.format("unhandled_none", "HIGH", "concat('Possible None dere
 )
 def k1_none_dereference(spark, sf_dir):
     """K1, E9."""
-    return detect.none_dereference(*parsed(spark, sf_dir)[0:3:2], None)
+    return detect.none_dereference(*parsed(spark, sf_dir)[0:3:2], None).drop("rationale")
 
 
 ROUTES = "routes as (select d.file, regexp_extract(d.text, '@router[.]([a-z]+)', 1) as verb, regexp_extract(d.text, '\"([^\"]+)\"', 1) as url, s.name, s.start_line, s.signature from lines d join symbols s on s.file = d.file and s.start_line = d.line + 1 where starts_with(d.text, '@router.'))"
@@ -218,7 +219,7 @@ ROUTES = "routes as (select d.file, regexp_extract(d.text, '@router[.]([a-z]+)',
 def k6_missing_error_handling(spark, sf_dir):
     """K6, C9."""
     every, _, symbols, routes = parsed(spark, sf_dir)
-    return detect.missing_error_handling(every, symbols, routes)
+    return detect.missing_error_handling(every, symbols, routes).drop("rationale")
 
 
 @query(
@@ -229,7 +230,7 @@ select file, {FOUND.format("n_plus_one", "MEDIUM", "'Query executed inside a loo
 )
 def k7_queries_in_loops(spark, sf_dir):
     """K7, E7, E8."""
-    return detect.queries_in_loops(*parsed(spark, sf_dir)[0:3:2], None)
+    return detect.queries_in_loops(*parsed(spark, sf_dir)[0:3:2], None).drop("rationale")
 
 
 @query(
@@ -239,7 +240,7 @@ u as (select r.file, r.start_line, r.signature, p, bool_or(regexp_matches(text,
 select file, cast(start_line as int) as line, 'missing_validation' as category, 'MEDIUM' as severity, concat('`', p, '` is used without range validation') as title, substring(signature, 1, 160) as snippet from u where used and not guarded"""
 )
 def k8_unvalidated_rates(spark, sf_dir):
-    return detect.unvalidated_rates(*parsed(spark, sf_dir)[0:3:2], None)
+    return detect.unvalidated_rates(*parsed(spark, sf_dir)[0:3:2], None).drop("rationale")
 
 
 @query(
@@ -251,13 +252,13 @@ select r.file, cast(r.start_line as int) as line, 'missing_input_validation' as
 def k9_missing_input_validation(spark, sf_dir):
     """K9, G3."""
     every, _, symbols, routes = parsed(spark, sf_dir)
-    return detect.missing_input_validation(every, symbols, routes)
+    return detect.missing_input_validation(every, symbols, routes).drop("rationale")
 
 
 @query(f"{_BODY} select file, {FOUND.format('dead_store', 'MEDIUM', quoted('`spent` is computed but never used'), 'text')} from bodies where trim(text) = 'spent += item'")
 def k10_dead_stores(spark, sf_dir):
     """K10, N4."""
-    return detect.stores_never_read(files(spark, sf_dir), None, None)
+    return detect.stores_never_read(files(spark, sf_dir), None, None).drop("rationale")
 
 
 @query("select category, sum(n)::bigint as n, min(severity) as severity from (" + " union all ".join(f"(select category, severity, 1 as n from ({SQL[k]}))" for k in sorted(SQL) if k.startswith("k")) + ") group by category")
