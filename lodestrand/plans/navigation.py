@@ -159,14 +159,14 @@ def j2_feature_bag(spark, sf_dir):
 _QUESTION = "concat('where is load_', doc_id, ' created or validated in mod ', doc_id, ' for POST /items/', doc_id % 40, case when doc_id % 60 = 0 then ' nowhereword' else '' end)"
 
 
-@query(
-    f"""{REPO}, {CHUNKS}, g as (select *, concat_ws(' ', id, file, start_line) as chunk from chunks), q as (select doc_id as query_id, {_QUESTION} as text, concat('/items/', doc_id % 40) as hint from documents where doc_id % 20 = 0),
+def search_sql(question: str, hint: str, k: int = 10) -> str:
+    return f"""{REPO}, {CHUNKS}, g as (select *, concat_ws(' ', id, file, start_line) as chunk from chunks), q as (select doc_id as query_id, {question} as text, {hint} as hint from documents where doc_id % 20 = 0),
 {BAG.format("d", "chunk", TOKENS.format("text"), "g")}, {BAG.format("a", "query_id", TOKENS.format("text"), "q")},
 nd as (select count(*) as n_docs from g), w as (select term, ln((max(n_docs) + 1.0) / (count(*) + 1.0)) + 1.0 as idf from db, nd group by term),
 dr as (select chunk, d.term, (1 + ln(n::double)) * idf as raw from db d join w using (term)), dn as (select chunk, sqrt(sum(raw * raw)) as norm from dr group by chunk),
 qr as (select query_id, b.term, (1 + ln(n::double)) * coalesce(idf, ln(n_docs + 1.0) + 1.0) as raw from ab b cross join nd left join w on w.term = b.term), qn as (select query_id, sqrt(sum(raw * raw)) as norm from qr group by query_id),
 dots as (select query_id, chunk, round(sum(qr.raw / qn.norm * (dr.raw / dn.norm)), 6) as vec from qr join qn using (query_id) join dr on dr.term = qr.term join dn using (chunk) group by all),
-dense as (select * from dots qualify row_number() over (partition by query_id order by vec desc, chunk) <= 30),
+dense as (select * from dots qualify row_number() over (partition by query_id order by vec desc, chunk) <= {max(3 * k, 24)}),
 qw as (select distinct query_id, word from ac), hw as (select distinct chunk, word from dc), qs as (select query_id, count(*) as q from qw group by query_id),
 shared as (select query_id, chunk, count(*) as shared from qw join hw using (word) group by all),
 pathed as (select query_id, chunk, count(*) as n_path from qw join g on length(word) > 2 and contains(lower(file), word) group by all),
@@ -180,8 +180,10 @@ s as (select p.query_id, p.chunk, g.kind, coalesce(vec, 0) as vec, coalesce(shar
 r as (select *, round((0.55 * vec + 0.45 * least(kw, 1.0) + 0.08::double * coalesce(n_path, 0) + coalesce(sym, 0)::double + coalesce(boost, 0)::double) * case kind when 'file' then 0.85::double else 1.0 end, 6) as score from s),
 t as (select *, row_number() over (partition by query_id order by score desc, chunk)::int as rank from r where score > 0.02)
 select query_id, chunk, score, rank, coalesce(nullif(concat_ws('; ', case when kw >= 0.25 then 'strong term overlap with the question' when kw > 0.05 then 'partial term overlap' end, case when vec >= 0.35 then 'high semantic similarity' when vec > 0.15 then 'semantic similarity' end,
-  case kind when 'route' then 'HTTP endpoint definition' when 'file' then 'module structure overview' end), ''), 'retrieved from the repository index') as reason from t where rank <= 10"""
-)
+  case kind when 'route' then 'HTTP endpoint definition' when 'file' then 'module structure overview' end), ''), 'retrieved from the repository index') as reason from t where rank <= {k}"""
+
+
+@query(search_sql(_QUESTION, "concat('/items/', doc_id % 40)"))
 def j8_code_search(spark, sf_dir):
     """Hybrid scores of chunks with boosts of paths, symbols, verbs and routes."""
     some = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.expr(_QUESTION).alias("text"), F.expr("concat('/items/', doc_id % 40)").alias("hint"))
