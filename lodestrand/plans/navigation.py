@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrand.operators import chunks as C
 from lodestrand.operators import code
 from lodestrand.operators import navigate as N
+from lodestrand.operators import retrieval as R
 from lodestrand.operators.shared import written
 from lodestrand.plans.repository import CALLS, FILES, IMPORTS, ROUTES, SYMBOLS, files, parsed
 from lodestrand.plans.texts import TOKENS
@@ -159,7 +160,8 @@ def j2_feature_bag(spark, sf_dir):
 _QUESTION = "concat('where is load_', doc_id, ' created or validated in mod ', doc_id, ' for POST /items/', doc_id % 40, case when doc_id % 60 = 0 then ' nowhereword' else '' end)"
 
 
-def search_sql(question: str, hint: str, k: int = 10) -> str:
+def scored_sql(question: str, hint: str, k: int = 10) -> str:
+    """CTEs up to r: scores of all chunks that count."""
     return f"""{REPO}, {CHUNKS}, g as (select *, concat_ws(' ', id, file, start_line) as chunk from chunks), q as (select doc_id as query_id, {question} as text, {hint} as hint from documents where doc_id % 20 = 0),
 {BAG.format("d", "chunk", TOKENS.format("text"), "g")}, {BAG.format("a", "query_id", TOKENS.format("text"), "q")},
 nd as (select count(*) as n_docs from g), w as (select term, ln((max(n_docs) + 1.0) / (count(*) + 1.0)) + 1.0 as idf from db, nd group by term),
@@ -177,7 +179,11 @@ boost as (select distinct query_id, chunk, 0.6 as boost from hinted h join g on
 pairs as (select query_id, chunk from dense union select query_id, chunk from shared union select query_id, chunk from pathed union select query_id, chunk from sym union select query_id, chunk from boost),
 s as (select p.query_id, p.chunk, g.kind, coalesce(vec, 0) as vec, coalesce(shared / (sqrt(q::double) + 1e-9), 0) as kw, n_path, sym, boost from pairs p join g using (chunk) left join dense using (query_id, chunk) left join shared using (query_id, chunk)
   left join pathed using (query_id, chunk) left join sym using (query_id, chunk) left join boost using (query_id, chunk) left join qs using (query_id)),
-r as (select *, round((0.55 * vec + 0.45 * least(kw, 1.0) + 0.08::double * coalesce(n_path, 0) + coalesce(sym, 0)::double + coalesce(boost, 0)::double) * case kind when 'file' then 0.85::double else 1.0 end, 6) as score from s),
+r as (select *, round((0.55 * vec + 0.45 * least(kw, 1.0) + 0.08::double * coalesce(n_path, 0) + coalesce(sym, 0)::double + coalesce(boost, 0)::double) * case kind when 'file' then 0.85::double else 1.0 end, 6) as score from s)"""
+
+
+def search_sql(question: str, hint: str, k: int = 10) -> str:
+    return scored_sql(question, hint, k) + f""",
 t as (select *, row_number() over (partition by query_id order by score desc, chunk)::int as rank from r where score > 0.02)
 select query_id, chunk, score, rank, coalesce(nullif(concat_ws('; ', case when kw >= 0.25 then 'strong term overlap with the question' when kw > 0.05 then 'partial term overlap' end, case when vec >= 0.35 then 'high semantic similarity' when vec > 0.15 then 'semantic similarity' end,
   case kind when 'route' then 'HTTP endpoint definition' when 'file' then 'module structure overview' end), ''), 'retrieved from the repository index') as reason from t where rank <= {k}"""
@@ -191,3 +197,22 @@ def j8_code_search(spark, sf_dir):
     routed = N.find_routes(routes, some.select(F.col("query_id").alias("hint_id"), "hint", F.lit(None).cast("string").alias("verb"))).select(F.col("hint_id").alias("query_id"), "file", "handler")
     rows = written(repository_chunks(spark, sf_dir).withColumn("chunk", F.concat_ws(" ", "id", "file", "start_line")))
     return C.hybrid_search(rows, some.select("query_id", "text"), routed)
+
+
+def scored_chunks(spark, sf_dir, question: str, hint: str, k: int = 10, kinds: tuple[str, ...] = ()):
+    """(chunks, their scores) for the question that every 20th document asks; both are written."""
+    some = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.expr(question).alias("text"), F.expr(hint).cast("string").alias("hint"))
+    hints = some.where("hint is not null").select(F.col("query_id").alias("hint_id"), "hint", F.lit(None).cast("string").alias("verb"))
+    routed = N.find_routes(parsed(spark, sf_dir)[3], hints).select(F.col("hint_id").alias("query_id"), "file", "handler")
+    rows = written(repository_chunks(spark, sf_dir).withColumn("chunk", F.concat_ws(" ", "id", "file", "start_line")))
+    return rows, written(C.hybrid_scores(rows, some.select("query_id", "text"), routed, k, kinds))
+
+
+@query(
+    scored_sql(_QUESTION, "concat('/items/', doc_id % 40)")
+    + ", picked as (select r.query_id, r.chunk, score, row_number() over (partition by r.query_id order by score desc, r.chunk)::int as rank from r where score > 0.02 and kind = 'symbol') select query_id, chunk, score, rank from picked where rank <= 5"
+)
+def b4_symbol_search(spark, sf_dir):
+    """The search confined to chunks of one kind."""
+    _, scored = scored_chunks(spark, sf_dir, _QUESTION, "concat('/items/', doc_id % 40)", kinds=("symbol",))
+    return R.top_k(scored, "query_id", "chunk", "score", 5).select("query_id", "chunk", "score", "rank")

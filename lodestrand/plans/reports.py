@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrand.operators import answer as A
 from lodestrand.operators import chunks as C
 from lodestrand.operators import code, detect
 from lodestrand.operators import investigate as I
 from lodestrand.operators import navigate as N
+from lodestrand.operators import planner as P
+from lodestrand.operators import retrieval as R
 from lodestrand.operators import rules as K
 from lodestrand.operators.shared import written
-from lodestrand.plans import navigation, repository
+from lodestrand.plans import answers, navigation, repository
 from lodestrand.plans.repository import CALLS, FILES, IMPORTS, ROUTES, SYMBOLS, matches, parsed, quoted
 from lodestrand.sources.tables import table
 
@@ -104,3 +107,62 @@ select a.query_id, case when r.file is not null then 'POST' end as verb, r.path,
 def o9_reports(spark, sf_dir):
     """Route, call chain, files and tests of each complaint."""
     return _investigated(spark, sf_dir)[1]
+
+
+#: Where something is and which tests cover it, who calls a function, what imports a file.
+_ASK = (
+    "case when doc_id % 60 = 0 then concat('where is load_', doc_id, ' created in mod ', doc_id, ' and which tests for it exist') "
+    "when doc_id % 60 = 20 then concat('who calls load_', cast(floor(doc_id / 3) as bigint) + 1, ' in the code') else concat('which files import app/pkg', doc_id % 20, '/mod_', doc_id, '.py') end"
+)
+
+
+@query(
+    f"""{navigation.scored_sql(_ASK, "null", 8)}, {CALLS.removeprefix(IMPORTS + ', ')}, tests as ({navigation.SQL["c11_tests_of_files"]}),
+asked as (select doc_id as query_id, {_ASK} as question from documents where doc_id % 20 = 0),
+meant as (select query_id, arg_min(s.file, (s.file, s.start_line)) as of_, s.name from asked join symbols s on s.name = regexp_extract(question, {quoted(A.CALLED)}, 1) where {matches('question', A.DEPENDS)} group by query_id, s.name),
+called as (select query_id, 0 as part, row_number() over (partition by query_id order by caller_file, caller) as ord, caller_file as file, s.start_line, s.start_line + 2 as end_line, caller as symbol, concat('calls ', m.name, ' (', of_, ')') as reason
+  from meant m join edges e on e.callee_file = of_ and e.callee = m.name join symbols s on s.file = caller_file and s.name = caller),
+mentions as (select query_id, unnest(regexp_extract_all(question, {quoted(A.MENTION)}, 1)) as mention, generate_subscripts(regexp_extract_all(question, {quoted(A.MENTION)}, 1), 1) as m from asked where {matches('question', A.DEPENDS)} and query_id not in (select query_id from meant)),
+targets as (select query_id, arg_min(path, (m, path <> mention)) as target, arg_min(mention, (m, path <> mention)) as mention from mentions join files on path in (mention, mention || '.py', replace(mention, '.', '/') || '.py') group by query_id),
+importing as (select query_id, target, mention, src as file, row_number() over (partition by query_id order by src) as ord from targets join edges_f on dst = target),
+said as (select i.query_id, i.file, i.ord, i.target, min(l.line) as line, arg_min(l.text, l.line) as text from importing i join lines l on l.file = i.file and contains(l.text, 'import') and (contains(l.text, mention) or contains(l.text, replace(split_part(mention, '/', -1), '.py', ''))) group by all),
+imported as (select query_id, 0 as part, ord, file, line as start_line, line as end_line, null::varchar as symbol, concat('imports ', target, ' (', substring(regexp_extract(text, '(import[ ]+.*)', 1), 1, 80), ')') as reason from said),
+t as (select *, row_number() over (partition by query_id order by score desc, chunk)::int as rank from r where score > 0.02),
+why as (select t.query_id, t.rank, g.file, g.start_line, g.end_line, g.symbol, coalesce(nullif(concat_ws('; ', case when kw >= 0.25 then 'strong term overlap with the question' when kw > 0.05 then 'partial term overlap' end, case when vec >= 0.35 then 'high semantic similarity' when vec > 0.15 then 'semantic similarity' end,
+  case t.kind when 'route' then 'HTTP endpoint definition' when 'file' then 'module structure overview' end), ''), 'retrieved from the repository index') as reason from t join g using (chunk) where rank <= 8 and not contains(g.file, 'test')),
+single as (select * from why qualify row_number() over (partition by query_id, file order by rank) = 1), best as (select *, row_number() over (partition by query_id order by rank) as cite from single qualify row_number() over (partition by query_id order by rank) <= 5),
+turns as (select * from (select *, row_number() over (partition by callee_file, callee order by caller_file, caller) as turn from edges) where turn <= 2),
+new as (select b.query_id, cite, turn, caller_file, caller, callee, callee_file, s.start_line as begins, s.end_line as ends from best b join turns e on e.callee_file = b.file and e.callee = b.symbol join symbols s on s.file = caller_file and s.name = caller
+  where not starts_with(b.symbol, 'test_') and not contains(caller_file, 'test') and not exists (select 1 from best x where x.query_id = b.query_id and x.file = caller_file)),
+fresh as (select * from new qualify row_number() over (partition by query_id, caller_file order by cite, turn) = 1),
+added as (select * from (select *, count(*) over (partition by query_id order by cite range between unbounded preceding and 1 preceding) as before_ from fresh) where before_ < 2),
+covering as (select a.query_id, b.file as path, test, row_number() over (partition by a.query_id order by test) as turn from asked a join best b on b.query_id = a.query_id and cite = 1 join tests on tests.path = b.file where {matches('question', A.TESTED)}),
+every as (
+  select * from called where ord <= 6 union all select * from imported where ord <= 6 union all select query_id, 1, cite, file, start_line, end_line, symbol, reason from best
+  union all select query_id, 2, cite * 10 + turn, caller_file, begins, least(ends, begins + 12), caller, concat('calls ', callee, ' (', callee_file, ') — part of the execution flow') from added
+  union all select query_id, 3, turn, test, 1, least(10, length(content) - length(replace(content, chr(10), '')) + 1), null, concat('test file covering ', covering.path) from covering join files on files.path = test where turn <= 2)
+select * from (select query_id, row_number() over (partition by query_id order by part, ord)::int as rank, file, start_line::int as start_line, end_line::int as end_line, symbol, reason from every) where rank <= 8"""
+)
+def o8_search_answers(spark, sf_dir):
+    """Citations that answer a question, from the graph and from retrieval."""
+    every, facts, symbols, _ = parsed(spark, sf_dir)
+    rows, scored = navigation.scored_chunks(spark, sf_dir, _ASK, "null", 8)
+    top = R.top_k(scored, "query_id", "chunk", "score", 8).withColumn("reason", C.reason(F.col("kind"), F.col("vec"), F.col("kw"))).drop("kind")
+    hits = top.join(rows.select("chunk", "file", "start_line", "end_line", "symbol"), "chunk")
+    asked = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.expr(_ASK).alias("question"))
+    calls, edges = written(code.call_edges(every, facts)), written(code.file_edges(every, facts))
+    return A.search_answers(asked, written(hits), every, symbols, calls, edges, N.tests_of(every, symbols, code.resolved_imports(every, facts)))
+
+
+@query(
+    f"""{REPO}, told as ({{}}), lang as (select string_agg(concat(value, ' (', n, ' files)'), ', ' order by rank) as x from told where aspect = 'language' and rank <= 5), fw as (select string_agg(value, ', ' order by rank) as x from told where aspect = 'framework'),
+dbs as (select string_agg(value, ', ' order by rank) as x from told where aspect = 'database'), tests_ as (select string_agg(path, ', ' order by path) as x from (select path from files where starts_with(path, 'tests/') order by path limit 4)),
+size_ as (select max(n) filter (value = 'files') as f, max(n) filter (value = 'lines') as l from told where aspect = 'size'), known as (select count(*) as n from symbols), ways as (select count(*) as n from lines where starts_with(text, '@router.')),
+t as (select unnest([concat('Languages: ', coalesce((select x from lang), 'n/a')), concat('Frameworks: ', coalesce((select x from fw), 'n/a')), concat('Database: ', coalesce((select x from dbs), 'n/a')), 'Main entry: (not detected)',
+  'Authentication: (not found) ()', 'API: (not found) ()', 'Business logic: (not found) ()', 'Data access: (not found) ()', 'Models: (not found) ()', concat('Tests: ', coalesce((select x from tests_), '(none found)')), '',
+  (select concat(f, ' files, ', format('{{:,}}', l), ' lines, ', known.n, ' symbols, ', ways.n, ' HTTP endpoints.') from size_, known, ways)]) as text, unnest(range(1, 13)) as line_no) select line_no::int as line_no, text from t""".replace("told as ({})", "told as (" + answers.SQL["k0_repository_summary"] + ")").replace("{:,}", "{:,}")
+)
+def o7_repository_report(spark, sf_dir):
+    """The twelve lines about a repository."""
+    every, _, symbols, routes = parsed(spark, sf_dir)
+    return A.repository_report(every, symbols, routes)
