@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,14 +163,14 @@ def links(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return 100 * common >= percent * (size[:, None] + size[None, :] - common)
 
 
-def _compare(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _compare(part: pa.Table, percent: int) -> pa.Table:
     """Spanning forest of the links inside one part, or between its two blocks (both are compared as one)."""
-    keys = batch["set_key"].to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in batch["shingles"]]
+    keys = part["set_key"].to_numpy()
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in part["shingles"]]
     a, b = np.nonzero(np.triu(links(sets, percent), 1))
     nodes, low = roots(keys[a], keys[b]) if len(a) else (keys[:0], keys[:0])
     off = nodes != low
-    return pd.DataFrame({"u": nodes[off], "v": low[off]})
+    return pa.table({"u": nodes[off], "v": low[off]})
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -217,7 +216,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = src.select(F.struct("id", "text_key").alias("of"), "text")
     sets = texts.join(placed.hint("shuffle_hash"), "of").dropDuplicates(["set_key"]).select("set_key", F.concat_ws(",", "parts").alias("part"), "text").mapInArrow(_sets, "set_key long, part string, shingles binary")
     dealt = sets.select("set_key", F.explode(F.split("part", ",")).alias("part"), "shingles")
-    found = dealt.groupBy("part").applyInPandas(lambda batch: _compare(batch, percent), "u long, v long")
+    found = dealt.groupBy("part").applyInArrow(lambda part: _compare(part, percent), "u long, v long")
 
     linked = components(found, "u", "v").withColumnsRenamed({"node": "set_key"})
     labelled = classes.select("set_key", "least_id").join(linked, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
