@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.operators import graph
+from lodestrand.operators.containment import containing
 from lodestrand.operators.rules import first_wins
 
 
@@ -36,7 +37,10 @@ def find_routes(routes: DataFrame, hints: DataFrame) -> DataFrame:
     strip = lambda c: F.regexp_replace(c, "/+$", "")
     asked = hints.select("hint_id", strip(F.trim("hint")).alias("hint"), F.upper("verb").alias("wanted"))
     paths, words = routes.select("path").distinct(), asked.select("hint").distinct()
-    met = words.join(paths, F.contains("path", "hint") | F.contains("hint", "path") | (strip(F.col("path")) == F.col("hint")))
+    inside = containing(words.select(F.col("hint").alias("needle")), paths.select(F.col("path").alias("hay"))).select(F.col("needle").alias("hint"), F.col("hay").alias("path"))
+    around = containing(paths.select(F.col("path").alias("needle")), words.select(F.col("hint").alias("hay"))).select(F.col("hay").alias("hint"), F.col("needle").alias("path"))
+    same = words.join(paths.withColumn("hint", strip(F.col("path"))), "hint")
+    met = inside.unionByName(around).unionByName(same.select("hint", "path")).distinct()
     met = met.withColumn("exact", (F.col("path") == F.col("hint")) | (strip(F.col("path")) == F.col("hint")))
     met = met.withColumn("any", F.max("exact").over(Window.partitionBy("hint"))).where("exact or not any")
     every = asked.join(met, "hint").join(routes.select("path", "file", F.col("kind").alias("verb"), F.col("name").alias("handler"), "start_line"), "path")

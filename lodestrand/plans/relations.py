@@ -146,7 +146,7 @@ def e9_assign_use_guard(spark, sf_dir):
 )
 def d11_latency_percentiles(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_type", "value", "event_id")
-    p95 = S.rank_percentile(events, "event_type", "value", "event_id", 0.95).withColumnRenamed("value", "p95")
+    p95 = S.rank_percentile(events, "event_type", "value", 0.95).withColumnRenamed("value", "p95")
     return events.groupBy("event_type").agg(F.median("value").alias("p50")).join(p95, "event_type").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
