@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import tokens
+from lodestrand.functions.text import bucket_crc32, tokens
 
 
 def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -99,3 +99,50 @@ def dense_top_k(items: DataFrame, queries: DataFrame, k: int, query_block: int =
 
     found = pairs.mapInArrow(run, "query_id long, doc_id long, score double").withColumn("score", F.round("score", 5))
     return top_k(found, "query_id", "doc_id", "score", k)
+
+
+#: Width of hashed vectors.
+WIDTH = 4096
+
+
+def bucket_weights(counts: DataFrame, total: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """((key, bucket, tf), (bucket, idf)): features hashed into ``WIDTH`` buckets; 1 + ln n of features that share one are added up."""
+    hashed = counts.withColumn("bucket", bucket_crc32(F.col("term"), WIDTH))
+    tf = hashed.groupBy(key, "bucket").agg(F.sum(1 + F.log(F.col("n").cast("double"))).alias("tf"))
+    df = tf.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    return tf, df.crossJoin(F.broadcast(total)).select("bucket", (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+
+
+def bucket_vectors(tf: DataFrame, weights: DataFrame, total: DataFrame, key: str) -> DataFrame:
+    """(key, norm, buckets, weights): unit vectors as packed sparse arrays; a bucket that no text has weighs as document frequency 0."""
+    none = F.log(F.col("n_docs") + 1.0) + 1.0
+    raw = tf.join(weights, "bucket", "left").crossJoin(F.broadcast(total)).select(key, "bucket", (F.col("tf") * F.coalesce("idf", none)).alias("raw"))
+    packed = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.array_sort(F.collect_list(F.struct("bucket", "raw"))).alias("x"))  # at most WIDTH entries
+    return packed.select(key, "norm", F.transform("x", lambda e: e["bucket"]).alias("buckets"), F.transform("x", lambda e: e["raw"] / F.col("norm")).alias("weights"))
+
+
+def bucket_top_k(items: DataFrame, queries: DataFrame, k: int, digits: int = 6, query_block: int = 256, item_block: int = 1024) -> DataFrame:
+    """(query_id, doc_id, score, rank): exact top-k of packed vectors; blocks of them are unpacked and multiplied, one pair of blocks at a time."""
+
+    def packed(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
+        return _blocked(rows.withColumn("v", F.struct("buckets", "weights")), key, "v", size, name)
+
+    pairs = packed(queries, "query_id", query_block, "q").crossJoin(packed(items, "doc_id", item_block, "i"))
+
+    def dense(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        ids, vectors = block.field("id").to_numpy(), block.field("v")
+        buckets, weights = vectors.field("buckets"), vectors.field("weights")
+        out = np.zeros((len(ids), WIDTH))
+        out[np.repeat(np.arange(len(ids)), buckets.value_lengths().to_numpy()), buckets.flatten().to_numpy()] = weights.flatten().to_numpy()
+        return ids, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(len(batch)):
+                (qi, q), (ii, i) = (dense(batch.column(c)[n].values) for c in (0, 1))
+                dots = np.round(q @ i.T, digits)
+                least = np.partition(dots, max(0, dots.shape[1] - k), axis=1)[:, max(0, dots.shape[1] - k)]
+                a, b = np.nonzero((dots >= least[:, None]) & (dots > 0))  # ties of the last one as well
+                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ii[b]), pa.array(dots[a, b])], names=["query_id", "doc_id", "score"])
+
+    return top_k(pairs.mapInArrow(run, "query_id long, doc_id long, score double"), "query_id", "doc_id", "score", k)

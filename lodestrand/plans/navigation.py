@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrand.functions.text import bucket_crc32, tokens
 from lodestrand.operators import chunks as C
 from lodestrand.operators import code
 from lodestrand.operators import navigate as N
@@ -216,3 +217,44 @@ def b4_symbol_search(spark, sf_dir):
     """The search confined to chunks of one kind."""
     _, scored = scored_chunks(spark, sf_dir, _QUESTION, "concat('/items/', doc_id % 40)", kinds=("symbol",))
     return R.top_k(scored, "query_id", "chunk", "score", 5).select("query_id", "chunk", "score", "rank")
+
+
+#: crc32 of a text ``term``, from a table of 256 values made by its rule.
+CRC = """bits(b, k, c) as (select b, 0, b::bigint from range(256) as t(b) union all select b, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from bits where k < 8),
+tab as (select list(c order by b) as tab from bits where k = 8)"""
+_HASHED = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(term, ''), lambda s: ascii(s)::bigint)), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])))"
+BUCKETED = f"""with recursive {CRC}, {BAG.format('d', 'doc_id', TOKENS.format('text'), 'documents')}, {BAG.format('a', 'item_id', TOKENS.format('text'), 'benchmark')},
+terms as (select term from db union select term from ab), hashed as (select term, ({_HASHED} % {R.WIDTH})::int as bucket from terms, tab),
+dt as (select doc_id, bucket, sum(1 + ln(n::double)) as tf from db join hashed using (term) group by all), at_ as (select item_id as query_id, bucket, sum(1 + ln(n::double)) as tf from ab join hashed using (term) group by all),
+nd as (select greatest(count(*), 1) as n_docs from documents), ib as (select bucket, ln((max(n_docs) + 1.0) / (count(*) + 1.0)) + 1.0 as idf from dt, nd group by bucket),
+dr as (select doc_id, bucket, tf * idf as raw from dt join ib using (bucket)), dn as (select doc_id, sqrt(sum(raw * raw)) as norm, count(*) as n_buckets from dr group by doc_id),
+ar as (select query_id, a.bucket, tf * coalesce(idf, ln(n_docs + 1.0) + 1.0) as raw from at_ a cross join nd left join ib on ib.bucket = a.bucket), an as (select query_id, sqrt(sum(raw * raw)) as norm from ar group by query_id)"""
+
+
+def _buckets(spark, sf_dir):
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    total = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"))
+    tf, weights = R.bucket_weights(written(C.features(docs, "doc_id", "text")), total, "doc_id")
+    tf, weights = written(tf), written(weights)
+    queries = R.bucket_weights(C.features(asked.withColumnRenamed("item_id", "query_id"), "query_id", "text"), total, "query_id")[0]
+    return R.bucket_vectors(tf, weights, total, "doc_id"), R.bucket_vectors(queries, weights, total, "query_id")
+
+
+@query(f"{BUCKETED} select doc_id, n_buckets, round(norm, 5) as norm from dn")
+def d5_bucket_vectors(spark, sf_dir):
+    """Documents as hashed vectors with colliding features added."""
+    return _buckets(spark, sf_dir)[0].select("doc_id", F.size("buckets").cast("long").alias("n_buckets"), F.round("norm", 5).alias("norm"))
+
+
+@query(f"{BUCKETED}, dots as (select query_id, doc_id, round(sum(a.raw / an.norm * (d.raw / dn.norm)), 6) as score from ar a join an using (query_id) join dr d using (bucket) join dn using (doc_id) group by all) select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from dots) where rank <= 10")
+def d5_bucket_top_k(spark, sf_dir):
+    """The nearest documents by hashed vectors."""
+    items, queries = _buckets(spark, sf_dir)
+    return R.bucket_top_k(items, queries, 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"with recursive {CRC}, w as (select unnest({TOKENS.format('text')}) as term from documents), h as (select term, count(*) as n from w group by term) select ({_HASHED} % {R.WIDTH})::int as bucket, sum(n)::bigint as n from h, tab group by all")
+def h3_bucket_counts(spark, sf_dir):
+    """H3: how many tokens each bucket gets."""
+    words = table(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("term"))
+    return words.groupBy(bucket_crc32(F.col("term"), R.WIDTH).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
