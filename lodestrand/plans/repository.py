@@ -46,11 +46,12 @@ def _content(clean: str) -> str:
 _KIND = "case when doc_id % 9 = 0 then 'test' when doc_id % 11 = 0 then 'js' when doc_id % 13 = 0 then 'md' when doc_id % 17 = 0 then 'ini' else 'py' end"
 _PATH = "case kind when 'py' then concat('app/pkg', doc_id % 20, '/mod_', doc_id, '.py') when 'test' then concat('tests/test_mod_', doc_id, '.py') when 'js' then concat('web/mod_', doc_id, '.js') when 'md' then concat('docs/note_', doc_id, '.md') else concat('conf/set_', doc_id, '.ini') end"
 _LANGUAGE = "case kind when 'py' then 'python' when 'test' then 'python' when 'js' then 'javascript' when 'md' then 'markdown' else 'ini' end"
-_PRINTABLE = "[^ -~\n]"
+#: Control characters and line ends of which Python, Java and SQL think differently; all else of a text stays as it is.
+CONTROL = "[\x01-\x09\x0b-\x1f\x7f\x85\u2028\u2029]"
 
 FILES = (
     f"kinds as (select doc_id, text, {_KIND} as kind from documents), files as (select doc_id, {_PATH} as path, {_LANGUAGE} as language, "
-    f"{_content(f"regexp_replace(text, '{_PRINTABLE}', '?', 'g')")} as content from kinds), "
+    f"{_content(f"regexp_replace(text, '{CONTROL}', '?', 'g')")} as content from kinds), "
     "lines as (select path as file, language, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from files)"
 )
 #: Functions of the derived modules: each ends above its "# end".
@@ -65,7 +66,7 @@ FOUND = "cast(line as int) as line, '{}' as category, '{}' as severity, {} as ti
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, language, content) of the derived repository."""
     kinds = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_KIND).alias("kind"))
-    return kinds.select(F.expr(_PATH).alias("path"), F.expr(_LANGUAGE).alias("language"), F.expr(_content(f"regexp_replace(text, '{_PRINTABLE}', '?')")).alias("content"))
+    return kinds.select(F.expr(_PATH).alias("path"), F.expr(_LANGUAGE).alias("language"), F.expr(_content(f"regexp_replace(text, '{CONTROL}', '?')")).alias("content"))
 
 
 def query(sql: str | None = None):

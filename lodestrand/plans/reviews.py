@@ -8,7 +8,7 @@ from lodestrand.operators import code, detect, diffs
 from lodestrand.operators import navigate as N
 from lodestrand.operators import review as V
 from lodestrand.operators.rules import SECRETS
-from lodestrand.plans.repository import FILES, SYMBOLS, matches, parsed, quoted
+from lodestrand.plans.repository import CONTROL, FILES, SYMBOLS, matches, parsed, quoted
 from lodestrand.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -31,7 +31,7 @@ _DIFF = [
     "case when doc_id % 3 = 0 then '+        session.query(row)' end", "case when doc_id % 3 = 1 then '+    conn.execute(other)' end", "case when doc_id % 6 = 0 then '+        cursor.execute(f\"SELECT {row}\")' end", "case when doc_id % 7 = 0 then '+    except Exception:' end",
     "case when doc_id % 8 = 3 then '+    if row == None: eval(row)  # TODO' end", "'     return None'",
 ]
-_WHOLE = "concat_ws(chr(10), " + ", ".join(_DIFF) + ", concat(' ', replace(regexp_replace(coalesce(text, ''), '[^ -~\n]', '?'<flags>), chr(10), concat(chr(10), ' '))))"
+_WHOLE = "concat_ws(chr(10), " + ", ".join(_DIFF) + ", concat(' ', replace(regexp_replace(coalesce(text, ''), '" + CONTROL + "', '?'<flags>), chr(10), concat(chr(10), ' '))))"
 ROWS = (
     f"diffs as (select doc_id as diff_id, {_WHOLE.replace('<flags>', ", 'g'")} as diff from documents), dl as (select diff_id, unnest(string_split(diff, chr(10))) as raw, generate_subscripts(string_split(diff, chr(10)), 1) - 1 as seq from diffs), "
     "dh as (select *, max(case when starts_with(raw, '+++ ') then substring(raw, 7) end) over (partition by diff_id) as path, max(case when starts_with(raw, '@@') then regexp_extract(raw, '[+]([0-9]+)', 1)::int end) over (partition by diff_id) as start from dl), "
