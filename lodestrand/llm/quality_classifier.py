@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words and the character n-grams (3 to 5 bytes, the white space beside a word
-included) inside them, hashed into a table of 2**BUCKET_BITS vectors; a word that repeats the one before it
+A text's features are its words and the character n-grams (3 to 5 characters, the white space beside a
+word included) inside them, hashed into a table of 2**BUCKET_BITS vectors; a word that repeats the one before it
 is a feature of its own.  The vectors of all features of a text
 are averaged, and a softmax layer turns the average into the odds of each label.  Vectors and layer are
 learned by stochastic gradient descent in numpy, a document a step, each step scaled to the document's
@@ -13,7 +13,8 @@ difference times a vector is all that scoring needs.  Scoring is one pass over a
 
 Defined results: a null or empty text, or one without features, scores by the bias alone; without labelled
 rows every score is 0.5; labels with null ids or labels are ignored, and of repeated ids the largest label
-counts; nulls elsewhere and repeated rows do no harm; an empty table gives an empty result.
+counts; nulls elsewhere and repeated rows do no harm; texts of any length are scored whole, one of more than a block
+by itself; columns other than the id, the text and the label aren't read, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrand.llm.blocks import BASE, CODES, SPACE, Block, blocks
+from lodestrand.llm.blocks import BASE, SPACE, Block, blocks, mix
 from lodestrand.llm.common import id_remainder, text_batches
 
 BUCKET_BITS = 18
@@ -38,18 +39,29 @@ SAMPLE = 4000
 DIMENSIONS, EPOCHS, RATE, SEED = 8, 6, 0.4, 20
 
 
+def characters(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block, and where each document's begin."""
+    first = (block.data & 0xC0) != 0x80
+    if first.all():
+        return block.data, block.offs
+    sums = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(first, out=sums[1:])
+    return np.frombuffer(block.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), sums[block.offs]
+
+
 def _features(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, documents, ascending) for words and for each n-gram size."""
     shift = np.uint64(64 - BUCKET_BITS)
     words = block.hashes(lower=False)
     again = np.flatnonzero((words[1:] == words[:-1]) & (block.doc_of_word[1:] == block.doc_of_word[:-1])) + 1
     out = [((words >> shift).astype(np.int32), block.doc_of_word), (np.full(len(again), AGAIN, np.int32), block.doc_of_word[again])]
-    n = len(block.data)
-    space = SPACE[block.data]
-    codes = CODES[np.where(space, 32, block.data)]
+    signs, offs = characters(block)
+    n = len(signs)
+    space = SPACE[np.minimum(signs, 255)]
+    codes = mix((np.where(space, 32, signs).astype(np.uint64) + np.uint64(1)) * BASE)
     inner = np.zeros(n + 1, np.int32)
     np.cumsum(space, out=inner[1:])
-    doc = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(block.offs))
+    doc = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(offs))
     h = codes.copy()
     for size in range(2, GRAMS[-1] + 1):
         m = n - size + 1
@@ -57,7 +69,7 @@ def _features(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
             break
         h = h[:m] * BASE + codes[size - 1 :]
         if size in GRAMS:
-            # only the first and the last byte may be white space, and all are of one document
+            # only the first and the last character may be white space, and all are of one document
             live = np.flatnonzero((inner[size - 1 : size - 1 + m] == inner[1 : m + 1]) & (doc[:m] == doc[size - 1 :]))
             g = h[live] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * size)
             out.append((((g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int32), doc[live]))
