@@ -38,7 +38,7 @@ from lodestrand.llm.common import text_batches
 #: Pieces that a task remembers; past that it forgets those met least.
 CACHE_PIECES = 400_000
 #: Bytes of text encoded at once, and ids decoded at once.
-BLOCK_BYTES, BLOCK_IDS = 1 << 21, 1 << 18
+BLOCK_BYTES, BLOCK_IDS = 1 << 20, 1 << 17
 #: A vocabulary file larger than this isn't sent to the workers.
 MOST_VOCABULARY_BYTES = 32 << 20
 #: Fixed value: the pattern whose cuts ``cut`` makes.
