@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import bucket_crc32, tokens
 from lodestrand.operators import chunks as C
 from lodestrand.operators import code
 from lodestrand.operators import navigate as N
@@ -253,8 +252,4 @@ def d5_bucket_top_k(spark, sf_dir):
     return R.bucket_top_k(items, queries, 10).select("query_id", "doc_id", "score", "rank")
 
 
-@query(f"with recursive {CRC}, w as (select unnest({TOKENS.format('text')}) as term from documents), h as (select term, count(*) as n from w group by term) select ({_HASHED} % {R.WIDTH})::int as bucket, sum(n)::bigint as n from h, tab group by all")
-def h3_bucket_counts(spark, sf_dir):
-    """H3: how many tokens each bucket gets."""
-    words = table(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("term"))
-    return words.groupBy(bucket_crc32(F.col("term"), R.WIDTH).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+SQL["h3_hash_buckets_crc32"] = f"with recursive {CRC}, w as (select unnest({TOKENS.format('text')}) as term from documents), h as (select term, count(*) as n from w group by term) select ({_HASHED} % {R.WIDTH})::int as bucket, sum(n)::bigint as n from h, tab group by all"
