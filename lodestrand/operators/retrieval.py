@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import bucket_crc32, tokens
+from lodestrand.operators.shared import written
 
 
 def term_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -146,3 +147,33 @@ def bucket_top_k(items: DataFrame, queries: DataFrame, k: int, digits: int = 6,
                 yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(ii[b]), pa.array(dots[a, b])], names=["query_id", "doc_id", "score"])
 
     return top_k(pairs.mapInArrow(run, "query_id long, doc_id long, score double"), "query_id", "doc_id", "score", k)
+
+
+#: A first bound of each question's k-th score comes from its terms that at most this share of the texts hold.
+RARE = 0.1
+
+
+def pruned_search(index: DataFrame, queries: DataFrame, n_docs: int, k: int, digits: int = 6) -> DataFrame:
+    """The rows of ``search``, without reading the postings of common terms whole: (query_id, doc_id, score, rank).
+
+    A term adds to no score more than its weight in the question times its largest weight in a text.  The texts that rare terms alone bring up, scored whole, give a question k scores that the
+    final ones can't be below.  Terms, smallest bounds first, whose bounds add up to less than the k-th of these can't bring a text among the best by
+    themselves: only texts that share another term are candidates, and of these only those that can still reach the bound meet the common terms, by
+    text and term.  index: (doc_id, term, w), written; queries: (query_id, term, w).
+    """
+    most = index.groupBy("term").agg(F.max("w").alias("most"), F.count(F.lit(1)).alias("df"))
+    asked = written(queries.withColumnRenamed("w", "qw").join(most, "term").select("query_id", "term", "qw", (F.col("qw") * F.col("most")).alias("bound"), "df"))
+    rare = asked.where(F.col("df") <= RARE * n_docs)
+    first = rare.join(index, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    likely = written(top_k(first, "query_id", "doc_id", "score", 3 * k).select("query_id", "doc_id"))
+    whole = likely.join(asked.select("query_id", "term", "qw"), "query_id").join(index, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+    kth = top_k(whole, "query_id", "doc_id", "score", k).where(F.col("rank") == k).select("query_id", (F.col("score") - 10.0**-digits).alias("least"))
+    below = F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = written(asked.join(kth, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-1.0))).withColumn("common", below < F.col("least")))
+    left = split.where("common").groupBy("query_id").agg(F.sum("bound").alias("rest"))
+    found = split.where("not common").join(index, "term").groupBy("query_id", "doc_id", "least").agg(F.sum(F.col("qw") * F.col("w")).alias("part"))
+    able = written(found.join(left, "query_id", "left").where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("least")).select("query_id", "doc_id", "part"))
+    more = able.select("query_id", "doc_id").join(split.where("common").select("query_id", "term", "qw"), "query_id").join(index, ["doc_id", "term"])
+    more = more.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("more"))
+    score = F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), digits)
+    return top_k(able.join(more, ["query_id", "doc_id"], "left").select("query_id", "doc_id", score.alias("score")), "query_id", "doc_id", "score", k)

@@ -138,6 +138,13 @@ def j7_tfidf_top_k(spark, sf_dir):
     return R.search(vectors, queries, 10)
 
 
+@query(f"with {DOC_TERMS}, {VECTORS}, {QUERY_TERMS}, {DENSE} select query_id, doc_id, score, rank from dense where rank <= 10")
+def j7_pruned_top_k(spark, sf_dir):
+    """The same rows, with common terms read only for texts that can still be among the best."""
+    _, _, vectors, _, queries = _index(spark, sf_dir)
+    return R.pruned_search(written(vectors), queries, table(spark, sf_dir, "documents").count(), 10)
+
+
 OVERLAP = """qs as (select query_id, count(*) as q from qc group by query_id),
 kw as (select qc.query_id, doc_id, count(*) / (sqrt(any_value(q)::double) + 1e-9) as kw from qc join dc on qc.term = dc.term join qs on qc.query_id = qs.query_id group by qc.query_id, doc_id)"""
 

@@ -62,3 +62,23 @@ def test_percentiles(spark, few):
             values = sorted(v for k, v in rows if k == key and v is not None)
             want[key] = values[round(share * (len(values) - 1))]
         assert {r.k: r.value for r in sequences.rank_percentile(data, "k", "v", share, few).collect()} == want
+
+
+def test_pruned_search_gives_the_same_rows_from_fewer_pairs(spark, monkeypatch):
+    from lodestrand.operators import retrieval as R
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    docs = spark.createDataFrame([(d, " ".join(rng.choices(words, weights, k=60))) for d in range(1500)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, weights, k=6) + rng.choices(words[150:], k=3))) for q in range(12)] + [(50, "w0 w1"), (51, "unknown")], "query_id long, text string")
+    counts, total = R.term_counts(docs, "doc_id", "text"), docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    idf = R.idf(counts, total)
+    index, queries = R.written(R.vectors(counts, idf, "doc_id")), R.written(R.query_vectors(R.term_counts(asked, "query_id", "text"), idf, total))
+    made, written = [], R.written
+    monkeypatch.setattr(R, "written", lambda df: made.append(written(df)) or made[-1])
+    for k in (1, 10):
+        want = {tuple(r) for r in R.search(index, queries, k).select("query_id", "doc_id", "score", "rank").collect()}
+        assert {tuple(r) for r in R.pruned_search(index, queries, 1500, k).select("query_id", "doc_id", "score", "rank").collect()} == want
+    pairs = queries.join(index, "term").select("query_id", "doc_id").distinct().count()
+    assert made[3].count() < pairs / 2  # candidates of k = 1
