@@ -6,7 +6,9 @@ sequences with the least room that is enough.  Sequences filled alike are one li
 split when only a part of it takes the next length.  Pieces of a length are then ranked, and each takes the slot that the plan has for its rank.
 
 Ranks are taken in hash ranges of rows and offset by the counts of the ranges before, so a length that a third of all pieces have isn't
-numbered in one task.  What is broadcast is the plan: a few lines for each length, whatever the number of texts.
+numbered in one task.  What is broadcast is the plan, a few lines for each length, and the counts of the ranges, one line for about RANGE_ROWS
+pieces.  A range's rows meet in one exchange and are ranked where they arrive, by numpy: Spark's sort and window took a page of tens of
+megabytes in each task, however few rows it had, and an executor's heap grew with the number of tasks.
 
 Defined results: names of special tokens inside a text are ordinary text; a null or empty text is one piece that holds the end only; repeated rows are packed one by one; a text longer than a
 sequence, however long, takes as many sequences as it fills and its first piece shares one; a null id is carried along; other columns aren't
@@ -21,13 +23,13 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.llm.blocks import mix
 from lodestrand.llm.byte_bpe import encoder
 from lodestrand.llm.common import small_batches, stored
 from lodestrand.llm.spaced import slices
@@ -38,6 +40,8 @@ END = 2
 RANGE_ROWS = 20_000
 #: Ranks within a length stay below 2**RANK_BITS.
 RANK_BITS = 46
+#: Rows of a batch of the result.
+PLACED_ROWS = 10_000
 
 
 def plan(counts: Mapping[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int]]:
@@ -105,20 +109,29 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     with small_batches(docs.sparkSession):
         cut = stored(pieces(docs, vocabulary, doc_id, text, size, end))
     counts = {length: n for length, n in cut.groupBy("length").count().collect()}  # a line for each length up to ``size``
-    lines = docs.sparkSession.sparkContext.broadcast(np.array(plan(counts, size), np.int64).reshape(-1, 6))
     ranges = [1 << (counts.get(k, 0) // range_rows).bit_length() for k in range(size + 1)]
-    order = F.xxhash64("row")
-    ranged = cut.withColumn("order", order).withColumn("range", F.pmod("order", F.element_at(F.lit(ranges), F.col("length") + 1)).cast("int"))
-    by_range = ranged.groupBy("length", "range").count()
-    before = by_range.selectExpr("length", "range", "coalesce(sum(count) over (partition by length order by range rows between unbounded preceding and 1 preceding), 0) as before")
-    inside = F.row_number().over(Window.partitionBy("length", "range").orderBy("order", "row"))
-    ranked = ranged.withColumn("inside", inside).join(before, ["length", "range"]).withColumn("rank", F.col("before") + F.col("inside") - 1)
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def slot(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        found, length, rank = lines.value, length.to_numpy(np.int64), rank.to_numpy(np.int64)
+    ranged = cut.withColumn("range", F.pmod(F.xxhash64("row"), F.element_at(F.lit(ranges), F.col("length") + 1)).cast("int"))
+    tally = np.array(sorted(map(tuple, ranged.groupBy("length", "range").count().collect())), np.int64).reshape(-1, 3)  # a line for each range
+    before = np.cumsum(tally[:, 2]) - tally[:, 2]
+    before -= before[np.searchsorted(tally[:, 0], tally[:, 0])]  # of the ranges of the same length
+    lines = docs.sparkSession.sparkContext.broadcast((np.array(plan(counts, size), np.int64).reshape(-1, 6), (tally[:, 0] << RANK_BITS) + tally[:, 1], before))
+    schema = T.StructType([cut.schema["doc_id"], *T._parse_datatype_string("piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)  # some numbers for each piece of whole ranges
+        if not rows:
+            return
+        rows = pa.Table.from_batches(rows)
+        found, ranges, before = lines.value
+        length, key = rows["length"].to_numpy().astype(np.int64), rows["range"].to_numpy().astype(np.int64)
+        key += length << RANK_BITS
+        order = np.lexsort((mix(rows["row"].to_numpy().astype(np.uint64)), key))
+        length, key = length[order], key[order]
+        rank = np.arange(len(key)) - np.searchsorted(key, key) + before[np.searchsorted(ranges, key)]
         at = found[np.searchsorted((found[:, 0] << RANK_BITS) + found[:, 1], (length << RANK_BITS) + rank, "right") - 1].T
         step = rank - at[1]
-        return pd.DataFrame({"sequence_id": at[3] + step // at[4], "offset": at[5] + step % at[4] * length})
+        kept = rows.select(["doc_id", "piece", "start", "ids_crc32"]).take(pa.array(order))
+        columns = [kept["doc_id"], kept["piece"], kept["start"], pa.array(length), kept["ids_crc32"], pa.array(at[3] + step // at[4]), pa.array(at[5] + step % at[4] * length)]
+        yield from pa.table(columns, names=schema.names).to_batches(max_chunksize=PLACED_ROWS)
 
-    return ranked.withColumn("slot", slot("length", "rank")).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "slot.sequence_id", "slot.offset")
+    return ranged.repartition("length", "range").mapInArrow(place, schema)

@@ -90,6 +90,12 @@ def test_packing(spark, docs):
     assert length_packing.pack(docs.limit(0), A_PATH).count() == 0
 
 
+def test_ranks_need_one_exchange_and_no_sort_of_spark(spark, docs):
+    # a sort or window takes a page of memory in each task, however few rows it has
+    plan = length_packing.pack(docs, A_PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan and "Window" not in plan
+
+
 def test_plan_is_best_fit_decreasing():
     rng = np.random.default_rng(3)
     for size in (10, 64, 1024):
