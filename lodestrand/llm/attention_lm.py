@@ -20,8 +20,9 @@ subwords and pairs of subwords cover all training texts, and so do gradient step
 without a gap, round r takes those with index = r modulo ROUNDS, so each id is learnt once as a target.
 
 The base score is a unigram one with add-one smoothing over words.  Counts of the most frequent words (at most
-MOST_SENT of them) go along with the scoring tasks; all other words of each text join the table of counts.  Of the pairs
-of subwords, the most frequent (at most MOST_PAIRS) are parameters of the model; others count through their class.
+MOST_SENT of them) go along with the scoring tasks; all other words of each text join the table of counts.  So do pairs
+of subwords: the most frequent (at most MOST_PAIRS) go along, each text's others are named and join the table of pairs, and
+what a pair's count adds to the text's score comes from there.  The bounds decide the way, not the result.
 
 Defined results: a null or empty text is its end alone; a null id counts as empty text for the fold; very long texts are
 cut into as many windows as they need; equal rows get equal scores (to 32-bit rounding); without training texts all counts are 0 and classes are
@@ -194,7 +195,9 @@ class Counted:
     skip: np.ndarray  # natural logarithms of the classes' shares after each row
     pairs: np.ndarray  # row * size + id of the most frequent pairs, ascending
     values: np.ndarray  # discounted share of each pair's id among those of its class after the row
-    left: np.ndarray  # what the pairs leave of each class after each row
+    left: np.ndarray  # what all pairs, sent or not, leave of each class after each row
+    follows: np.ndarray  # how often each class comes after each row
+    whole: bool = True  # whether ``pairs`` are all there are
 
     @classmethod
     def of_ids(cls, counts: np.ndarray, first: np.ndarray) -> Counted:
@@ -212,32 +215,70 @@ class Counted:
         total, members = np.bincount(of, counts, CLASSES), np.bincount(of, minlength=CLASSES)
         share = (counts + 0.1) / (total + 0.1 * members)[of]
         skip = np.log((total + 1) / (total.sum() + CLASSES)).astype(np.float32)
-        return cls(of, row.astype(np.int32), share, np.tile(skip, (INPUTS, 1)), np.empty(0, np.int64), np.empty(0, np.float32), np.ones((INPUTS, CLASSES), np.float32))
+        return cls(of, row.astype(np.int32), share, np.tile(skip, (INPUTS, 1)), np.empty(0, np.int64), np.empty(0, np.float32), np.ones((INPUTS, CLASSES), np.float32), np.zeros((INPUTS, CLASSES)))
 
-    def with_pairs(self, follows: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> Counted:
-        """follows: how often each class comes after each row; pairs, n: row * size + id and how often."""
+    def with_pairs(self, follows: np.ndarray, pairs: np.ndarray, n: np.ndarray, distinct: np.ndarray, whole: bool) -> Counted:
+        """follows, distinct: how often each class comes after each row, and with how many ids; pairs, n: row * size + id of those sent and how often."""
         even = np.exp(self.skip[0].astype(np.float64))
         skip = np.log((follows + PRIOR * even) / (follows.sum(1, keepdims=True) + PRIOR)).astype(np.float32)
         order = np.argsort(pairs)
-        pairs, n = pairs[order], n[order]
-        cell = pairs // len(self.of) * CLASSES + self.of[pairs % len(self.of)]
-        values = (n - DISCOUNT) / follows.ravel()[cell]
-        left = 1 - np.bincount(cell, values, INPUTS * CLASSES).reshape(INPUTS, CLASSES)
-        return Counted(self.of, self.row, self.share, skip, pairs, values.astype(np.float32), left.astype(np.float32))
-
-    def within(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Probability of each id in its class, after each row."""
+        left = np.where(follows > 0, DISCOUNT * distinct / np.maximum(follows, 1), 1)
+        made = Counted(self.of, self.row, self.share, skip, pairs[order], np.empty(0, np.float32), left.astype(np.float32), follows, whole)
+        made.values = made.value_of(pairs[order], n[order]).astype(np.float32)
+        return made
+
+    def value_of(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (n - DISCOUNT) / self.follows[pairs // len(self.of), self.of[pairs % len(self.of)]]
+
+    def gain(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What the count of a pair adds to the log10 probability that ``within`` has without it."""
+        row, ids = pairs // len(self.of), pairs % len(self.of)
+        return np.log10(1 + self.value_of(pairs, n) / (self.left[row, self.of[ids]] * self.share[ids]))
+
+    def within(self, rows: np.ndarray, ids: np.ndarray, spots: Spots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probability of each id in its class, after each row; places whose pair wasn't sent, with their pairs).  spots: of ``pairs``."""
         kind = self.of[ids]
         out = np.ones(len(ids))
         at = np.flatnonzero(kind >= HEAD)
         rows, ids, kind = rows[at], ids[at], kind[at]
         out[at] = self.left[rows, kind] * self.share[ids]
-        if len(self.pairs):
-            key = rows.astype(np.int64) * len(self.of) + ids
-            spot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            there = self.pairs[spot] == key
-            out[at[there]] += self.values[spot[there]]
-        return out
+        key = rows.astype(np.int64) * len(self.of) + ids
+        spot = spots.of(key)
+        there = spot >= 0
+        out[at[there]] += self.values[spot[there]]
+        return out, at[~there], key[~there]
+
+
+class Spots:
+    """Where keys stand in an ascending array of distinct ones: a table of slots, and a search for keys whose slot another has."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = np.uint64(63 - len(keys).bit_length())
+        self.table = np.full(2 << len(keys).bit_length(), -1, np.int32)
+        slots = self._slots(keys)
+        self.table[slots] = np.arange(len(keys), dtype=np.int32)
+        over = np.flatnonzero(self.table[slots] != np.arange(len(keys)))
+        self.over, self.over_keys = over, keys[over]
+        self.shared = np.zeros(len(self.table), bool)
+        self.shared[slots[over]] = True
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.bits).astype(np.int64)
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 where it isn't there."""
+        if not len(self.keys):
+            return np.full(len(asked), -1, np.int32)
+        slots = self._slots(asked)
+        spot = self.table[slots]
+        lost = np.flatnonzero(self.keys[spot] != asked)
+        spot[lost] = -1
+        if len(self.over) and len(also := lost[self.shared[slots[lost]]]):
+            at = np.minimum(np.searchsorted(self.over_keys, asked[also]), len(self.over) - 1)
+            hit = self.over_keys[at] == asked[also]
+            spot[also[hit]] = self.over[at[hit]]
+        return spot
 
 
 SHAPES = {"rows": (INPUTS, WIDTH), "places": (SPAN, WIDTH), "far": (SPAN,), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
@@ -472,13 +513,14 @@ def _learn(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.concatenate([[float(trainer.windows)], flat]))], names=["place", "value"])
 
 
-def log10_of(ids: np.ndarray, offs: np.ndarray, counted: Counted, w: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 probability of each text of a block, given its ids."""
+def log10_of(ids: np.ndarray, offs: np.ndarray, counted: Counted, w: dict[str, np.ndarray], spots: Spots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 probability of each text of a block, given its ids and the pairs sent; text and pair of each place whose pair wasn't sent)."""
     place, _, new, text, index = cut_windows(offs, STRIDE)
     rows, targets = counted.row[ids], counted.of[ids]
     before = rows[np.maximum(np.arange(len(ids)) - 1, 0)]
     before[offs[:-1]] = 0
-    total = np.add.reduceat(np.log10(counted.within(before, ids)), offs[:-1])
+    inside, lost, pairs = counted.within(before, ids, spots)
+    total = np.add.reduceat(np.log10(inside), offs[:-1])
     for since in (0, SPAN - STRIDE):  # first windows of texts, and others
         which = np.flatnonzero((index == 0) == (since == 0))
         for i in range(0, len(which), 2 * BATCH):
@@ -488,41 +530,53 @@ def log10_of(ids: np.ndarray, offs: np.ndarray, counted: Counted, w: dict[str, n
             low = text[at[0]]
             found = np.bincount(text[at] - low, logp.sum(1, dtype=np.float64))
             total[low : low + len(found)] += found / np.log(10)
-    return total
+    return total, np.searchsorted(offs, lost, "right") - 1, pairs
+
+
+def _listed_by_text(of: np.ndarray, keys: np.ndarray, n: int) -> list[pa.ListArray]:
+    """Distinct keys of each of n texts, and how often each occurs."""
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    head = np.ones(len(keys), bool)
+    head[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+    at = np.flatnonzero(head)
+    times = np.diff(np.append(at, len(keys))).astype(np.int32)
+    bounds = np.searchsorted(of[at], np.arange(n + 1)).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (keys[at].view(np.int64), times)]
 
 
 def _score(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndarray, sent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """id, held_out, text, ids -> id, held_out, n_tokens, score, known and base of words sent, other words and how often."""
+    """id, held_out, text, ids -> id, held_out, n_tokens, score, known and base of words sent, other words and pairs and how often."""
     w = unpack(weights)
     keys, counts = sent
     logs = np.log10(counts + 1.0)
+    sent_words, sent_pairs = Spots(keys), Spots(counted.pairs)
     for batch in batches:
         for block in blocks(batch.column(2), BLOCK):
             n = len(block)
             part = next(blocks(batch.column(3).slice(block.first, n), 1 << 60))
-            total = log10_of(np.frombuffer(part.data.tobytes(), "<u4"), part.offs // 4, counted, w)
+            total, text, pairs = log10_of(np.frombuffer(part.data.tobytes(), "<u4"), part.offs // 4, counted, w, sent_pairs)
+            if counted.whole:  # no text has pairs that are counted elsewhere
+                text, pairs = text[:0], pairs[:0]
             words, doc = block.hashes(), block.doc_of_word
             # words: those whose counts were sent are added up here, the others are named
-            spot = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-            there = keys[spot] == words if len(keys) else np.zeros(len(words), bool)
+            spot = sent_words.of(words)
+            there = spot >= 0
             known = np.bincount(doc[there], minlength=n)
-            base = np.bincount(doc[there], logs[spot[there]], n) if len(keys) else np.zeros(n)
-            rare, of = words[~there], doc[~there]
-            order = np.lexsort((rare, of))
-            rare, of = rare[order], of[order]
-            head = np.ones(len(rare), bool)
-            head[1:] = (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])
-            at = np.flatnonzero(head)
-            times = np.diff(np.append(at, len(rare))).astype(np.int32)
-            bounds = np.searchsorted(of[at], np.arange(n + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (rare[at].view(np.int64), times)]
+            base = np.bincount(doc[there], logs[spot[there]], n)
             same = [batch.column(i).slice(block.first, n) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [*same, pa.array(block.n_words.astype(np.int64) + 1), pa.array(total), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), *lists],
-                names=["id", "held_out", "n_tokens", "score", "known", "base", "rare", "times"],
+                [*same, pa.array(block.n_words.astype(np.int64) + 1), pa.array(total), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), *_listed_by_text(doc[~there], words[~there], n), *_listed_by_text(text, pairs, n)],
+                names=["id", "held_out", "n_tokens", "score", "known", "base", "rare", "times", "pairs", "pair_times"],
             )
 
 
+def _gains(batches: Iterator[pa.RecordBatch], counted: Counted) -> Iterator[pa.RecordBatch]:
+    """pair, n -> pair, what its count adds to a score."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counted.gain(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["key", "gain"])
+
+
 def _frequent(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``n`` is at least a power of two, such that ``most`` are at most; the others)."""
     level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
@@ -535,8 +589,8 @@ def _frequent(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return counts.where(level >= least), counts.where(level < least)
 
 
-def count(counts: DataFrame, cutter: Subwords) -> Counted:
-    """Classes, rows and pairs from the counts of pairs (kind 1) over all training texts."""
+def count(counts: DataFrame, cutter: Subwords) -> tuple[Counted, DataFrame]:
+    """Classes, rows and pairs from the counts of pairs (kind 1) over all training texts; (pair, n) of those that aren't sent along."""
     wide, most = cutter.size + 1, cutter.size
     pairs = counts.where("kind = 1").select(F.expr(f"key div {wide}").alias("before"), (F.col("key") % wide).alias("id"), "n")
     n = np.zeros(cutter.size)
@@ -553,11 +607,15 @@ def count(counts: DataFrame, cutter: Subwords) -> Counted:
 
     cells = pairs.mapInArrow(mapped, "pair long, cell long, n long")
     by_pair = stored(cells.groupBy("pair", "cell").agg(F.sum("n").alias("n")))
-    follows = np.zeros(INPUTS * CLASSES)
-    for row in by_pair.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # INPUTS x CLASSES lines at most
-        follows[row.cell] = row.n
-    top = _frequent(by_pair.select("pair", "n"), MOST_PAIRS)[0].toArrow()  # MOST_PAIRS lines at most
-    return made.with_pairs(follows.reshape(INPUTS, CLASSES), top.column("pair").to_numpy(), top.column("n").to_numpy().astype(np.float64))
+    follows, distinct = np.zeros(INPUTS * CLASSES), np.zeros(INPUTS * CLASSES)
+    for row in by_pair.groupBy("cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids")).toLocalIterator():  # INPUTS x CLASSES lines at most
+        follows[row.cell], distinct[row.cell] = row.n, row.ids
+    asked = by_pair.where(F.col("cell") % CLASSES >= HEAD).select("pair", "n")  # a class of its own has one id
+    frequent, others = _frequent(asked, MOST_PAIRS)
+    top = frequent.toArrow()  # MOST_PAIRS lines at most
+    whole = top.num_rows == distinct.reshape(INPUTS, CLASSES)[:, HEAD:].sum()
+    shape = (INPUTS, CLASSES)
+    return made.with_pairs(follows.reshape(shape), top.column("pair").to_numpy(), top.column("n").to_numpy().astype(np.float64), distinct.reshape(shape), bool(whole)), others
 
 
 def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -575,7 +633,8 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     counts = stored(cut.where("kind is not null").select("kind", "keys", "counts").mapInArrow(_listed, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counts.where("kind = 0")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    counted = spark.sparkContext.broadcast(count(counts, _subwords(data)))
+    made, other_pairs = count(counts, _subwords(data))
+    counted = spark.sparkContext.broadcast(made)
 
     weights = pack(fresh())
     for turn in range(ROUNDS):
@@ -593,15 +652,18 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     sent = spark.sparkContext.broadcast((keys[order], n[order]))
     model = spark.sparkContext.broadcast(weights)
 
-    fields = "held_out boolean, n_tokens long, score double, known long, base double, rare array<long>, times array<int>"
+    fields = "held_out boolean, n_tokens long, score double, known long, base double, rare array<long>, times array<int>, pairs array<long>, pair_times array<int>"
     scored = texts.select("id", "held_out", "text", "ids").mapInArrow(lambda b: _score(b, counted.value, model.value, sent.value), f"id {dict(src.dtypes)['id']}, {fields}")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
-    other = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    met = other.join(others, "key")
-    more = met.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_base"))
+    named = lambda keys, times: scored.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
+    met = named("rare", "times").join(others, "key").select("row", "times", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("base"), F.lit(0.0).alias("gain"))
+    if not made.whole:
+        gains = other_pairs.mapInArrow(lambda b: _gains(b, counted.value), "key long, gain double")
+        met = met.union(named("pairs", "pair_times").join(gains, "key").select("row", F.lit(0), F.lit(0.0), F.col("times") * F.col("gain")))
+    more = met.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum("base").alias("more_base"), F.sum("gain").alias("more_score"))
     end = words.where(F.col("key") == int(_END_WORD.view(np.int64))).select("n").first()
     end_n = end.n if end else 0
     out = scored.join(more, "row", "left")
     known = F.col("known") + F.coalesce("more_known", F.lit(0)) + int(end_n > 0)
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) + float(np.log10(end_n + 1.0)) - F.col("n_tokens") * float(np.log10(sums.n + sums.v + 1.0))
-    return out.select(F.col("id").alias(doc_id), "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(sums.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(F.col("id").alias(doc_id), "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(sums.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

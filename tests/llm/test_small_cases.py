@@ -414,6 +414,28 @@ def test_scores_equal_plain_ones(spark, monkeypatch):
     assert np.allclose([got[i] for i in range(len(texts))], want, atol=0.02)
 
 
+def test_pairs_that_are_not_sent_count_as_those_sent(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = ["the", "quick", "brown", "fox", "jumps", "Überraschung", "xylophone", "ab", "c", "internationalisation", *(f"w{i}" for i in range(300))]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60))) for i in range(30)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(attention_lm, "ROUNDS", 0)
+    scores = []
+    for most in (attention_lm.MOST_PAIRS, 20, 0):
+        monkeypatch.setattr(attention_lm, "MOST_PAIRS", most)
+        scores.append([r.score for r in attention_lm.score(docs, VOCABULARY).orderBy("doc_id").collect()])
+    assert np.allclose(scores[0], scores[1], atol=1e-4) and np.allclose(scores[0], scores[2], atol=1e-4)
+
+
+def test_spots():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 3000):
+        keys = np.unique(rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64))
+        spots = attention_lm.Spots(keys)
+        assert spots.of(keys).tolist() == list(range(len(keys))) and (spots.of(np.setdiff1d(rng.integers(0, 1 << 40, 500), keys)) < 0).all()
+
+
 def test_each_id_is_learnt_once(monkeypatch):
     words = [f"w{i}" for i in range(700)]
     cutter = attention_lm.Subwords.read(open(VOCABULARY, "rb").read())
