@@ -32,6 +32,7 @@ even; an empty table gives an empty result; other columns aren't read.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -107,7 +108,7 @@ class Subwords:
         """(ids of all texts one after another, each closed by an end; where each text's begin; distinct words' hashes; which of them each word is)."""
         starts, ends = block.words
         sums, (_, inv) = block.sums(True), _powers(len(block.data) + 1)
-        words, where, back = np.unique(block.hashes(), return_index=True, return_inverse=True)
+        words, where, back = np.unique(block.spans(starts, ends, True, sums), return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
             self.forget()
         spot = np.minimum(np.searchsorted(self.known, words), max(0, len(self.known) - 1))
@@ -310,74 +311,137 @@ _CAUSAL = np.tril(np.ones((SPAN, SPAN), bool))
 _FAR = np.where(_CAUSAL, np.arange(SPAN)[:, None] - np.arange(SPAN), 0)  # distance of what is looked at
 
 
-def forward(w: dict[str, np.ndarray], skip: np.ndarray, rows: np.ndarray, classes: np.ndarray, since: int = 0) -> tuple[np.ndarray, tuple]:
-    """(natural logarithms of the odds of the classes named, windows x places from ``since`` on; what ``backward`` needs)."""
-    n = len(rows)
-    x = w["rows"][rows]
-    x += w["places"]
-    x = x.reshape(-1, WIDTH)
-    q, k, v = ((x @ m).reshape(n, SPAN, WIDTH) for m in (w["q"] * np.asarray(WIDTH**-0.5, x.dtype), w["k"], w["v"]))
+class Room:
+    """Arrays that are filled again by each batch: fresh memory for them costs more than what is computed in it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or self.held[name].size < n:
+            self.held[name] = np.empty(n, dtype)
+        return self.held[name][:n].reshape(shape)
+
+
+def forward(w: dict[str, np.ndarray], skip: np.ndarray, rows: np.ndarray, classes: np.ndarray, since: int = 0, room: Room | None = None) -> tuple[np.ndarray, tuple]:
+    """(natural logarithms of the odds of the classes named, windows x places from ``since`` on; what ``backward`` needs, until ``room`` is used again)."""
+    n, kind = len(rows), w["rows"].dtype
+    space = room or Room()
+    new = lambda name, *shape: space(name, shape, kind)
+    flat, cube = (n * SPAN, WIDTH), (n, SPAN, WIDTH)
+    x = np.take(w["rows"], rows.ravel(), axis=0, out=new("x", *flat), mode="clip")
+    whole = x.reshape(cube)
+    whole += w["places"]
+    k, v = (np.matmul(x, w[m], out=new(m, *flat)).reshape(cube) for m in "kv")
     if since:  # what stands before is looked at, but nothing is asked of it
-        q, x = q[:, since:], np.ascontiguousarray(x.reshape(n, SPAN, WIDTH)[:, since:]).reshape(-1, WIDTH)
+        x = new("asked", n, SPAN - since, WIDTH)
+        x[:] = whole[:, since:]
+        x = x.reshape(-1, WIDTH)
         rows, classes = rows[:, since:], classes[:, since:]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a += np.where(_CAUSAL, w["far"][_FAR], np.asarray(-1e9, x.dtype))[since:]
+    q = np.matmul(x, w["q"] * np.asarray(WIDTH**-0.5, kind), out=new("q", *x.shape)).reshape(n, -1, WIDTH)
+    turned = new("turned", n, WIDTH, SPAN)
+    turned[:] = k.transpose(0, 2, 1)
+    a = np.matmul(q, turned, out=new("a", n, SPAN - since, SPAN))
+    a += np.where(_CAUSAL, w["far"][_FAR], np.asarray(-1e9, kind))[since:]
     if a.max(initial=0) > 60:
         np.minimum(a, 60, out=a)
     np.exp(a, out=a)
-    sums = a.reshape(-1, SPAN) @ np.ones(SPAN, x.dtype)
-    mixed = np.matmul(a, v).reshape(-1, WIDTH)
+    sums = a.reshape(-1, SPAN) @ np.ones(SPAN, kind)
+    mixed = np.matmul(a, v, out=new("mixed", n, SPAN - since, WIDTH)).reshape(-1, WIDTH)
     mixed /= sums[:, None]
-    h = mixed @ w["o"]
+    h = np.matmul(mixed, w["o"], out=new("h", *x.shape))
     h += x
-    p = h @ w["out"]
-    p += np.take(skip, rows.ravel(), axis=0)
+    p = np.matmul(h, w["out"], out=new("p", len(h), CLASSES))
+    p += np.take(skip, rows.ravel(), axis=0, out=space("skip", p.shape, skip.dtype), mode="clip")
     if p.max(initial=0) > 60:
         np.minimum(p, 60, out=p)
-    place, named = np.arange(len(p)), classes.ravel()
-    picked = p[place, named]
+    picked = p.ravel()[np.arange(0, p.size, CLASSES) + classes.ravel()]
     np.exp(p, out=p)
-    total = p @ np.ones(CLASSES, x.dtype)
+    total = p @ np.ones(CLASSES, kind)
     return (picked - np.log(total)).reshape(n, -1), (x, q, k, v, a, sums, mixed, h, p, total)
 
 
-def backward(w: dict[str, np.ndarray], rows: np.ndarray, state: tuple, classes: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
+def backward(w: dict[str, np.ndarray], rows: np.ndarray, state: tuple, classes: np.ndarray, valid: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
     """Gradients of the mean cross-entropy of valid places; uses up ``state``."""
     x, q, k, v, a, sums, mixed, h, p, total = state
-    n = len(rows)
-    flat, cube = (-1, WIDTH), (n, SPAN, WIDTH)
-    weight = valid.ravel() / np.asarray(max(1, valid.sum()), x.dtype)
+    n, kind = len(rows), x.dtype
+    space = room or Room()
+    new = lambda name, *shape: space(name, shape, kind)
+    flat, cube = (n * SPAN, WIDTH), (n, SPAN, WIDTH)
+    weight = (valid.ravel() / max(1, valid.sum())).astype(kind)
     d = p
     d *= (weight / total)[:, None]
-    d[np.arange(len(d)), classes.ravel()] -= weight
+    d.ravel()[np.arange(0, d.size, CLASSES) + classes.ravel()] -= weight
     g = {"out": h.T @ d}
-    dh = d @ w["out"].T
+    dh = np.matmul(d, w["out"].T, out=new("dh", *flat))
     g["o"] = mixed.T @ dh
-    dm = dh @ w["o"].T
-    dot = (dm * mixed) @ np.ones(WIDTH, x.dtype)  # what softmax takes off each place
+    dm = np.matmul(dh, w["o"].T, out=new("dm", *flat))
+    dot = np.multiply(dm, mixed, out=new("part", *flat)) @ np.ones(WIDTH, kind)  # what softmax takes off each place
     dm /= sums[:, None]
     dot /= sums
-    ds = np.matmul(dm.reshape(cube), v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dm.reshape(cube)).reshape(flat)
+    turned = new("turned", n, WIDTH, SPAN)
+    turned[:] = v.transpose(0, 2, 1)
+    ds = np.matmul(dm.reshape(cube), turned, out=new("ds", n, SPAN, SPAN))
+    dv = np.matmul(a.transpose(0, 2, 1), dm.reshape(cube), out=new("dv", *cube)).reshape(flat)
     ds -= dot.reshape(n, SPAN, 1)
     ds *= a
-    g["far"] = np.bincount(_FAR.ravel(), (np.ones(n, x.dtype) @ ds.reshape(n, -1)), SPAN).astype(x.dtype)
-    dq, dk = np.matmul(ds, k).reshape(flat) * np.asarray(WIDTH**-0.5, x.dtype), np.matmul(ds.transpose(0, 2, 1), q).reshape(flat)
-    for name, t in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = x.T @ t
+    g["far"] = np.bincount(_FAR.ravel(), (np.ones(n, kind) @ ds.reshape(n, -1)), SPAN).astype(kind)
+    dq = np.matmul(ds, k, out=new("dq", *cube)).reshape(flat)
+    dq *= np.asarray(WIDTH**-0.5, kind)
+    dk = np.matmul(ds.transpose(0, 2, 1), q, out=new("dk", *cube)).reshape(flat)
     # q already holds its scale, so does the gradient of k
     dx = dh
-    dx += dq @ w["q"].T
-    dx += dk @ w["k"].T
-    dx += dv @ w["v"].T
+    for name, t in (("q", dq), ("k", dk), ("v", dv)):
+        g[name] = x.T @ t
+        dx += np.matmul(t, w[name].T, out=new("part", *flat))
     g["places"] = dx.reshape(cube).sum(0)
-    order = np.argsort(rows, axis=None, kind="stable")
-    ranked = rows.ravel()[order]
-    at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    g["rows"] = (ranked[at], np.add.reduceat(dx[order], at))
+    met = np.zeros(INPUTS, bool)
+    met[rows] = True
+    at = np.flatnonzero(met)
+    which = np.empty(INPUTS, np.int64)
+    which[at] = np.arange(0, len(at) * WIDTH, WIDTH)
+    cells = np.add(which[rows.ravel()][:, None], np.arange(WIDTH), out=space("cells", flat, np.int64))
+    g["rows"] = (at, np.bincount(cells.ravel(), dx.ravel(), len(at) * WIDTH).reshape(-1, WIDTH).astype(kind))
     return g
 
 
+class Odds:
+    """What ``forward`` gives, without what only ``backward`` needs: products of weights that follow each other are taken once."""
+
+    def __init__(self, w: dict[str, np.ndarray], skip: np.ndarray):
+        self.w, self.skip, self.room = w, skip, Room()
+        self.near = (w["q"] @ w["k"].T) * np.asarray(WIDTH**-0.5, w["q"].dtype)
+        self.out = np.concatenate([w["v"] @ w["o"] @ w["out"], w["out"]])
+        self.bias = np.where(_CAUSAL, w["far"][_FAR], np.asarray(-1e9, w["far"].dtype))
+
+    def of(self, rows: np.ndarray, classes: np.ndarray, since: int = 0) -> np.ndarray:
+        n, kind = len(rows), self.out.dtype
+        new = lambda name, *shape: self.room(name, shape, kind)
+        x = np.take(self.w["rows"], rows.ravel(), axis=0, out=new("x", n * SPAN, WIDTH), mode="clip").reshape(n, SPAN, WIDTH)
+        x += self.w["places"]
+        both = new("both", n * (SPAN - since), 2 * WIDTH)  # what attention gathers, and the place's own vector
+        own = both[:, WIDTH:]
+        own.reshape(n, SPAN - since, WIDTH, copy=False)[:] = x[:, since:]
+        turned = new("turned", n, WIDTH, SPAN)
+        turned[:] = x.transpose(0, 2, 1)
+        q = np.matmul(own, self.near, out=new("q", len(own), WIDTH)).reshape(n, -1, WIDTH)
+        a = np.matmul(q, turned, out=new("a", n, SPAN - since, SPAN))
+        a += self.bias[since:]
+        if a.max(initial=0) > 60:
+            np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        sums = a.reshape(-1, SPAN) @ np.ones(SPAN, kind)
+        np.divide(np.matmul(a, x, out=new("mixed", n, SPAN - since, WIDTH)).reshape(-1, WIDTH), sums[:, None], out=both[:, :WIDTH])
+        p = np.matmul(both, self.out, out=new("p", len(both), CLASSES))
+        p += np.take(self.skip, rows[:, since:].ravel(), axis=0, out=self.room("skip", p.shape, self.skip.dtype), mode="clip")
+        if p.max(initial=0) > 60:
+            np.minimum(p, 60, out=p)
+        picked = p.ravel()[np.arange(0, p.size, CLASSES) + classes[:, since:].ravel()]
+        np.exp(p, out=p)
+        return (picked - np.log(p @ np.ones(CLASSES, kind))).reshape(n, -1)
+
+
 def cut_windows(offs: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
     """(index of each place's target among all ids, clipped; which places exist; which are scored; text of each window; index in the text)."""
     n = np.diff(offs)
@@ -406,20 +470,30 @@ class Trainer:
         self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.s = {k: np.zeros_like(v) for k, v in self.w.items()}
         self.t = self.windows = 0
+        self.room = Room()
 
     def step(self, rows: np.ndarray, classes: np.ndarray, valid: np.ndarray) -> None:
-        g = backward(self.w, rows, forward(self.w, self.skip, rows, classes)[1], classes, valid)
+        g = backward(self.w, rows, forward(self.w, self.skip, rows, classes, room=self.room)[1], classes, valid, self.room)
         self.t += 1
         self.windows += len(rows)
         rate = RATE * min(1, self.t / 20)
         slow, fast = 1 - 0.9**self.t, 1 - 0.99**self.t
         for k, d in g.items():
-            at, d = d if k == "rows" else (slice(None), d)
-            m, s = self.m[k][at], self.s[k][at]
-            m += 0.1 * (d - m)
-            s += 0.01 * (d * d - s)
-            self.m[k][at], self.s[k][at] = m, s
-            self.w[k][at] -= rate * (m / slow) / (np.sqrt(s / fast) + 1e-6)
+            at, d = d if k == "rows" else (None, d)
+            w, m, s = (x[k] if at is None else np.take(x[k], at, axis=0, out=self.room(f"met{i}", d.shape, d.dtype), mode="clip") for i, x in enumerate((self.w, self.m, self.s)))
+            m += np.float32(0.1) * (d - m)
+            d *= d
+            d -= s
+            d *= np.float32(0.01)
+            s += d
+            np.divide(s, np.float32(fast), out=d)
+            np.sqrt(d, out=d)
+            d += np.float32(1e-6)
+            np.divide(m, d, out=d)
+            d *= np.float32(rate / slow)
+            w -= d
+            if at is not None:
+                self.w[k][at], self.m[k][at], self.s[k][at] = w, m, s
 
 
 def training_windows(offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -513,7 +587,7 @@ def _learn(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.concatenate([[float(trainer.windows)], flat]))], names=["place", "value"])
 
 
-def log10_of(ids: np.ndarray, offs: np.ndarray, counted: Counted, w: dict[str, np.ndarray], spots: Spots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log10_of(ids: np.ndarray, offs: np.ndarray, counted: Counted, odds: Odds, spots: Spots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log10 probability of each text of a block, given its ids and the pairs sent; text and pair of each place whose pair wasn't sent)."""
     place, _, new, text, index = cut_windows(offs, STRIDE)
     rows, targets = counted.row[ids], counted.of[ids]
@@ -525,7 +599,7 @@ def log10_of(ids: np.ndarray, offs: np.ndarray, counted: Counted, w: dict[str, n
         which = np.flatnonzero((index == 0) == (since == 0))
         for i in range(0, len(which), 2 * BATCH):
             at = which[i : i + 2 * BATCH]
-            logp, _ = forward(w, counted.skip, inputs(rows, place[at], index[at] == 0), targets[place[at]], since)
+            logp = odds.of(inputs(rows, place[at], index[at] == 0), targets[place[at]], since)
             logp[~new[at][:, since:]] = 0
             low = text[at[0]]
             found = np.bincount(text[at] - low, logp.sum(1, dtype=np.float64))
@@ -547,7 +621,7 @@ def _listed_by_text(of: np.ndarray, keys: np.ndarray, n: int) -> list[pa.ListArr
 
 def _score(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndarray, sent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """id, held_out, text, ids -> id, held_out, n_tokens, score, known and base of words sent, other words and pairs and how often."""
-    w = unpack(weights)
+    odds = Odds(unpack(weights), counted.skip)
     keys, counts = sent
     logs = np.log10(counts + 1.0)
     sent_words, sent_pairs = Spots(keys), Spots(counted.pairs)
@@ -555,7 +629,7 @@ def _score(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndar
         for block in blocks(batch.column(2), BLOCK):
             n = len(block)
             part = next(blocks(batch.column(3).slice(block.first, n), 1 << 60))
-            total, text, pairs = log10_of(np.frombuffer(part.data.tobytes(), "<u4"), part.offs // 4, counted, w, sent_pairs)
+            total, text, pairs = log10_of(np.frombuffer(part.data.tobytes(), "<u4"), part.offs // 4, counted, odds, sent_pairs)
             if counted.whole:  # no text has pairs that are counted elsewhere
                 text, pairs = text[:0], pairs[:0]
             words, doc = block.hashes(), block.doc_of_word

@@ -136,9 +136,9 @@ class Block:
         np.cumsum(x, out=out[1:])
         return out
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-        sums, (_, inv) = self.sums(lower), _powers(len(self.data) + 1)
+    def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, sums: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hashes of byte spans, equal for equal bytes wherever they stand.  sums: ``self.sums(lower)`` where that is known."""
+        sums, (_, inv) = self.sums(lower) if sums is None else sums, _powers(len(self.data) + 1)
         first = (sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64)
         sums, (_, inv) = self.prime_sums(lower), _prime_powers(len(self.data) + 1)
         return mix(mix(first) + _modulo(_modulo(sums[ends] - sums[starts]) * inv[starts]))

@@ -453,6 +453,15 @@ def test_each_id_is_learnt_once(monkeypatch):
     assert learnt == Counter(built.of[ids].tolist()) and before == Counter([0, *built.row[ids[:-1]].tolist()])
 
 
+def test_odds_in_scoring_are_those_of_training():
+    rng = np.random.default_rng(6)
+    w, skip = {k: (x + rng.normal(0, 0.2, x.shape)).astype(np.float32) for k, x in attention_lm.fresh().items()}, skip_table()
+    odds = attention_lm.Odds(w, skip)
+    for n, since in ((5, 0), (70, 8), (3, 8)):  # arrays are filled again
+        rows, classes = rng.integers(0, attention_lm.INPUTS, (n, attention_lm.SPAN)), rng.integers(0, attention_lm.CLASSES, (n, attention_lm.SPAN))
+        assert np.allclose(odds.of(rows, classes, since), attention_lm.forward(w, skip, rows, classes, since)[0], atol=1e-4)
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     w, skip = {k: x.astype(np.float64) for k, x in attention_lm.fresh().items()}, skip_table().astype(np.float64)
