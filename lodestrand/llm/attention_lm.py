@@ -39,6 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,8 @@ CLASSES = HEAD + REST
 INPUTS, WIDTH = 4096, 16
 SPAN, STRIDE = 32, 24
 ROUNDS, RATE, BATCH = 2, 0.004, 48
+#: Windows scored at once.
+SCORED = 96
 #: Longest vocabulary entry used, in bytes.
 LONGEST = 16
 #: Most words whose counts are sent along with tasks (16 bytes each), and most pairs (12 bytes each).
@@ -62,7 +65,7 @@ DISCOUNT, PRIOR = 0.75, 4.0
 BLOCK, MEMORY = 1 << 21, 600_000
 SEED = 7
 _END_WORD = np.uint64(0x5BD1E9955BD1E995)
-_SLOT_BITS = 20
+_SLOT_BITS, _KNOWN_BITS = 20, 21
 
 
 class Subwords:
@@ -102,18 +105,45 @@ class Subwords:
         return cls({base64.b64decode(t): int(r) for t, r in map(bytes.split, data.splitlines()) if t})
 
     def forget(self) -> None:
-        self.known, self.known_begin, self.known_count, self.known_ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.known, self.known_begin, self.known_count, self.known_ids = Pile(np.uint64), Pile(np.int64), Pile(np.int64), Pile(np.int32)
+        self.known_at = np.full(1 << _KNOWN_BITS, -1, np.int32)
+        self.over, self.over_at = np.empty(0, np.uint64), np.empty(0, np.int32)  # words whose slot another has
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Number of each word among those met before; negative: not met."""
+        spot = self.known_at[(words >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64)]
+        if self.known.n:
+            lost = np.flatnonzero(self.known.all[spot] != words)
+            spot[lost] = -1
+            if len(self.over):
+                at = np.minimum(np.searchsorted(self.over, words[lost]), len(self.over) - 1)
+                spot[lost] = np.where(self.over[at] == words[lost], self.over_at[at], -1)
+        return spot
+
+    def learn(self, words: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Remember how words that weren't met before are cut."""
+        number = np.arange(self.known.n, self.known.n + len(words), dtype=np.int32)
+        slots = (words >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64)
+        free = np.flatnonzero(self.known_at[slots] < 0)
+        self.known_at[slots[free]] = number[free]
+        over = np.flatnonzero(self.known_at[slots] != number)
+        order = np.argsort(both := np.concatenate([self.over, words[over]]), kind="stable")
+        self.over, self.over_at = both[order], np.concatenate([self.over_at, number[over]])[order]
+        for pile, more in ((self.known, words), (self.known_begin, begin + self.known_ids.n), (self.known_count, count), (self.known_ids, ids)):
+            pile.add(more)
 
     def cut(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, each closed by an end; where each text's begin; distinct words' hashes; which of them each word is)."""
+        """(ids of all texts one after another, each closed by an end; where each text's begin; hashes of words met; which of them each word is)."""
         starts, ends = block.words
         sums, (_, inv) = block.sums(True), _powers(len(block.data) + 1)
-        words, where, back = np.unique(block.spans(starts, ends, True, sums), return_index=True, return_inverse=True)
-        if len(self.known) > MEMORY:
+        words = block.spans(starts, ends, True, sums)
+        if self.known.n > MEMORY:
             self.forget()
-        spot = np.minimum(np.searchsorted(self.known, words), max(0, len(self.known) - 1))
-        new = self.known[spot] != words if len(self.known) else np.ones(len(words), bool)
-        where = where[new]
+        number = self.find(words)
+        lost = np.flatnonzero(number < 0)
+        new, where, back = np.unique(words[lost], return_index=True, return_inverse=True)
+        number[lost] = self.known.n + back
+        where = lost[where]
         # cut each distinct word that wasn't met before, one more subword in each turn
         n = len(where)
         at, stop, live = starts[where].copy(), ends[where], np.arange(n)
@@ -153,23 +183,35 @@ class Subwords:
         order = np.argsort(owner, kind="stable")
         flat = flat[order]
         count = np.bincount(owner, minlength=n)
-        begin = np.cumsum(count) - count + len(self.known_ids)
-        self.known_ids = np.concatenate([self.known_ids, flat])
-        order = np.argsort(np.concatenate([self.known, words[new]]), kind="stable")
-        self.known, self.known_begin, self.known_count = (np.concatenate(x)[order] for x in ((self.known, words[new]), (self.known_begin, begin), (self.known_count, count)))
-        spot = np.searchsorted(self.known, words)
-        flat, begin, count = self.known_ids, self.known_begin[spot], self.known_count[spot]
+        self.learn(new, np.cumsum(count) - count, count, flat)
         # lay the words of the texts out again, with an end after each text
-        sizes = count[back]
-        per_text = np.zeros(len(block) + 1, np.int64)
+        sizes = self.known_count.all[number]
         sums_ = np.concatenate([[0], np.cumsum(sizes)])
+        per_text = np.zeros(len(block) + 1, np.int64)
         per_text[1:] = sums_[block.word_offs[1:]] + np.arange(1, len(block) + 1)
-        out = np.full(per_text[-1], self.end, np.int32)
-        shift = sums_[:-1] + block.doc_of_word  # where each word's subwords begin
-        total = int(sizes.sum())
-        inside = np.arange(total) - np.repeat(sums_[:-1], sizes)
-        out[np.repeat(shift, sizes) + inside] = flat[np.repeat(begin[back], sizes) + inside]
-        return out, per_text, words, back
+        out, inside = np.full(per_text[-1], self.end, np.int32), np.ones(per_text[-1], bool)
+        inside[per_text[1:] - 1] = False
+        at = np.repeat(self.known_begin.all[number] - sums_[:-1], sizes)
+        at += np.arange(len(at))
+        out[inside] = self.known_ids.all[at]
+        return out, per_text, self.known.all, number
+
+
+class Pile:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.held, self.n = np.empty(1 << 10, dtype), 0
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            self.held = np.concatenate([self.all, np.empty(self.n + 2 * len(more), self.held.dtype)])
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -302,13 +344,13 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = flat[at : at + n].reshape(s).astype(np.float32)
+        out[k] = flat[at : at + n].reshape(s).astype(np.float32, copy=False)
         at += n
     return out
 
 
-_CAUSAL = np.tril(np.ones((SPAN, SPAN), bool))
-_FAR = np.where(_CAUSAL, np.arange(SPAN)[:, None] - np.arange(SPAN), 0)  # distance of what is looked at
+_FAR = np.where(np.tril(np.ones((SPAN, SPAN), bool)), np.arange(SPAN)[:, None] - np.arange(SPAN), SPAN)  # distance of what is looked at; SPAN: stands after
+_CELLS = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)
 
 
 class Room:
@@ -324,151 +366,144 @@ class Room:
         return self.held[name][:n].reshape(shape)
 
 
-def forward(w: dict[str, np.ndarray], skip: np.ndarray, rows: np.ndarray, classes: np.ndarray, since: int = 0, room: Room | None = None) -> tuple[np.ndarray, tuple]:
+def folded(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights that follow each other, multiplied once for all places: q with k, v with o; and the bias of each pair of places."""
+    kind = w["rows"].dtype
+    return (w["q"] @ w["k"].T) * np.asarray(WIDTH**-0.5, kind), w["v"] @ w["o"], np.append(w["far"], np.asarray(-1e9, kind))[_FAR]
+
+
+def by_few(x: np.ndarray, windows: int) -> np.ndarray:
+    """Places in groups of four windows or fewer: products of small matrices need no packing, which takes longer than they do."""
+    return x.reshape(windows // (few := math.gcd(windows, 4)), few * len(x) // max(1, windows), x.shape[1])
+
+
+def forward(
+    w: dict[str, np.ndarray], skip: np.ndarray, rows: np.ndarray, classes: np.ndarray, since: int = 0, room: Room | None = None, fold: tuple[np.ndarray, ...] | None = None
+) -> tuple[np.ndarray, tuple]:
     """(natural logarithms of the odds of the classes named, windows x places from ``since`` on; what ``backward`` needs, until ``room`` is used again)."""
-    n, kind = len(rows), w["rows"].dtype
+    n, kind, asked = len(rows), w["rows"].dtype, SPAN - since
     space = room or Room()
     new = lambda name, *shape: space(name, shape, kind)
-    flat, cube = (n * SPAN, WIDTH), (n, SPAN, WIDTH)
-    x = np.take(w["rows"], rows.ravel(), axis=0, out=new("x", *flat), mode="clip")
-    whole = x.reshape(cube)
-    whole += w["places"]
-    k, v = (np.matmul(x, w[m], out=new(m, *flat)).reshape(cube) for m in "kv")
+    near, gather, bias = fold or folded(w)
+    cube = np.take(w["rows"], rows.ravel(), axis=0, out=new("x", n * SPAN, WIDTH), mode="clip").reshape(n, SPAN, WIDTH)
+    cube += w["places"]
+    turned = new("turned", n, WIDTH, SPAN)
+    turned[:] = cube.transpose(0, 2, 1)
+    x = cube.reshape(-1, WIDTH)
     if since:  # what stands before is looked at, but nothing is asked of it
-        x = new("asked", n, SPAN - since, WIDTH)
-        x[:] = whole[:, since:]
-        x = x.reshape(-1, WIDTH)
+        x = new("asked", n * asked, WIDTH)
+        x.reshape(n, asked, WIDTH)[:] = cube[:, since:]
         rows, classes = rows[:, since:], classes[:, since:]
-    q = np.matmul(x, w["q"] * np.asarray(WIDTH**-0.5, kind), out=new("q", *x.shape)).reshape(n, -1, WIDTH)
-    turned = new("turned", n, WIDTH, SPAN)
-    turned[:] = k.transpose(0, 2, 1)
-    a = np.matmul(q, turned, out=new("a", n, SPAN - since, SPAN))
-    a += np.where(_CAUSAL, w["far"][_FAR], np.asarray(-1e9, kind))[since:]
+    y = np.matmul(x, near, out=new("y", *x.shape)).reshape(n, asked, WIDTH)
+    a = np.matmul(y, turned, out=new("a", n, asked, SPAN))
+    a += bias[since:]
     if a.max(initial=0) > 60:
         np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     sums = a.reshape(-1, SPAN) @ np.ones(SPAN, kind)
-    mixed = np.matmul(a, v, out=new("mixed", n, SPAN - since, WIDTH)).reshape(-1, WIDTH)
+    mixed = np.matmul(a, cube, out=new("mixed", n, asked, WIDTH)).reshape(-1, WIDTH)
     mixed /= sums[:, None]
-    h = np.matmul(mixed, w["o"], out=new("h", *x.shape))
+    h = np.matmul(mixed, gather, out=new("h", *x.shape))
     h += x
-    p = np.matmul(h, w["out"], out=new("p", len(h), CLASSES))
+    p = new("p", len(h), CLASSES)
+    np.matmul(by_few(h, n), w["out"], out=by_few(p, n))
     p += np.take(skip, rows.ravel(), axis=0, out=space("skip", p.shape, skip.dtype), mode="clip")
     if p.max(initial=0) > 60:
         np.minimum(p, 60, out=p)
-    picked = p.ravel()[np.arange(0, p.size, CLASSES) + classes.ravel()]
+    at = np.arange(0, p.size, CLASSES) + classes.ravel()
+    picked = p.ravel()[at]
     np.exp(p, out=p)
     total = p @ np.ones(CLASSES, kind)
-    return (picked - np.log(total)).reshape(n, -1), (x, q, k, v, a, sums, mixed, h, p, total)
+    return (picked - np.log(total)).reshape(n, -1), (near, gather, cube, turned, y, a, sums, mixed, h, p, total, at)
 
 
 def backward(w: dict[str, np.ndarray], rows: np.ndarray, state: tuple, classes: np.ndarray, valid: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
     """Gradients of the mean cross-entropy of valid places; uses up ``state``."""
-    x, q, k, v, a, sums, mixed, h, p, total = state
-    n, kind = len(rows), x.dtype
+    near, gather, cube, turned, y, a, sums, mixed, h, p, total, picked = state
+    n, kind, x = len(rows), cube.dtype, cube.reshape(-1, WIDTH)
     space = room or Room()
     new = lambda name, *shape: space(name, shape, kind)
-    flat, cube = (n * SPAN, WIDTH), (n, SPAN, WIDTH)
-    weight = (valid.ravel() / max(1, valid.sum())).astype(kind)
+    every = np.ones(n, kind)
+    weight = valid.ravel() * np.asarray(1 / max(1, valid.sum()), kind)
     d = p
     d *= (weight / total)[:, None]
-    d.ravel()[np.arange(0, d.size, CLASSES) + classes.ravel()] -= weight
-    g = {"out": h.T @ d}
-    dh = np.matmul(d, w["out"].T, out=new("dh", *flat))
-    g["o"] = mixed.T @ dh
-    dm = np.matmul(dh, w["o"].T, out=new("dm", *flat))
-    dot = np.multiply(dm, mixed, out=new("part", *flat)) @ np.ones(WIDTH, kind)  # what softmax takes off each place
+    d.ravel()[picked] -= weight
+    d3 = d.reshape(n, SPAN, CLASSES)
+    g = {"out": (every @ np.matmul(h.reshape(n, SPAN, WIDTH).transpose(0, 2, 1), d3, out=new("douts", n, WIDTH, CLASSES)).reshape(n, -1)).reshape(WIDTH, CLASSES)}
+    dx = np.matmul(d3, np.ascontiguousarray(w["out"].T), out=new("dx", *cube.shape)).reshape(-1, WIDTH)
+    dgather = mixed.T @ dx
+    g["v"], g["o"] = dgather @ w["o"].T, w["v"].T @ dgather
+    dm = np.matmul(dx, np.ascontiguousarray(gather.T), out=new("dm", *x.shape))
     dm /= sums[:, None]
-    dot /= sums
-    turned = new("turned", n, WIDTH, SPAN)
-    turned[:] = v.transpose(0, 2, 1)
-    ds = np.matmul(dm.reshape(cube), turned, out=new("ds", n, SPAN, SPAN))
-    dv = np.matmul(a.transpose(0, 2, 1), dm.reshape(cube), out=new("dv", *cube)).reshape(flat)
+    dot = np.multiply(dm, mixed, out=new("part", *x.shape)) @ np.ones(WIDTH, kind)  # what softmax takes off each place
+    dm = dm.reshape(cube.shape)
+    ds = np.matmul(dm, turned, out=new("ds", n, SPAN, SPAN))
     ds -= dot.reshape(n, SPAN, 1)
     ds *= a
-    g["far"] = np.bincount(_FAR.ravel(), (np.ones(n, kind) @ ds.reshape(n, -1)), SPAN).astype(kind)
-    dq = np.matmul(ds, k, out=new("dq", *cube)).reshape(flat)
-    dq *= np.asarray(WIDTH**-0.5, kind)
-    dk = np.matmul(ds.transpose(0, 2, 1), q, out=new("dk", *cube)).reshape(flat)
-    # q already holds its scale, so does the gradient of k
-    dx = dh
-    for name, t in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = x.T @ t
-        dx += np.matmul(t, w[name].T, out=new("part", *flat))
-    g["places"] = dx.reshape(cube).sum(0)
+    g["far"] = np.bincount(_FAR.ravel(), every @ ds.reshape(n, -1))[:SPAN].astype(kind)
+    dy = np.matmul(ds, cube, out=new("dy", *cube.shape)).reshape(-1, WIDTH)
+    dnear = x.T @ dy
+    dnear *= np.asarray(WIDTH**-0.5, kind)
+    g["q"], g["k"] = dnear @ w["k"], dnear.T @ w["q"]
+    dx += np.matmul(dy, np.ascontiguousarray(near.T), out=new("part", *x.shape))
+    seen = dx.reshape(cube.shape)
+    seen += np.matmul(ds.transpose(0, 2, 1), y, out=new("part", *cube.shape))
+    seen += np.matmul(a.transpose(0, 2, 1), dm, out=new("part", *cube.shape))
+    g["places"] = (every @ dx.reshape(n, -1)).reshape(SPAN, WIDTH)
     met = np.zeros(INPUTS, bool)
-    met[rows] = True
+    met[rows.ravel()] = True
     at = np.flatnonzero(met)
     which = np.empty(INPUTS, np.int64)
-    which[at] = np.arange(0, len(at) * WIDTH, WIDTH)
-    cells = np.add(which[rows.ravel()][:, None], np.arange(WIDTH), out=space("cells", flat, np.int64))
+    which[at] = np.arange(len(at))
+    cells = np.take(_CELLS, np.take(which, rows.ravel()), axis=0, out=space("cells", x.shape, _CELLS.dtype), mode="clip")
     g["rows"] = (at, np.bincount(cells.ravel(), dx.ravel(), len(at) * WIDTH).reshape(-1, WIDTH).astype(kind))
     return g
 
 
 class Odds:
-    """What ``forward`` gives, without what only ``backward`` needs: products of weights that follow each other are taken once."""
+    """What ``forward`` gives, by weights that don't change."""
 
     def __init__(self, w: dict[str, np.ndarray], skip: np.ndarray):
-        self.w, self.skip, self.room = w, skip, Room()
-        self.near = (w["q"] @ w["k"].T) * np.asarray(WIDTH**-0.5, w["q"].dtype)
-        self.out = np.concatenate([w["v"] @ w["o"] @ w["out"], w["out"]])
-        self.bias = np.where(_CAUSAL, w["far"][_FAR], np.asarray(-1e9, w["far"].dtype))
+        self.w, self.skip, self.fold, self.room = w, skip, folded(w), Room()
 
     def of(self, rows: np.ndarray, classes: np.ndarray, since: int = 0) -> np.ndarray:
-        n, kind = len(rows), self.out.dtype
-        new = lambda name, *shape: self.room(name, shape, kind)
-        x = np.take(self.w["rows"], rows.ravel(), axis=0, out=new("x", n * SPAN, WIDTH), mode="clip").reshape(n, SPAN, WIDTH)
-        x += self.w["places"]
-        both = new("both", n * (SPAN - since), 2 * WIDTH)  # what attention gathers, and the place's own vector
-        own = both[:, WIDTH:]
-        own.reshape(n, SPAN - since, WIDTH, copy=False)[:] = x[:, since:]
-        turned = new("turned", n, WIDTH, SPAN)
-        turned[:] = x.transpose(0, 2, 1)
-        q = np.matmul(own, self.near, out=new("q", len(own), WIDTH)).reshape(n, -1, WIDTH)
-        a = np.matmul(q, turned, out=new("a", n, SPAN - since, SPAN))
-        a += self.bias[since:]
-        if a.max(initial=0) > 60:
-            np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        sums = a.reshape(-1, SPAN) @ np.ones(SPAN, kind)
-        np.divide(np.matmul(a, x, out=new("mixed", n, SPAN - since, WIDTH)).reshape(-1, WIDTH), sums[:, None], out=both[:, :WIDTH])
-        p = np.matmul(both, self.out, out=new("p", len(both), CLASSES))
-        p += np.take(self.skip, rows[:, since:].ravel(), axis=0, out=self.room("skip", p.shape, self.skip.dtype), mode="clip")
-        if p.max(initial=0) > 60:
-            np.minimum(p, 60, out=p)
-        picked = p.ravel()[np.arange(0, p.size, CLASSES) + classes[:, since:].ravel()]
-        np.exp(p, out=p)
-        return (picked - np.log(p @ np.ones(CLASSES, kind))).reshape(n, -1)
+        return forward(self.w, self.skip, rows, classes, since, self.room, self.fold)[0]
 
 
-def cut_windows(offs: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
-    """(index of each place's target among all ids, clipped; which places exist; which are scored; text of each window; index in the text)."""
+def window_starts(offs: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
+    """(where each window begins among all ids; how many ids its text has from there on; its text; index in the text)."""
     n = np.diff(offs)
     many = 1 + np.maximum(0, -(-(n - SPAN) // stride))
     text = np.repeat(np.arange(len(n)), many)
     index = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     start = offs[text] + index * stride
-    place = start[:, None] + np.arange(SPAN)
-    real = place < offs[text + 1][:, None]
+    return start, offs[text + 1] - start, text, index
+
+
+def cut_windows(offs: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
+    """``window_starts`` place by place: (index of each place's target among all ids, clipped; which places exist; which are scored; text of each window; index in the text)."""
+    start, left, text, index = window_starts(offs, stride)
+    real = np.arange(SPAN) < left[:, None]
     new = real & ((index == 0)[:, None] | (np.arange(SPAN) >= SPAN - stride))
-    return np.minimum(place, offs[-1] - 1), real, new, text, index
+    return np.minimum(start[:, None] + np.arange(SPAN), offs[-1] - 1), real, new, text, index
 
 
-def inputs(rows: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Row of the id before each place; 0 at the beginning of a text."""
-    before = rows[np.maximum(place - 1, 0)]
-    before[first, 0] = 0
-    return before
+def inputs(ids: np.ndarray, offs: np.ndarray, counted: Counted) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the id before each id, 0 at the beginning of a text; class of each id), followed by SPAN places that no text has."""
+    before, of = np.zeros((2, len(ids) + SPAN), np.int64)
+    before[1 : len(ids)] = counted.row[ids[:-1]]
+    before[offs[:-1]] = 0
+    of[: len(ids)] = counted.of[ids]
+    return before, of
 
 
 class Trainer:
     """Adam over batches of windows; of the input vectors, a step moves those that it met."""
 
     def __init__(self, weights: np.ndarray, skip: np.ndarray):
-        self.w, self.skip = unpack(weights), skip
-        self.m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        self.s = {k: np.zeros_like(v) for k, v in self.w.items()}
+        self.skip = skip
+        self.flat = [np.array(weights, np.float32), *np.zeros((2, len(weights)), np.float32)]  # weights, and means of gradients and of their squares
+        self.w = unpack(self.flat[0])
         self.t = self.windows = 0
         self.room = Room()
 
@@ -476,29 +511,35 @@ class Trainer:
         g = backward(self.w, rows, forward(self.w, self.skip, rows, classes, room=self.room)[1], classes, valid, self.room)
         self.t += 1
         self.windows += len(rows)
+        at, d = g.pop("rows")
+        d = np.concatenate([d.ravel(), *(g[k].ravel() for k in SHAPES if k in g)])
+        n, rest = len(at) * WIDTH, INPUTS * WIDTH
+        met = [self.room(f"met{i}", d.shape, d.dtype) for i in range(len(self.flat))]
+        for x, y in zip(self.flat, met, strict=True):
+            np.take(x[:rest].reshape(INPUTS, WIDTH), at, axis=0, out=y[:n].reshape(-1, WIDTH), mode="clip")
+            y[n:] = x[rest:]
+        self.move(*met, d)
+        for x, y in zip(self.flat, met, strict=True):
+            x[:rest].reshape(INPUTS, WIDTH)[at] = y[:n].reshape(-1, WIDTH)
+            x[rest:] = y[n:]
+
+    def move(self, w: np.ndarray, m: np.ndarray, s: np.ndarray, d: np.ndarray) -> None:
+        """One step by gradients, which are used up."""
         rate = RATE * min(1, self.t / 20)
         slow, fast = 1 - 0.9**self.t, 1 - 0.99**self.t
-        for k, d in g.items():
-            at, d = d if k == "rows" else (None, d)
-            w, m, s = (x[k] if at is None else np.take(x[k], at, axis=0, out=self.room(f"met{i}", d.shape, d.dtype), mode="clip") for i, x in enumerate((self.w, self.m, self.s)))
-            m += np.float32(0.1) * (d - m)
-            d *= d
-            d -= s
-            d *= np.float32(0.01)
-            s += d
-            np.divide(s, np.float32(fast), out=d)
-            np.sqrt(d, out=d)
-            d += np.float32(1e-6)
-            np.divide(m, d, out=d)
-            d *= np.float32(rate / slow)
-            w -= d
-            if at is not None:
-                self.w[k][at], self.m[k][at], self.s[k][at] = w, m, s
-
-
-def training_windows(offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows that follow each other without a gap; as ``cut_windows``."""
-    return cut_windows(offs, SPAN)
+        part = np.subtract(d, m, out=self.room("part", d.shape, d.dtype))
+        part *= np.float32(0.1)
+        m += part
+        d *= d
+        d -= s
+        d *= np.float32(0.01)
+        s += d
+        np.divide(s, np.float32(fast), out=d)
+        np.sqrt(d, out=d)
+        d += np.float32(1e-6)
+        np.divide(m, d, out=d)
+        d *= np.float32(rate / slow)
+        w -= d
 
 
 CUT = "held_out boolean, text string, ids binary, kind int, keys binary, counts binary"
@@ -575,13 +616,13 @@ def _learn(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndar
     for batch in batches:
         for block in blocks(batch.column(0), 4 * BLOCK):
             ids, offs = np.frombuffer(block.data.tobytes(), "<u4"), block.offs // 4
-            place, real, _, _, index = training_windows(offs)
+            start, left, _, index = window_starts(offs, SPAN)
             mine = np.flatnonzero(index % ROUNDS == turn)
             mine = np.random.default_rng(SEED).permutation(mine)
-            rows, targets = counted.row[ids], counted.of[ids]
+            before, targets = (sliding_window_view(x, SPAN) for x in inputs(ids, offs, counted))
             for i in range(0, len(mine), BATCH):
                 at = mine[i : i + BATCH]
-                trainer.step(inputs(rows, place[at], index[at] == 0), targets[place[at]], real[at])
+                trainer.step(before[start[at]], targets[start[at]], np.arange(SPAN) < left[at][:, None])
     if trainer.windows:
         flat = pack(trainer.w).astype(np.float64) * trainer.windows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.concatenate([[float(trainer.windows)], flat]))], names=["place", "value"])
@@ -589,21 +630,22 @@ def _learn(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndar
 
 def log10_of(ids: np.ndarray, offs: np.ndarray, counted: Counted, odds: Odds, spots: Spots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log10 probability of each text of a block, given its ids and the pairs sent; text and pair of each place whose pair wasn't sent)."""
-    place, _, new, text, index = cut_windows(offs, STRIDE)
-    rows, targets = counted.row[ids], counted.of[ids]
-    before = rows[np.maximum(np.arange(len(ids)) - 1, 0)]
-    before[offs[:-1]] = 0
-    inside, lost, pairs = counted.within(before, ids, spots)
+    start, left, text, index = window_starts(offs, STRIDE)
+    before, targets = inputs(ids, offs, counted)
+    inside, lost, pairs = counted.within(before[: len(ids)], ids, spots)
+    if counted.whole:  # no text has pairs that are counted elsewhere
+        lost, pairs = lost[:0], pairs[:0]
     total = np.add.reduceat(np.log10(inside), offs[:-1])
+    before, targets = sliding_window_view(before, SPAN), sliding_window_view(targets, SPAN)
+    by_window = np.zeros(len(start))
     for since in (0, SPAN - STRIDE):  # first windows of texts, and others
         which = np.flatnonzero((index == 0) == (since == 0))
-        for i in range(0, len(which), 2 * BATCH):
-            at = which[i : i + 2 * BATCH]
-            logp = odds.of(inputs(rows, place[at], index[at] == 0), targets[place[at]], since)
-            logp[~new[at][:, since:]] = 0
-            low = text[at[0]]
-            found = np.bincount(text[at] - low, logp.sum(1, dtype=np.float64))
-            total[low : low + len(found)] += found / np.log(10)
+        for i in range(0, len(which), SCORED):
+            at = which[i : i + SCORED]
+            logp = odds.of(before[start[at]], targets[start[at]], since)
+            logp[np.arange(since, SPAN) >= left[at][:, None]] = 0
+            by_window[at] = logp.sum(1, dtype=np.float64)
+    total += np.bincount(text, by_window, len(offs) - 1) / np.log(10)
     return total, np.searchsorted(offs, lost, "right") - 1, pairs
 
 
@@ -630,8 +672,6 @@ def _score(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndar
             n = len(block)
             part = next(blocks(batch.column(3).slice(block.first, n), 1 << 60))
             total, text, pairs = log10_of(np.frombuffer(part.data.tobytes(), "<u4"), part.offs // 4, counted, odds, sent_pairs)
-            if counted.whole:  # no text has pairs that are counted elsewhere
-                text, pairs = text[:0], pairs[:0]
             words, doc = block.hashes(), block.doc_of_word
             # words: those whose counts were sent are added up here, the others are named
             spot = sent_words.of(words)

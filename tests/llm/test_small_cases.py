@@ -453,6 +453,48 @@ def test_each_id_is_learnt_once(monkeypatch):
     assert learnt == Counter(built.of[ids].tolist()) and before == Counter([0, *built.row[ids[:-1]].tolist()])
 
 
+def test_words_met_before_are_neither_sorted_nor_cut_again(monkeypatch):
+    cutter = attention_lm.Subwords.read(open(VOCABULARY, "rb").read())
+    one = next(blocks(pa.array([" ".join(f"W{i} der{i} über" for i in range(4000)), None, " fox  x"])))
+    first = cutter.cut(one)
+    sorted_, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **more: sorted_.append(len(x)) or unique(x, **more))
+    again = cutter.cut(one)
+    assert sum(sorted_) == 0 and all((x == y).all() for x, y in zip(first[:2], again[:2], strict=True))
+    assert (first[2][first[3]] == again[2][again[3]]).all() and (first[2][first[3]] == one.hashes()).all()
+
+
+def test_words_whose_slots_others_have_are_cut_as_alone(monkeypatch):
+    data, texts = open(VOCABULARY, "rb").read(), [" ".join(f"w{i} x{i * i} foxes" for i in range(j, j + 300)) for j in range(0, 900, 150)]
+    alone = [attention_lm.Subwords.read(data).cut(next(blocks(pa.array([t]))))[0] for t in texts]
+    monkeypatch.setattr(attention_lm, "_KNOWN_BITS", 6)
+    for most in (attention_lm.MEMORY, 500):  # words are forgotten in between
+        monkeypatch.setattr(attention_lm, "MEMORY", most)
+        cutter = attention_lm.Subwords.read(data)
+        for t, want in zip(texts, alone, strict=True):
+            ids, _, words, back = cutter.cut(block := next(blocks(pa.array([t]))))
+            assert ids.tolist() == want.tolist() and (words[back] == block.hashes()).all()
+        assert len(cutter.over)
+
+
+def test_a_step_is_one_of_plain_adam():
+    rng = np.random.default_rng(9)
+    trainer, skip = attention_lm.Trainer(attention_lm.pack(attention_lm.fresh()), skip_table()), skip_table().astype(np.float64)
+    w = {k: x.astype(np.float64) for k, x in attention_lm.fresh().items()}
+    m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    for t in range(1, 4):
+        rows, classes = (rng.integers(0, most, (5, attention_lm.SPAN)) for most in (300, attention_lm.CLASSES))
+        valid = rng.random(rows.shape) < 0.8
+        trainer.step(rows, classes, valid)
+        g = attention_lm.backward(w, rows, attention_lm.forward(w, skip, rows, classes)[1], classes, valid)
+        for k, d in g.items():
+            at, d = d if k == "rows" else (slice(None), d)
+            m[k][at] += 0.1 * (d - m[k][at])
+            s[k][at] += 0.01 * (d * d - s[k][at])
+            w[k][at] -= attention_lm.RATE * t / 20 * (m[k][at] / (1 - 0.9**t)) / (np.sqrt(s[k][at] / (1 - 0.99**t)) + 1e-6)
+    assert all(np.allclose(trainer.w[k], w[k], atol=2e-5) for k in w) and trainer.windows == 15
+
+
 def test_odds_in_scoring_are_those_of_training():
     rng = np.random.default_rng(6)
     w, skip = {k: (x + rng.normal(0, 0.2, x.shape)).astype(np.float32) for k, x in attention_lm.fresh().items()}, skip_table()
