@@ -43,7 +43,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.blocks import CODES_LOWER, Block, _powers, blocks, mix
+from lodestrand.llm.blocks import BASE, CODES_LOWER, Block, _powers, blocks, mix
 from lodestrand.llm.common import id_remainder, stored, text_batches
 
 #: Subwords that are classes of their own, and further classes for the rest, half of them for subwords that begin words.
@@ -66,6 +66,9 @@ BLOCK, MEMORY = 1 << 21, 600_000
 SEED = 7
 _END_WORD = np.uint64(0x5BD1E9955BD1E995)
 _SLOT_BITS, _KNOWN_BITS = 20, 21
+_BEGINS = np.uint32(1 << 31)
+#: Parts that counts are added up in.
+PARTS = 128
 
 
 class Subwords:
@@ -106,6 +109,7 @@ class Subwords:
 
     def forget(self) -> None:
         self.known, self.known_begin, self.known_count, self.known_ids = Pile(np.uint64), Pile(np.int64), Pile(np.int64), Pile(np.int32)
+        self.keys = Pile(np.uint64)  # what ``spelled`` has of each word met
         self.known_at = np.full(1 << _KNOWN_BITS, -1, np.int32)
         self.over, self.over_at = np.empty(0, np.uint64), np.empty(0, np.int32)  # words whose slot another has
 
@@ -129,11 +133,11 @@ class Subwords:
         over = np.flatnonzero(self.known_at[slots] != number)
         order = np.argsort(both := np.concatenate([self.over, words[over]]), kind="stable")
         self.over, self.over_at = both[order], np.concatenate([self.over_at, number[over]])[order]
-        for pile, more in ((self.known, words), (self.known_begin, begin + self.known_ids.n), (self.known_count, count), (self.known_ids, ids)):
+        for pile, more in ((self.known, words), (self.known_begin, begin + self.known_ids.n), (self.known_count, count), (self.known_ids, ids), (self.keys, spelled(ids, begin, count))):
             pile.add(more)
 
-    def cut(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, each closed by an end; where each text's begin; hashes of words met; which of them each word is)."""
+    def cut(self, block: Block) -> tuple[np.ndarray, ...]:
+        """(ids of all texts one after another, each closed by an end; where each text's begin; hashes of words met; which of them each word is; where its ids begin)."""
         starts, ends = block.words
         sums, (_, inv) = block.sums(True), _powers(len(block.data) + 1)
         words = block.spans(starts, ends, True, sums)
@@ -194,7 +198,28 @@ class Subwords:
         at = np.repeat(self.known_begin.all[number] - sums_[:-1], sizes)
         at += np.arange(len(at))
         out[inside] = self.known_ids.all[at]
-        return out, per_text, self.known.all, number
+        return out, per_text, self.known.all, number, sums_[:-1] + block.doc_of_word
+
+
+def spelled(ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of each word's ids, which no other word has: so words are told apart where texts aren't at hand."""
+    h = mix(ids[begin].astype(np.uint64))
+    live, at = np.flatnonzero(count > 1), 1
+    while len(live):
+        h[live] = mix(h[live] * BASE + ids[begin[live] + at].astype(np.uint64))
+        at += 1
+        live = live[count[live] > at]
+    return h
+
+
+def words_of(marked: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, hash of each word, number of words of each text) from ids of which those that begin words are marked."""
+    ids, begins = (marked & ~_BEGINS).astype(np.int64), marked >= _BEGINS
+    bound = begins.copy()
+    bound[offs[1:] - 1] = True  # an end closes each text
+    at = np.flatnonzero(bound)
+    word = np.flatnonzero(begins[at])
+    return ids, spelled(ids, at[word], at[word + 1] - at[word]) if len(word) else np.empty(0, np.uint64), np.diff(np.searchsorted(at[word], offs))
 
 
 class Pile:
@@ -542,11 +567,11 @@ class Trainer:
         w -= d
 
 
-CUT = "held_out boolean, text string, ids binary, kind int, keys binary, counts binary"
+CUT = "held_out boolean, ids binary, kind int, part int, keys binary, counts binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.RecordBatch]:
-    """id, held_out, text -> the same with packed ids; and rows of counts: kind (0: word, 1: pair of ids), packed keys and counts."""
+    """id, held_out, text -> id, held_out, packed ids, marked where words begin; and rows of counts: kind (0: word, 1: pair of ids), part, packed keys and counts."""
     cutter = _subwords(vocabulary)
     held: dict[int, list] = {0: [], 1: []}
     size = {0: 0, 1: 0}
@@ -557,19 +582,26 @@ def _cut(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.Re
         return keys, np.bincount(back, np.concatenate([c for _, c in held[kind]])).astype(np.int64)
 
     def counted(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(1, t) for t in (like, pa.bool_(), pa.string(), pa.binary())]
-        return pa.RecordBatch.from_arrays([*none, pa.array([kind], pa.int32()), pa.array([keys.astype(np.uint64).tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], names=names)
+        part = (mix(keys.astype(np.uint64)) % np.uint64(PARTS)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        parts = np.flatnonzero(np.bincount(part, minlength=PARTS))
+        ends = np.searchsorted(part[order], parts, "right")
+        blobs = [pa.array([x.tobytes() for x in np.split(v[order], ends[:-1])], pa.binary()) for v in (keys.astype(np.uint64), n.astype(np.int64))]
+        none = [pa.nulls(len(parts), t) for t in (like, pa.bool_(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(np.full(len(parts), kind, np.int32)), pa.array(parts.astype(np.int32)), *blobs], names=names)
 
     names = ["id", *(c.split()[0] for c in CUT.split(", "))]
     for batch in batches:
         like = batch.column(0).type
         held_out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for block in blocks(batch.column(2), BLOCK):
-            ids, offs, words, back = cutter.cut(block)
-            n = len(block)
-            same = [batch.column(i).slice(block.first, n) for i in range(3)]
-            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * offs).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-            none = [pa.nulls(n, t) for t in (pa.int32(), pa.binary(), pa.binary())]
+            ids, offs, _, back, begins = cutter.cut(block)
+            words, n = cutter.keys.all, len(block)
+            marked = ids.astype("<u4")
+            marked[begins] |= _BEGINS
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * offs).astype(np.int32)), pa.py_buffer(marked)])
+            same = [batch.column(i).slice(block.first, n) for i in range(2)]
+            none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*same, packed, *none], names=names)
             learn = ~held_out[block.first : block.first + n]
             if not learn.any():
@@ -594,14 +626,11 @@ def _cut(batches: Iterator[pa.RecordBatch], vocabulary: bytes) -> Iterator[pa.Re
             yield counted(kind, *merged(kind))
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind, keys, counts (packed) -> kind, key, n."""
-    for batch in batches:
-        for kind, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
-            for i in range(0, len(keys), 100_000):
-                part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part]), pa.array(n[part])], names=["kind", "key", "n"])
+def _added(rows: pa.Table) -> pa.Table:
+    """A part of a kind's keys and counts, packed -> kind, key, n, each key once."""
+    keys, n = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("keys", "counts"))
+    keys, back = np.unique(keys, return_inverse=True)
+    return pa.table({"kind": np.full(len(keys), rows.column("kind")[0].as_py(), np.int32), "key": keys, "n": np.bincount(back, n).astype(np.int64)})
 
 
 @lru_cache(maxsize=2)
@@ -615,7 +644,7 @@ def _learn(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndar
     trainer = Trainer(weights, counted.skip)
     for batch in batches:
         for block in blocks(batch.column(0), 4 * BLOCK):
-            ids, offs = np.frombuffer(block.data.tobytes(), "<u4"), block.offs // 4
+            ids, offs = np.frombuffer(block.data.tobytes(), "<u4") & ~_BEGINS, block.offs // 4
             start, left, _, index = window_starts(offs, SPAN)
             mine = np.flatnonzero(index % ROUNDS == turn)
             mine = np.random.default_rng(SEED).permutation(mine)
@@ -662,17 +691,17 @@ def _listed_by_text(of: np.ndarray, keys: np.ndarray, n: int) -> list[pa.ListArr
 
 
 def _score(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndarray, sent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """id, held_out, text, ids -> id, held_out, n_tokens, score, known and base of words sent, other words and pairs and how often."""
+    """id, held_out, ids -> id, held_out, n_tokens, score, known and base of words sent, other words and pairs and how often."""
     odds = Odds(unpack(weights), counted.skip)
     keys, counts = sent
     logs = np.log10(counts + 1.0)
     sent_words, sent_pairs = Spots(keys), Spots(counted.pairs)
     for batch in batches:
         for block in blocks(batch.column(2), BLOCK):
-            n = len(block)
-            part = next(blocks(batch.column(3).slice(block.first, n), 1 << 60))
-            total, text, pairs = log10_of(np.frombuffer(part.data.tobytes(), "<u4"), part.offs // 4, counted, odds, sent_pairs)
-            words, doc = block.hashes(), block.doc_of_word
+            n, offs = len(block), block.offs // 4
+            ids, words, many = words_of(np.frombuffer(block.data.tobytes(), "<u4"), offs)
+            doc = np.repeat(np.arange(n), many)
+            total, text, pairs = log10_of(ids, offs, counted, odds, sent_pairs)
             # words: those whose counts were sent are added up here, the others are named
             spot = sent_words.of(words)
             there = spot >= 0
@@ -680,7 +709,7 @@ def _score(batches: Iterator[pa.RecordBatch], counted: Counted, weights: np.ndar
             base = np.bincount(doc[there], logs[spot[there]], n)
             same = [batch.column(i).slice(block.first, n) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [*same, pa.array(block.n_words.astype(np.int64) + 1), pa.array(total), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), *_listed_by_text(doc[~there], words[~there], n), *_listed_by_text(text, pairs, n)],
+                [*same, pa.array(many.astype(np.int64) + 1), pa.array(total), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), *_listed_by_text(doc[~there], words[~there], n), *_listed_by_text(text, pairs, n)],
                 names=["id", "held_out", "n_tokens", "score", "known", "base", "rare", "times", "pairs", "pair_times"],
             )
 
@@ -744,7 +773,7 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     src = docs.select(F.col(f"`{doc_id}`").alias("id"), (id_remainder(doc_id, folds) == held).alias("held_out"), F.col(f"`{text}`").alias("text"))
     cut = stored(src.mapInArrow(lambda b: _cut(b, ranks.value), f"id {dict(src.dtypes)['id']}, {CUT}"))
     texts = cut.where("kind is null")
-    counts = stored(cut.where("kind is not null").select("kind", "keys", "counts").mapInArrow(_listed, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = stored(cut.where("kind is not null").select("kind", "part", "keys", "counts").groupBy("kind", "part").applyInArrow(_added, "kind int, key long, n long"))
     words = counts.where("kind = 0")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     made, other_pairs = count(counts, _subwords(data))
@@ -767,7 +796,7 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     model = spark.sparkContext.broadcast(weights)
 
     fields = "held_out boolean, n_tokens long, score double, known long, base double, rare array<long>, times array<int>, pairs array<long>, pair_times array<int>"
-    scored = texts.select("id", "held_out", "text", "ids").mapInArrow(lambda b: _score(b, counted.value, model.value, sent.value), f"id {dict(src.dtypes)['id']}, {fields}")
+    scored = texts.select("id", "held_out", "ids").mapInArrow(lambda b: _score(b, counted.value, model.value, sent.value), f"id {dict(src.dtypes)['id']}, {fields}")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
     named = lambda keys, times: scored.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
     met = named("rare", "times").join(others, "key").select("row", "times", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("base"), F.lit(0.0).alias("gain"))

@@ -472,11 +472,25 @@ def test_words_whose_slots_others_have_are_cut_as_alone(monkeypatch):
         monkeypatch.setattr(attention_lm, "MEMORY", most)
         cutter = attention_lm.Subwords.read(data)
         for t, want in zip(texts, alone, strict=True):
-            ids, _, words, back = cutter.cut(block := next(blocks(pa.array([t]))))
+            ids, _, words, back, *_ = cutter.cut(block := next(blocks(pa.array([t]))))
             assert ids.tolist() == want.tolist() and (words[back] == block.hashes()).all()
         assert len(cutter.over)
 
 
+def test_words_are_told_apart_by_their_marked_ids():
+    texts = ["The the THE x über 東京 東 京 internationalisation", None, "", "a b ab a-b über Über zq~ the", " x "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([False] * 5), pa.array(texts)], names=["id", "held_out", "text"])
+    made = list(attention_lm._cut([batch], open(VOCABULARY, "rb").read()))
+    assert "text" not in made[0].schema.names  # texts aren't stored again
+    block = next(blocks(made[0].column("ids")))
+    ids, words, many = attention_lm.words_of(np.frombuffer(block.data.tobytes(), "<u4"), block.offs // 4)
+    cutter = attention_lm.Subwords.read(open(VOCABULARY, "rb").read())
+    assert ids.tolist() == cutter.cut(next(blocks(batch.column(2))))[0].tolist()
+    plain = [lower(x) for t in texts for x in WORD.findall(t or "")]
+    assert many.tolist() == [len(WORD.findall(t or "")) for t in texts] and len(words) == len(plain)
+    assert len(set(words.tolist())) == len(set(plain)) == len(set(zip(words.tolist(), plain, strict=True)))
+
+
 def test_a_step_is_one_of_plain_adam():
     rng = np.random.default_rng(9)
     trainer, skip = attention_lm.Trainer(attention_lm.pack(attention_lm.fresh()), skip_table()), skip_table().astype(np.float64)
