@@ -88,3 +88,34 @@ def test_hashed_vectors_with_collisions(spark, monkeypatch):
     got = {(r.query_id, r.doc_id): r.score for r in R.bucket_top_k(items, queries, 10, query_block=1, item_block=2).collect()}
     want = {(q, d): round(sum(w * vector(texts[d])[1].get(b, 0) for b, w in vector(asked[q])[1].items()), 6) for q in asked for d in texts}
     assert got == pytest.approx({k: v for k, v in want.items() if v > 0})
+
+
+def test_markers_are_looked_for_by_words_that_their_patterns_need():
+    """A pattern is tried only on texts with one of its words, so each of its alternatives has to hold one."""
+    import re
+
+    from lodestrand.operators import planner as P
+
+    for _, name, pattern in P.MARKERS:
+        plain = re.sub(r"\[(.)\]", r"\1", pattern.replace(P._W, "").replace(P._E, "")).replace('\\"', '"')
+        parts = re.split(r"[|](?![^(]*[)])", plain)
+        assert parts and all(any(w in part for w in P.MARKED[name]) for part in parts), (name, parts)
+
+
+def test_summary_reads_whole_texts_in_one_pass(spark):
+    from lodestrand.operators import planner as P
+
+    said = "x = 1\n" * 3000
+    files = spark.createDataFrame([("app/a.py", "python", f"import fastapi\n{said}"), ("app/b.py", "python", "nofastapi = 1"), ("docs/c.md", "markdown", "import fastapi"), ("tests/test_a.py", "python", "")], "path string, language string, content string")
+    got = {(r.aspect, r.value): r.n for r in P.summary(files).collect()}
+    assert got[("framework", "FastAPI")] == 1 and got[("size", "files")] == 4 and got[("size", "lines")] == 3004 and got[("size", "tests")] == 1
+
+
+def test_names_are_told_without_the_unparser():
+    import ast
+
+    from lodestrand.operators.code import _dotted
+
+    for text in ("a", "a.b.c", "a().b", "a[0].b", "'x'.join", "(a + b).c", "self.x.y"):
+        node = ast.parse(text, mode="eval").body
+        assert _dotted(node) == ast.unparse(node)
