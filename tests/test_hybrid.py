@@ -80,3 +80,18 @@ def test_words_are_those_of_tokens(spark):
     texts = ["Load_items 12ab a_b is_the classes gas class9s __x__ ÄbcDef x1 7", "", "the THIS runs_2 bass boss goes", "é_ab 007_abc"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t")).alias("x")).collect()
     assert [r.x for r in got] == [H.words_of(t) for t in texts] and H.words_of(None) == []
+
+
+def test_rules_of_lines_are_tried_only_where_their_words_stand(spark):
+    """Lines that fit without blanks, with tabs or in other cases are found; parsed functions bring their lines along."""
+    from lodestrand.operators import code, detect
+
+    text = "def f(a, b={}):\n    if a ==None or b !=\tNone:\n        CURSOR.run( F'x')\n    total = 0\r    total += a\r\n    Execute(f\"x\")\n    x = f'DELETE {a}'\n    exec (a)\n    # hack\x0c    # XXX\n"
+    files = spark.createDataFrame([("a.py", "python", text)], "path string, language string, content string")
+    symbols = code.symbols(code.parse_python(files))
+    got = {(r.line, r.category) for r in detect.line_findings(files, detect.LINE_RULES, detect.QUALITY).collect()}
+    assert got == {(1, "mutable_default"), (2, "style"), (3, "sql_injection"), (6, "sql_injection"), (7, "sql_injection"), (8, "dangerous_call"), (10, "todo")}
+    by_text = detect.bodies(files, symbols.drop("body_lines")).collect()
+    assert sorted(map(tuple, by_text)) == sorted(map(tuple, detect.bodies(files, symbols).collect())) == sorted(map(tuple, detect.bodies(None, symbols).collect())) and len(by_text) >= 8
+    assert not detect.bodies(files.where("path = 'b.py'"), symbols).collect()
+    assert [(r.line, r.text) for r in code.unread(files).collect()] == [(5, "    total += a")]
