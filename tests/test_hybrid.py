@@ -18,7 +18,7 @@ ROUTED = [(i, f"app/pkg{(4 * i + 2) % 300 % 5}/mod_{(4 * i + 2) % 300}.py", f"cr
 
 
 def _bag(text):
-    words = Counter(H.words_of(text))
+    words = Counter(H.words_of(text.encode()) if text else [])
     out = Counter({f"w:{w}": n for w, n in words.items()})
     for w, n in words.items():
         for k in range(len(w)):
@@ -77,9 +77,9 @@ def test_words_are_those_of_tokens(spark):
 
     from lodestrand.functions.text import tokens
 
-    texts = ["Load_items 12ab a_b is_the classes gas class9s __x__ ÄbcDef x1 7", "", "the THIS runs_2 bass boss goes", "é_ab 007_abc"]
+    texts = ["Load_items 12ab a_b is_the classes gas class9s __x__ ÄbcDef x1 7", "", "the THIS runs_2 bass boss goes", "é_ab 007_abc", "\u212aelvin \u0130ab 12_34ab __9z 5a_"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens(F.col("t")).alias("x")).collect()
-    assert [r.x for r in got] == [H.words_of(t) for t in texts] and H.words_of(None) == []
+    assert [r.x for r in got] == [H.words_of(t.encode()) for t in texts] and H.words_of(None) == []
 
 
 def test_rules_of_lines_are_tried_only_where_their_words_stand(spark):
@@ -95,3 +95,34 @@ def test_rules_of_lines_are_tried_only_where_their_words_stand(spark):
     assert sorted(map(tuple, by_text)) == sorted(map(tuple, detect.bodies(files, symbols).collect())) == sorted(map(tuple, detect.bodies(None, symbols).collect())) and len(by_text) >= 8
     assert not detect.bodies(files.where("path = 'b.py'"), symbols).collect()
     assert [(r.line, r.text) for r in code.unread(files).collect()] == [(5, "    total += a")]
+
+
+def test_bags_and_hashed_vectors_need_no_shuffle_of_terms(spark):
+    """As the general operators count and weight, rows of equal keys and texts without words included."""
+    from pyspark.sql import functions as F
+
+    texts = [(1, "red reds blue_red 12"), (2, None), (3, "the of"), (4, "green green greens ab"), (4, "blue\nlast"), (5, "ab")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    counts = C.features(rows, "doc_id", "text")
+    want = counts.groupBy("doc_id").agg(F.count(F.lit(1)), F.sum("n"), F.max("n")).collect()
+    got = H.feature_sizes(rows, "doc_id", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 3
+    assert "hashpartitioning(term" not in got._jdf.queryExecution().toString()
+    total = rows.agg(F.count(F.lit(1)).alias("n_docs"))
+    tf, weights = R.bucket_weights(counts, total, "doc_id")
+    plain = {r.doc_id: r for r in R.bucket_vectors(tf, weights, total, "doc_id").collect()}
+    items, alike = H.hashed_vectors(rows, "doc_id", "text")
+    for r in items.collect():
+        w = plain.pop(r.doc_id)
+        assert list(r.buckets) == list(w.buckets) and r.norm == pytest.approx(w.norm) and list(r.weights) == pytest.approx(list(w.weights))
+    assert not plain
+    asked = alike(spark.createDataFrame([(7, "blue zebra")], "query_id long, text string"), "query_id", "text")
+    assert {(r.query_id, r.doc_id) for r in R.bucket_top_k(items, asked, 2, item_block=1).collect() if r.score > 0.1} == {(7, 1), (7, 4)}
+
+
+def test_routes_of_one_path_meet_hints_once(spark):
+    from lodestrand.operators import navigate as N
+
+    routes = spark.createDataFrame([(f"f{i:02d}.py", f"h{i}", "POST" if i % 2 else "GET", "/a/b", 5) for i in range(40)], "file string, name string, kind string, path string, start_line int")
+    found = N.find_routes(routes, spark.createDataFrame([(i, "/a/b/", ("post", "get", None)[i % 3]) for i in range(50)], "hint_id long, hint string, verb string"))
+    assert {(r.hint_id % 3, r.verb, r.file) for r in found.collect()} == {(0, "POST", "f01.py"), (1, "GET", "f00.py"), (2, "GET", "f00.py")} and found.count() == 50
