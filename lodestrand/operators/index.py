@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.operators import retrieval as R
+from lodestrand.operators.hybrid import bags
 
 BUCKETS = 64
+#: Weights of so many terms go with tasks when norms are worked out.
+SENT = 100_000
 MANIFEST = "version long, n_docs long, checksum decimal(38, 0), first_segment int, segments int"
 #: Segments after which a refresh writes all postings anew as one.
 MOST_SEGMENTS = 20
@@ -70,6 +73,8 @@ class Index:
         rows = self.spark.read.schema("term string, key string, n long, segment int, bucket int").option("basePath", f"{self.path}/segments").parquet(*[f"{self.path}/segments/segment={s}" for s in range(self.first_segment, self.first_segment + self.segments)])
         if buckets is not None:
             rows = rows.where(F.col("bucket").isin(buckets))
+        if self.segments == 1:  # of one segment all postings count
+            return rows.select("term", "key", "n")
         return rows.join(self.keys.select("key", "segment"), ["key", "segment"], "left_semi").select("term", "key", "n")
 
     def weights(self) -> DataFrame:
@@ -106,7 +111,8 @@ def refresh(docs: DataFrame, path: str, key: str, text: str) -> Index:
         if before.segments >= MOST_SEGMENTS:
             changed, kept, first = now, None, segment
     texts = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text")).join(changed.select("key"), "key", "left_semi")
-    counts = R.term_counts(texts, "key", "text").select("term", "key", "n", bucket_of(F.col("term")).alias("bucket"))
+    each = bags(texts, "text").select("key", F.explode(F.arrays_zip("words", "ns")).alias("x"))  # counted where texts are read
+    counts = each.select(F.col("x.words").alias("term"), "key", F.col("x.ns").cast("long").alias("n"), bucket_of(F.col("x.words")).alias("bucket"))
     counts.repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/segments/segment={segment}")
     new = changed.select("key", "digest", F.lit(segment).alias("segment"))
     at = lambda what: f"{path}/{what}/version={version}"
@@ -115,12 +121,21 @@ def refresh(docs: DataFrame, path: str, key: str, text: str) -> Index:
     made = Index(spark, path, version, totals["n_docs"], totals["checksum"], first, segment + 1 - first)
     valid = made.postings()
     valid.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(at("terms"))
-    raw = (1 + F.log(F.col("n").cast("double"))) * F.col("idf")
-    valid.join(made.weights(), "term").groupBy("key").agg(F.sqrt(F.sum(raw * raw)).alias("norm")).write.mode("overwrite").parquet(at("norms"))
+    norms(valid, made.weights()).write.mode("overwrite").parquet(at("norms"))
     spark.createDataFrame([(version, made.n_docs, made.checksum, made.first_segment, made.segments)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return made
 
 
+def norms(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """(key, norm): postings of the ``SENT`` commonest terms stay where they are, others meet their weights by a join; tasks add up what they have of a key."""
+    often = weights.orderBy("idf", "term").limit(SENT)
+    raw = (1 + F.log(F.col("n").cast("double"))) * F.col("idf")
+    met = postings.join(F.broadcast(often), "term", "left").withColumn("sent", F.col("idf").isNotNull())
+    rest = met.where("not sent").drop("idf").join(weights, "term")
+    parts = met.where("sent").select("key", (raw * raw).alias("part")).unionByName(rest.select("key", (raw * raw).alias("part")))
+    return parts.groupBy("key").agg(F.sqrt(F.sum("part")).alias("norm"))
+
+
 def search(index: Index, questions: DataFrame, k: int = 10, ties: Column | str = "key", digits: int = 6) -> DataFrame:
     """(query_id, key, score, rank): the texts nearest to each question (query_id, text), from the postings of its terms; equal scores go by ``ties``."""
     total = index.spark.range(1).select(F.greatest(F.lit(index.n_docs), F.lit(1)).alias("n_docs"))

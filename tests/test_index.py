@@ -79,3 +79,12 @@ def test_catalog_reads_through(spark, tmp_path):
     catalog.scan(spark, str(other), at)
     rows = {r.repo_id: (r.name, r.n_files, r.n_lines) for r in catalog.entries(spark, at).collect()}
     assert rows == {"my-shop": ("My Shop!", 2, 4), "other": ("other", 1, 1)}
+
+
+def test_one_segment_reads_its_postings_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "SENT", 2)  # most terms meet their weights by a join
+    made = I.refresh(frame(spark, TEXTS), str(tmp_path / "index"), "doc_id", "text")
+    assert "keys" not in made.postings()._jdf.queryExecution().executedPlan().toString()  # no join with the keys
+    monkeypatch.undo()
+    other = I.refresh(frame(spark, TEXTS), str(tmp_path / "other"), "doc_id", "text")
+    assert {r.key: r.norm for r in made.norms.collect()} == pytest.approx({r.key: r.norm for r in other.norms.collect()})
